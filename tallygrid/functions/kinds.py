@@ -170,6 +170,11 @@ def as_number(df: DataFrame, col: str) -> Column:
     return F.lit(None).cast("double")
 
 
+def strip(c: Column) -> Column:
+    """Trim all ASCII white space, not only blanks."""
+    return F.trim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def share(cond: Column) -> Column:
     """Share of rows where the condition holds; rows where it is NULL do not count."""
     return F.avg(cond.cast("double"))

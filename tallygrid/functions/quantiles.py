@@ -28,10 +28,16 @@ def _before(keys: list[str], order: str):
     return F.coalesce(F.sum("_c").over(w), F.lit(0))
 
 
-def literal_rows(spark: SparkSession, rows: list[Row]) -> DataFrame:
+def literal_rows(spark: SparkSession, rows: list[Row], schema) -> DataFrame:
     """A few rows as literals inside the plan."""
     return spark.range(1).select(F.inline(F.array(*[
-        F.struct(*[F.lit(x).alias(n) for n, x in r.asDict().items()]) for r in rows])))
+        F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields]) for r in rows])))
+
+
+def read_back(report: DataFrame) -> DataFrame:
+    """Evaluate a report of one row per column (never per data row) and return it as literals."""
+    rows = report.collect()
+    return literal_rows(report.sparkSession, rows, report.schema) if rows else report
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by: list[str] = (),
@@ -82,7 +88,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
             rows = [r for r in rows if r["_lo"] < r["_hi"]]
             if not rows:
                 break
-            open_ = literal_rows(df.sparkSession, rows)
+            open_ = literal_rows(df.sparkSession, rows, t.schema)
         else:
             found.append(t.where(F.col("_lo") == F.col("_hi")))
             open_ = t.where(F.col("_lo") < F.col("_hi"))
@@ -100,7 +106,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
     if by:
         hits = found[0].unionByName(found[1]).unionByName(found[2])
     elif found:
-        hits = literal_rows(df.sparkSession, found)
+        hits = literal_rows(df.sparkSession, found, t.schema)
     else:
         return t.select("column", *[F.lit(None).cast("double").alias(n) for n in probs]).limit(0)
 
