@@ -1 +1,4 @@
+"""All registered queries."""
 
+from . import profiling, relational  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
