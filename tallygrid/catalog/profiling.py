@@ -294,7 +294,7 @@ for _n, _t, _c in (("documents", "documents", "text"), ("pages", "pages", "html"
     query(f"P15_text_quality_{_n}", _text_quality(_c, _t))(lambda spark, sf, t=_t, c=_c: Q.text_quality(table(spark, sf, t), c))
 
 
-@query("P16_date_order", f"WITH d AS {duck('deals')} SELECT 'start_date' AS col_start, 'end_date' AS col_end, count(*) AS violations FROM d WHERE end_date < start_date")
+@query("P16_date_order", f"WITH d AS {duck('deals')} SELECT 'start_date' AS col_start, 'end_date' AS col_end, count(*) AS violations FROM d WHERE end_date < start_date UNION ALL SELECT 'birth_date', 'end_date', count(*) FROM d WHERE end_date < birth_date")
 def p16(spark, sf):
     return Q.date_order_violations(derived(spark, sf, "deals"))
 
@@ -529,14 +529,14 @@ def p32(spark, sf):
     return labels.class_imbalance(table(spark, sf, "labels"), "quality")
 
 
-def _pii_sql(t, cols, named):
+def _pii_sql(t, cols, named, cut=0.3):
     out = []
     for c in cols:
         s = f"CAST({c} AS VARCHAR)"
         rate = lambda p: f"avg(CASE WHEN regexp_matches({s}, {lit(p)}) THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END)"
         mask = f"CASE WHEN length(min({s})) > 4 THEN substr(min({s}), 1, 2) || '***' || right(min({s}), 2) ELSE '***' END"
         for k, p in PII_PATTERNS.items():
-            out.append(f"SELECT '{c}' AS \"column\", '{k}' AS pii_type, 'value_pattern' AS basis, round({rate(p)} * 100, 1) AS match_rate_pct, {mask} AS masked_sample FROM {t} HAVING {rate(p)} > 0.3")
+            out.append(f"SELECT '{c}' AS \"column\", '{k}' AS pii_type, 'value_pattern' AS basis, round({rate(p)} * 100, 1) AS match_rate_pct, {mask} AS masked_sample FROM {t} HAVING {rate(p)} > {cut}")
         if c in named:
             none = " AND ".join(f"{rate(p)} <= 0.3" for p in PII_PATTERNS.values())
             out.append(f"SELECT '{c}', '{named[c]}', 'column_name', NULL, NULL FROM {t} HAVING {none}")
@@ -548,9 +548,9 @@ def p33(spark, sf):
     return Q.scan_pii(derived(spark, sf, "messy"), cols=["email", "segment", "source_name", "joined_date", "amount_text", "note", "balance"], mode="substring")
 
 
-@query("P33_scan_pii_documents", _pii_sql("documents", ["text", "lang", "source"], {}))
+@query("P33_scan_pii_documents", _pii_sql("documents", ["text", "lang", "source"], {}, 0.001))
 def p33b(spark, sf):
-    return Q.scan_pii(table(spark, sf, "documents"), cols=["text", "lang", "source"])
+    return Q.scan_pii(table(spark, sf, "documents"), 0.001, cols=["text", "lang", "source"])
 
 
 def _score_sql():

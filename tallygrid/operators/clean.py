@@ -232,11 +232,13 @@ def fix_encoding_column(c: Column) -> Column:
     raw = F.encode(F.coalesce(safe, F.lit("")), "ISO-8859-1")
     text = raw.cast("string")
     fixed = F.when(safe.isNotNull() & F.is_valid_utf8(text), text).otherwise(c)
-    # Odd pieces after splitting are the four hex digits of an escape.
-    parts = F.split(fixed, r"\\u(?=[0-9a-fA-F]{4})")
-    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(
-        F.slice(parts, 2, F.size(parts)), lambda p: F.concat(
-            F.decode(F.unhex(p.substr(F.lit(1), F.lit(4))), F.lit("UTF-16BE")), p.substr(F.lit(5), F.length(p)))), ""))
+    # A surrogate pair is one character: mark it, then decode piece by piece.
+    marked = F.regexp_replace(fixed, r"\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})", r"\\U$1$2")
+    utf16 = lambda p, digits: F.concat(F.decode(F.unhex(p.substr(F.lit(3), F.lit(digits))), "UTF-16BE"),
+                                       p.substr(F.lit(3 + digits), F.length(p)))
+    decoded = F.array_join(F.transform(F.split(marked, r"(?=\\[uU][0-9a-fA-F]{4})"), lambda p: F.when(
+        p.rlike(r"^\\U[0-9a-fA-F]{8}"), utf16(p, 8)).when(
+        p.rlike(r"^\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}"), utf16(p, 4)).otherwise(p)), "")
     return F.when(fixed.rlike(r"\\u[0-9a-fA-F]{4}"), decoded).otherwise(fixed)
 
 

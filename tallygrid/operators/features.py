@@ -196,13 +196,13 @@ def target_encode(train: DataFrame, col: str, target: str, fold: str, df: DataFr
     t = as_double(train, target)
     per = train.where(t.isNotNull()).groupBy(quoted(col).alias("_c"), quoted(fold).alias("_f")).agg(
         F.sum(t).alias("_s"), F.count(t).alias("_n"))
-    whole = per.groupBy("_c").agg(F.sum("_s").alias("_S"), F.sum("_n").alias("_N"))
+    whole = per.groupBy("_c").agg(F.sum("_s").alias("_all_s"), F.sum("_n").alias("_all_n"))
     mean = train.agg(F.avg(t).alias("_mean"))
     name = f"{col}_target"
     if df is not None:
         return (df.join(whole, quoted(col) == F.col("_c"), "left").crossJoin(F.broadcast(mean))
-                .withColumn(name, F.coalesce(F.col("_S") / F.col("_N"), F.col("_mean"))).drop("_c", "_S", "_N", "_mean"))
-    enc = per.join(whole, "_c").select("_c", "_f", ((F.col("_S") - F.col("_s")) / F.nullif(F.col("_N") - F.col("_n"), F.lit(0)))
+                .withColumn(name, F.coalesce(F.col("_all_s") / F.col("_all_n"), F.col("_mean"))).drop("_c", "_all_s", "_all_n", "_mean"))
+    enc = per.join(whole, "_c").select("_c", "_f", ((F.col("_all_s") - F.col("_s")) / F.nullif(F.col("_all_n") - F.col("_n"), F.lit(0)))
                                        .alias("_e"))
     return (train.join(enc, (quoted(col) == F.col("_c")) & (quoted(fold) == F.col("_f")), "left")
             .crossJoin(F.broadcast(mean)).withColumn(name, F.coalesce("_e", "_mean")).drop("_c", "_f", "_e", "_mean"))
