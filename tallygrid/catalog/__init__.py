@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import preparing, profiling, relational  # noqa: F401
+from . import analysis, preparing, profiling, relational  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

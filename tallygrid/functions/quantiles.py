@@ -6,17 +6,20 @@ logarithmic bucket tell which bucket holds the rank, counts of equal slices of
 that bucket tell which slice, and only the values of that slice are listed.
 Every shuffle carries bucket counts, whatever the number of rows.
 
-Without grouping keys the ranks being narrowed number columns x quantiles x 2.
-They are read back between the scans, so each scan runs once, carries them as
-literals, and is skipped when nothing is left to narrow. With keys they grow
-with the groups and stay a DataFrame.
+The ranks being narrowed are settled between the scans, so each scan runs once
+and is skipped when nothing is left to narrow. Without grouping keys they
+number columns x quantiles x 2 and travel as literals; with keys they grow with
+the groups and go through a checkpoint.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Row, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .kinds import as_double, quoted
 
 BUCKETS_PER_E_FOLD = 512
@@ -82,16 +85,19 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
     span = [*g, "_b", "_lo", "_hi"]
     slices = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SLICES).cast("double")
     for slot in (slices, v):
-        if not by:
+        if by:
+            t = cut_lineage(t)
+            found.append(t.where(F.col("_lo") == F.col("_hi")))
+            open_ = t.where(F.col("_lo") < F.col("_hi"))
+            if open_.isEmpty():
+                break
+        else:
             rows = t.collect()
             found += [r for r in rows if r["_lo"] == r["_hi"]]
             rows = [r for r in rows if r["_lo"] < r["_hi"]]
             if not rows:
                 break
             open_ = literal_rows(df.sparkSession, rows, t.schema)
-        else:
-            found.append(t.where(F.col("_lo") == F.col("_hi")))
-            open_ = t.where(F.col("_lo") < F.col("_hi"))
         inside = (long.join(small(open_.select(*span).distinct()), [*g, "_b"])
                   .where((v >= F.col("_lo")) & (v <= F.col("_hi"))))
         cells = (inside.groupBy(*span, slot.alias("_s"))
@@ -102,9 +108,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
              .select(*g, "_b", F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"),
                      (F.col("_k") - F.col("_before")).alias("_k"), "_q", "_side", "_frac"))
     else:
-        found = [*found, t] if by else found + t.collect()
+        found = [*found, cut_lineage(t)] if by else found + t.collect()
     if by:
-        hits = found[0].unionByName(found[1]).unionByName(found[2])
+        hits = reduce(DataFrame.unionByName, found)
     elif found:
         hits = literal_rows(df.sparkSession, found, t.schema)
     else:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, quoted
 from ..functions.quantiles import exact_quantiles
+from ..session import cut_lineage
 from .clean import resample
 
 
@@ -142,7 +143,8 @@ def anomalies(df: DataFrame, col: str, by: str, method: str = "z", limit: float
         score = F.greatest(F.col("_m") - x, x - F.col("_s")) / F.nullif(F.col("_s") - F.col("_m"), F.lit(0.0))
         cut = limit or 1.5
     else:
-        med = exact_quantiles(df, [col], {"_m": 0.5}, by=[by]).drop("column")
+        # One row per group, used three times.
+        med = cut_lineage(exact_quantiles(df, [col], {"_m": 0.5}, by=[by]).drop("column"))
         dev = df.join(med, by).withColumn("_d", F.abs(x - F.col("_m")))
         mad = exact_quantiles(dev, ["_d"], {"_s": 0.5}, by=[by]).drop("column")
         b = med.join(mad, by)

@@ -26,7 +26,7 @@ def histogram_data(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     at = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.nullif(step, F.lit(0.0))), F.lit(bins - 1))
     counts = (df.select(x.alias("_x")).where("_x is not null").crossJoin(F.broadcast(b))
               .groupBy(F.coalesce(at, F.lit(0)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
-    grid = b.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    grid = b.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return grid.join(counts, "bin", "left").select(
         "bin", (F.col("_lo") + step * F.col("bin")).alias("lo"), (F.col("_lo") + step * (F.col("bin") + 1)).alias("hi"),
         F.coalesce("n", F.lit(0)).alias("n"))

@@ -18,6 +18,7 @@ from ..functions.kinds import (NAME_NOT_FEATURE, NUMERIC_TYPES, as_double, name_
                                string_columns)
 from ..functions.ordering import micros
 from ..functions.quantiles import exact_quantiles
+from ..session import cut_lineage
 from .clean import resample
 from .features import fold_of
 from .temporal import time_split
@@ -151,9 +152,11 @@ def auto_train(df: DataFrame, target: str, task: str, key: list[str], features:
         labels = list(fitted.labels)
         d = fitted.transform(d)
     kind = "time" if timed else "random" if task == "regression" else "stratified"
-    parts = split(d, kind, key, "__y" if kind == "stratified" else None, ts, seed=seed)
-    train = folds(parts.where("split = 'train'"), kind, n_folds, key, "__y" if kind == "stratified" else None, ts, seed + 1).persist()
-    test = parts.where("split = 'test'")
+    # Trees and cross-validation read the rows many times: features, label and split are written once.
+    by_class = "__y" if kind == "stratified" else None
+    d = cut_lineage(split(d, kind, key, by_class, ts, seed=seed))
+    train = cut_lineage(folds(d.where("split = 'train'"), kind, n_folds, key, by_class, ts, seed + 1))
+    test = d.where("split = 'test'")
     ev = (RegressionEvaluator(labelCol="__y", metricName="mae") if task == "regression"
           else MulticlassClassificationEvaluator(labelCol="__y", metricName="f1"))
     sign = -1.0 if task == "regression" else 1.0
@@ -166,11 +169,11 @@ def auto_train(df: DataFrame, target: str, task: str, key: list[str], features:
             for i in range(1, n_folds):
                 m = pipes[name].fit(train.where(F.col("fold") < i))
                 got.append(ev.evaluate(m.transform(train.where(F.col("fold") == i))))
-            scores[name] = sign * sum(got) / len(got)
+            scores[name] = float(sign * sum(got) / len(got))
         else:
             cv = CrossValidator(estimator=pipes[name], estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
                                 numFolds=n_folds, foldCol="fold", parallelism=2)
-            scores[name] = sign * cv.fit(train).avgMetrics[0]
+            scores[name] = float(sign * cv.fit(train).avgMetrics[0])
     best = max(scores, key=scores.get)
     held = pipes[best].fit(train).transform(test)
     metrics = (regression_metrics(held, "__y") if task == "regression" else classification_metrics(held, "__y"))
@@ -178,7 +181,6 @@ def auto_train(df: DataFrame, target: str, task: str, key: list[str], features:
     rows = [(r["metric"], r["value"]) for r in metrics.collect()]
     spark = df.sparkSession
     final = pipes[best].fit(d)
-    train.unpersist()
     return Trained(final, task, best, feats, target, spark.createDataFrame(list(scores.items()), "family string, cv_score double"),
                    spark.createDataFrame(rows, "metric string, value double"), labels)
 

@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tallygrid", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "tallygrid", master: str | None = None, partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """A session with the settings the operators are written for.
 
     ``partitions`` is only for small local runs; on a cluster leave it unset
@@ -22,6 +23,8 @@ def build_session(app: str = "tallygrid", master: str | None = None, partitions:
          .config("spark.ui.enabled", "false"))
     if master:
         b = b.master(master)
+    if driver_memory:  # only counts before the JVM starts
+        b = b.config("spark.driver.memory", driver_memory)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()

@@ -66,7 +66,7 @@ if __name__ == "__main__":
     from tallygrid.session import build_session
     sf = sys.argv[1]
     only = sys.argv[2:]
-    spark = build_session(master="local[8]", partitions=8)
+    spark = build_session(master="local[8]", partitions=8, driver_memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     qs, os_ = entry.queries(), entry.oracle_sql()
