@@ -465,3 +465,28 @@ class WordRows:
 def u04(spark, sf):
     U.register_udtf(spark, "word_rows", WordRows, "pos int, word string")
     return spark.sql("SELECT p_partkey, w.word, w.pos FROM {p}, LATERAL word_rows(p_name) w", p=table(spark, sf, "part"))
+
+
+
+def _points(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"), F.col("user_id").cast("double").alias("u"),
+                                             F.when(F.col("event_id") % 50 != 0, F.col("value")).alias("value"))
+
+
+@query("C05_impute_knn")
+def c05(spark, sf):
+    from ..operators.neighbours import impute_knn
+    return impute_knn(_points(spark, sf), "value", ["t", "u"], 5).select("event_id", r("value"))
+
+
+@query("A03_dbscan")
+def a03(spark, sf):
+    from ..operators.neighbours import dbscan
+    d = dbscan(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], 0.1, 8)
+    return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A08_local_outlier_factor")
+def a08(spark, sf):
+    from ..operators.neighbours import lof
+    return lof(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], 10).select("c_custkey", r("lof", 4))
