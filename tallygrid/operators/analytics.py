@@ -256,13 +256,17 @@ def isolation_forest(df: DataFrame, cols: list[str], key: list[str], trees: int
     """``df`` with ``anomaly_score`` (0..1, higher is more isolated).
 
     ``trees`` x ``psi`` rows are taken in hash order of the key and dealt out to
-    the trees, one task per tree. The fitted trees have a size fixed by those two
-    numbers and travel with the scoring function.
+    the trees, one task per tree; a smaller table deals each row to several
+    trees. The fitted trees have a size fixed by those two numbers and travel
+    with the scoring function.
     """
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[quoted(k).cast("string") for k in key]))
     xs = [as_double(df, c).alias(f"x{i}") for i, c in enumerate(cols)]
     sample = df.select(h.alias("_h"), *xs).na.drop().orderBy("_h").limit(trees * psi)
-    sample = sample.withColumn("tree", F.pmod(F.xxhash64("_h"), F.lit(trees)).cast("int"))
+    sample = cut_lineage(sample)
+    deals = min(trees, math.ceil(trees * psi / max(sample.count(), 1)))
+    sample = sample.withColumn("tree", F.explode(F.array_distinct(F.array(*[
+        F.pmod(F.xxhash64("_h", F.lit(j)), F.lit(trees)).cast("int") for j in range(deals)]))))
     names = [f"x{i}" for i in range(len(cols))]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
