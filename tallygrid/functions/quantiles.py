@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Row, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .kinds import as_double, quoted
 
 BUCKETS_PER_E_FOLD = 512
@@ -58,6 +58,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
             *[F.percentile_approx("value", float(p), 10000).alias(n) for n, p in probs.items()])
     w = F.lit(1).cast("long") if weight is None else quoted(weight).cast("long")
     base = df.select(*[quoted(b) for b in by], w.alias("_w"), *[as_double(df, c).alias(c) for c in cols])
+    base = spread(base)
     long = base.unpivot([*[quoted(b) for b in by], F.col("_w")], [quoted(c) for c in cols], "column", "_v")
     long = long.where(F.col("_v").isNotNull() & (F.col("_w") > 0))
     for b in by:

@@ -9,17 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .kinds import quoted
 
 COLUMNS_PER_AGGREGATE = 25
 
 
-def column_stats(df: DataFrame, cols: list[str], make: Callable[[str], dict[str, Column]]) -> DataFrame:
+def column_stats(df: DataFrame, cols: list[str], make: Callable[[str], dict[str, Column]],
+                 reads: list[str] | None = None) -> DataFrame:
     """One row per column with the aggregates ``make(column)`` returns.
 
     All columns of a block share one aggregate, hence one scan that reads only
     that block; blocks keep generated code below the size the JIT compiles.
+    ``reads`` names the columns of a costly report, whose rows are then spread
+    over the cores when they are few.
     """
+    if reads:
+        df = spread(df.select(*[quoted(c) for c in reads]))
     parts = []
     for lo in range(0, len(cols), COLUMNS_PER_AGGREGATE):
         block = cols[lo:lo + COLUMNS_PER_AGGREGATE]
@@ -35,7 +41,7 @@ def column_stats(df: DataFrame, cols: list[str], make: Callable[[str], dict[str,
 def melt_numbers(df: DataFrame, cols: list[str], keep: list[str] = (), value: str = "value") -> DataFrame:
     """Rows (keep.., column, value double) without missing values."""
     from .kinds import as_double
-    base = df.select(*[quoted(k) for k in keep], *[as_double(df, c).alias(c) for c in cols])
+    base = spread(df.select(*[quoted(k) for k in keep], *[as_double(df, c).alias(c) for c in cols]))
     return base.unpivot([quoted(k) for k in keep], [quoted(c) for c in cols], "column", value).where(
         F.col(value).isNotNull())
 
@@ -59,7 +65,7 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     Combined on the map side, so a value that fills a third of a column costs
     one row per task in the shuffle.
     """
-    base = df.select(*[short_key(df, c).cast("string").alias(c) for c in cols])
+    base = spread(df.select(*[short_key(df, c).cast("string").alias(c) for c in cols]))
     return (base.unpivot([], [quoted(c) for c in cols], "column", "value")
             .where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))

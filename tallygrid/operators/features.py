@@ -11,6 +11,7 @@ from ..functions.kinds import as_double, numeric_columns, quoted
 from ..functions.ordering import body, dense_codes, micros, row_window, with_reach
 from ..functions.quantiles import exact_quantiles
 from ..functions.wide import column_stats
+from ..session import spread
 
 # --- Fixed values: windows and lags in rows -------------------------------------------------
 LAGS = [1, 7, 30]
@@ -122,7 +123,7 @@ def text_features(df: DataFrame, col: str, keywords: list[str] = ()) -> DataFram
 
 def sentiment(df: DataFrame, col: str, lexicon: DataFrame, key: list[str]) -> DataFrame:
     """Sum of lexicon scores (word, score) over the words of a text, per key; texts without hits score 0."""
-    words = df.select(*[quoted(k) for k in key], F.explode(F.split(F.lower(quoted(col)), r"[^\p{L}\p{N}']+")).alias("word"))
+    words = spread(df.select(*[quoted(k) for k in key], quoted(col))).select(*[quoted(k) for k in key], F.explode(F.split(F.lower(quoted(col)), r"[^\p{L}\p{N}']+")).alias("word"))
     # Count words per text first: a text with a hot word sends one row for it.
     hits = (words.where("word <> ''").groupBy(*key, "word").agg(F.count(F.lit(1)).alias("_n"))
             .join(lexicon.select("word", "score"), "word")

@@ -16,6 +16,7 @@ from ..functions.moments import adjusted_kurtosis, adjusted_skew, safe_corr
 from ..functions.quantiles import QUARTILES, exact_quantiles, read_back
 from ..functions.wide import (column_frame, column_stats, distinct_counts, duplicate_rows, duplicate_values,
                               melt_numbers, value_counts)
+from ..session import spread
 
 
 def advice(*pairs: tuple[Column, str]) -> Column:
@@ -100,7 +101,7 @@ def inspect_text(df: DataFrame, col: str) -> DataFrame:
     """Pattern shares, placeholder and white-space counts and the logical kind of a text column."""
     raw, s = quoted(col), strip(quoted(col))
     p = {n: share(s.rlike(r)) for n, r in TEXT_PATTERNS.items()}
-    one = df.agg(
+    one = spread(df.select(raw)).agg(
         F.count(F.lit(1)).alias("total_rows"), F.count(raw).alias("present"), tally(fake_null(raw)).alias("fake_nulls"),
         *[e.alias(f"_{n}") for n, e in p.items()],
         share(s.startswith("{")).alias("_brace"), share(s.startswith("[")).alias("_bracket"),

@@ -16,6 +16,7 @@ from ..functions.kinds import (BOILERPLATE, ENCODING_PATTERNS, NAME_BIRTH, NAME_
 from ..functions.moments import adjusted_skew
 from ..functions.quantiles import read_back
 from ..functions.wide import column_frame, column_stats, distinct_counts, duplicate_rows, melt_numbers
+from ..session import spread
 from .profile import advice, correlation_cells, fake_null, pairs
 
 
@@ -28,7 +29,7 @@ def text_quality(df: DataFrame, col: str) -> DataFrame:
     """Length statistics and content problems of a text column."""
     c = quoted(col)
     n = F.length(c)
-    one = df.agg(
+    one = spread(df.select(c)).agg(
         F.count(c).alias("row_count"), F.avg(n).alias("avg"), F.max(n).alias("max_length"), F.min(n).alias("min_length"),
         F.stddev_samp(n).alias("std"), *[share(c.rlike(p)).alias(k) for k, p in QUALITY_PATTERNS.items()],
         tally(strip(F.lower(c)).isin(BOILERPLATE)).alias("boilerplate_rows"),
@@ -79,7 +80,7 @@ def age_dob_mismatch(df: DataFrame, age: str, dob: str, as_of: str | None = None
 def encoding_issues(df: DataFrame) -> DataFrame:
     """Per text column: rows with mojibake, non-ASCII, NUL, direction marks or zero-width characters."""
     return column_stats(df, string_columns(df), lambda c: {
-        f"{k}_rows": tally(quoted(c).rlike(p)) for k, p in ENCODING_PATTERNS.items()})
+        f"{k}_rows": tally(quoted(c).rlike(p)) for k, p in ENCODING_PATTERNS.items()}, reads=string_columns(df))
 
 
 def leakage_scan(df: DataFrame, target: str | None = None, threshold: float = 0.98, mode: str = "token") -> DataFrame:
@@ -330,7 +331,7 @@ def scan_pii(df: DataFrame, threshold: float = 0.3, mode: str = "token", cols: l
     """
     cols = cols or df.columns
     j = column_stats(df, cols, lambda c: (lambda x: {
-        **{k: share(x.rlike(p)) for k, p in PII_PATTERNS.items()}, "sample": F.min(x)})(quoted(c).cast("string")))
+        **{k: share(x.rlike(p)) for k, p in PII_PATTERNS.items()}, "sample": F.min(x)})(quoted(c).cast("string")), reads=cols)
     hit = F.array(*[F.struct(F.lit(k).alias("pii_type"), F.col(k).alias("rate")) for k in PII_PATTERNS])
     by_value = F.transform(F.filter(hit, lambda h: h["rate"] > threshold), lambda h: F.struct(
         h["pii_type"].alias("pii_type"), F.lit("value_pattern").alias("basis"),

@@ -30,6 +30,21 @@ def build_session(app: str = "tallygrid", master: str | None = None, partitions:
     return b.getOrCreate()
 
 
+SMALL_INPUT = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores.
+
+    A small file often is one split, so that one core would do all the work.
+    Moving it is cheap. Inputs above ``SMALL_INPUT`` bytes (by the optimizer's
+    estimate) have splits enough and stay where they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if n > 1 and size <= SMALL_INPUT else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, made known to Spark.
 
