@@ -58,18 +58,21 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
             *[F.percentile_approx("value", float(p), 10000).alias(n) for n, p in probs.items()])
     w = F.lit(1).cast("long") if weight is None else quoted(weight).cast("long")
     base = df.select(*[quoted(b) for b in by], w.alias("_w"), *[as_double(df, c).alias(c) for c in cols])
-    base = spread(base)
-    long = base.unpivot([*[quoted(b) for b in by], F.col("_w")], [quoted(c) for c in cols], "column", "_v")
-    long = long.where(F.col("_v").isNotNull() & (F.col("_w") > 0))
     for b in by:
-        long = long.where(quoted(b).isNotNull())
+        base = base.where(quoted(b).isNotNull())
     v = F.col("_v")
     # A monotone function of the value, so a bucket is an interval.
-    long = long.withColumn("_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * BUCKETS_PER_E_FOLD))
+    bucket = F.floor(F.signum(v) * F.log1p(F.abs(v)) * BUCKETS_PER_E_FOLD)
+
+    def values(some):
+        d = spread(base.select(*[quoted(b) for b in by], "_w", *[quoted(c) for c in some]))
+        d = d.unpivot([*[quoted(b) for b in by], F.col("_w")], [quoted(c) for c in some], "column", "_v")
+        return d.where(F.col("_v").isNotNull() & (F.col("_w") > 0)).withColumn("_b", bucket)
+
     g = [*by, "column"]
     small = (lambda d: d) if by else F.broadcast
 
-    first = (long.groupBy(*g, "_b")
+    first = (values(cols).groupBy(*g, "_b")
              .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     spots = F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
                       for n, p in probs.items() for side in (0, 1)])
@@ -92,6 +95,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
             open_ = t.where(F.col("_lo") < F.col("_hi"))
             if open_.isEmpty():
                 break
+            left = cols
         else:
             rows = t.collect()
             found += [r for r in rows if r["_lo"] == r["_hi"]]
@@ -99,7 +103,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
             if not rows:
                 break
             open_ = literal_rows(df.sparkSession, rows, t.schema)
-        inside = (long.join(small(open_.select(*span).distinct()), [*g, "_b"])
+            left = sorted({r["column"] for r in rows})  # columns already settled are not read again
+        inside = (values(left).join(small(open_.select(*span).distinct()), [*g, "_b"])
                   .where((v >= F.col("_lo")) & (v <= F.col("_hi"))))
         cells = (inside.groupBy(*span, slot.alias("_s"))
                  .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"))

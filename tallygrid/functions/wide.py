@@ -60,15 +60,26 @@ def short_key(df: DataFrame, col: str) -> Column:
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows (column, value, n): exact counts of every non-null value of every column.
+    """Rows (column, value, n): exact counts of every non-null value of every column, values as text.
 
     Combined on the map side, so a value that fills a third of a column costs
-    one row per task in the shuffle.
+    one row per task in the shuffle. Whole numbers and fractions are grouped in
+    their own type and turned into text only once per distinct value.
     """
-    base = spread(df.select(*[short_key(df, c).cast("string").alias(c) for c in cols]))
-    return (base.unpivot([], [quoted(c) for c in cols], "column", "value")
-            .where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    def kind(c):
+        dt = df.schema[c].dataType
+        return "long" if isinstance(dt, T.IntegralType) else "double" if isinstance(dt, (T.FloatType, T.DoubleType)) else "string"
+
+    parts = []
+    for k in ("long", "double", "string"):
+        some = [c for c in cols if kind(c) == k]
+        if some:
+            base = spread(df.select(*[short_key(df, c).cast(k).alias(c) for c in some]))
+            parts.append(base.unpivot([], [quoted(c) for c in some], "column", "value")
+                         .where(F.col("value").isNotNull())
+                         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+                         .select("column", F.col("value").cast("string").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:

@@ -179,9 +179,17 @@ def pair_rules(df: DataFrame, basket: str, item: str, min_support: float = 0.01)
 
 
 def assoc_rules(df: DataFrame, basket: str, item: str, min_support: float = 0.01, min_confidence: float = 0.1) -> DataFrame:
-    """Rules of any length by parallel FP-growth, without building the item pairs."""
-    sets = df.where(quoted(basket).isNotNull() & quoted(item).isNotNull()).groupBy(quoted(basket).alias("b")).agg(
-        F.collect_set(quoted(item).cast("string")).alias("items"))
+    """Rules of any length by parallel FP-growth, without building the item pairs.
+
+    Items below the support cannot be in a rule; they leave the baskets before
+    these are collected, while every basket still counts.
+    """
+    d = df.where(quoted(basket).isNotNull() & quoted(item).isNotNull()).select(
+        quoted(basket).alias("b"), quoted(item).cast("string").alias("i")).distinct()
+    n = d.select("b").distinct().agg(F.count(F.lit(1)).alias("n"))
+    freq = d.groupBy("i").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(n)).where(
+        F.col("c") / F.col("n") >= min_support).select("i", F.lit(True).alias("often"))
+    sets = d.join(freq, "i", "left").groupBy("b").agg(F.collect_list(F.when(F.col("often"), F.col("i"))).alias("items"))
     m = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets)
     return m.associationRules
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, numeric_columns, quoted
-from ..functions.ordering import body, dense_codes, micros, row_window, with_reach
+from ..functions.ordering import (CHUNK, body, cut_points, dense_codes, micros, null_safe_join, row_window, with_chunk,
+                                  with_reach)
 from ..functions.quantiles import exact_quantiles
 from ..functions.wide import column_stats
 from ..session import spread
+from .relational import asof_join
 
 # --- Fixed values: windows and lags in rows -------------------------------------------------
 LAGS = [1, 7, 30]
@@ -53,21 +55,44 @@ def rolling(df: DataFrame, col: str, by: list[str], order_by: list[str], n: int,
 
 
 def rolling_time(df: DataFrame, col: str, by: list[str], ts: str, days: int, fns: list[str] = ("sum",)) -> DataFrame:
-    """Aggregates over the last ``days`` days up to and including the row, per entity.
+    """sum, mean, count, max or min over the last ``days`` days up to and including the row, per entity.
 
-    Time is cut into blocks of that length; each row also visits the next
-    block, so a window never needs more than (entity, two blocks).
+    Time is cut into chunks of similar mass. A window is its part of the row's
+    own chunk, the whole chunks before, and the end of the chunk it starts in;
+    the last two come from tables of one row per (entity, chunk) and per
+    (entity, time), so no task sees all rows of a busy entity.
     """
-    us = micros(df, ts)
+    by = list(by)
     width = days * 86400 * 1000000
-    d = df.withColumn("_us", us).withColumn("_blk", F.floor(F.col("_us") / width))
-    d = d.withColumn("_to", F.explode(F.array(
-        F.struct(F.col("_blk").alias("b"), F.lit(True).alias("own")),
-        F.struct((F.col("_blk") + 1).alias("b"), F.lit(False).alias("own")))))
-    w = W.partitionBy(*by, "_to.b").orderBy("_us").rangeBetween(-width + 1, 0)
-    f = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
-    return (d.withColumns({f"{col}_{k}_{days}d": f[k](quoted(col)).over(w) for k in fns})
-            .where("_to.own").drop("_us", "_blk", "_to"))
+    parts = {"s": F.sum, "c": F.count, "hi": F.max, "lo": F.min}
+    start = F.col("_us") - width + 1
+    d = df.withColumn("_us", micros(df, ts)).withColumn("_v", quoted(col))
+    cuts = cut_points(d, F.col("_us").cast("double"))
+    d = with_chunk(d, start.cast("double"), cuts).withColumnRenamed(CHUNK, "_c0")
+    d = with_chunk(d, F.col("_us").cast("double"), cuts)
+    own = W.partitionBy(*by, CHUNK).orderBy("_us").rangeBetween(-width + 1, 0)
+    d = d.withColumns({f"_own_{n}": f("_v").over(own) for n, f in parts.items()})
+
+    merge = {"s": F.sum, "c": F.sum, "hi": F.max, "lo": F.min}
+    moments = d.groupBy(*by, CHUNK, "_us").agg(*[f("_v").alias(n) for n, f in parts.items()])
+    back = W.partitionBy(*by, CHUNK).orderBy(F.desc("_us")).rowsBetween(W.unboundedPreceding, 0)
+    ends = moments.select(*by, F.col(CHUNK).alias("_c0"), "_us", *[f(n).over(back).alias(f"_end_{n}") for n, f in merge.items()])
+    asked = d.where(F.col("_c0") < F.col(CHUNK)).select(*by, "_c0", start.alias("_us")).distinct()
+    ends = asof_join(asked, ends, "_us", [*by, "_c0"], "forward").withColumn("_us", F.col("_us") + width - 1)
+
+    whole = moments.groupBy(*by, CHUNK).agg(*[f(n).alias(n) for n, f in merge.items()])
+    earlier = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    lists = whole.select(*by, CHUNK, F.collect_list(F.struct(F.col(CHUNK).alias("k"), *merge)).over(earlier).alias("_l"))
+    spans = d.where(F.col("_c0") < F.col(CHUNK)).select(*by, CHUNK, "_c0").distinct()
+    mids = (null_safe_join(spans, lists, [*by, CHUNK]).withColumn("_x", F.explode("_l")).where(F.col("_x.k") > F.col("_c0"))
+            .groupBy(*by, CHUNK, "_c0").agg(*[f(f"_x.{n}").alias(f"_mid_{n}") for n, f in merge.items()]))
+
+    j = null_safe_join(null_safe_join(d, mids, [*by, CHUNK, "_c0"]), ends, [*by, "_c0", "_us"])
+    three = lambda n: [F.col(f"_own_{n}"), F.col(f"_mid_{n}"), F.col(f"_end_{n}")]
+    add = lambda n: sum([F.coalesce(c, F.lit(0)) for c in three(n)], F.lit(0))
+    total = F.when(add("c") > 0, add("s"))
+    value = {"sum": total, "count": add("c"), "mean": total / F.nullif(add("c"), F.lit(0)), "max": F.greatest(*three("hi")), "min": F.least(*three("lo"))}
+    return j.select(*[quoted(c) for c in df.columns], *[value[k].alias(f"{col}_{k}_{days}d") for k in fns])
 
 
 def ratio(df: DataFrame, a: str, b: str, out: str | None = None) -> DataFrame:

@@ -73,26 +73,31 @@ def anova(df: DataFrame, col: str, group: str) -> DataFrame:
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows (a, b, n, row_total, col_total, total) with empty cells as 0."""
+    """Rows (a, b, n, row_total, col_total) of the cells that occur."""
     c = df.where(quoted(a).isNotNull() & quoted(b).isNotNull()).groupBy(
         quoted(a).cast("string").alias("a"), quoted(b).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     ra = c.groupBy("a").agg(F.sum("n").alias("row_total"))
     cb = c.groupBy("b").agg(F.sum("n").alias("col_total"))
-    # The table itself is the product of its margins: categories, not rows.
-    grid = ra.crossJoin(F.broadcast(cb)).crossJoin(F.broadcast(c.agg(F.sum("n").alias("total"))))
-    return grid.join(c, ["a", "b"], "left").na.fill(0, ["n"])
+    return c.join(ra, "a").join(cb, "b")
 
 
 def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Independence of two categories; Yates correction at one degree of freedom."""
+    """Independence of two categories; Yates correction at one degree of freedom.
+
+    The sum over all cells is total * (sum of n^2 / (row * column) - 1), so
+    empty cells need no rows. In a 2 x 2 table every cell is equally far from
+    its expectation, and the reciprocal expectations factor by margin.
+    """
     t = contingency(df, a, b)
-    e = F.col("row_total") * F.col("col_total") / F.col("total")
-    diff = F.abs(F.col("n") - e)
-    yates = F.greatest(diff - 0.5, F.lit(0.0))
-    r = t.agg(F.sum(diff * diff / e).alias("plain"), F.sum(yates * yates / e).alias("yates"),
-              F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
-    r = r.withColumn("dof", ((F.col("r") - 1) * (F.col("c") - 1)).cast("double"))
-    r = r.withColumn("statistic", F.when(F.col("dof") == 1, F.col("yates")).otherwise(F.col("plain")))
+    ra = t.groupBy("a").agg(F.max("row_total").alias("r")).agg(F.count(F.lit(1)).alias("rows"), F.sum("r").alias("total"), F.sum(1 / F.col("r")).alias("ir"))
+    cb = t.groupBy("b").agg(F.max("col_total").alias("c")).agg(F.count(F.lit(1)).alias("cols"), F.sum(1 / F.col("c")).alias("ic"))
+    n, e = F.col("n"), F.col("row_total").cast("double") * F.col("col_total")
+    r = t.crossJoin(F.broadcast(ra)).groupBy("rows", "total", "ir").agg(
+        F.sum(n * n / e).alias("q"), F.max(F.abs(n - e / F.col("total"))).alias("d")).crossJoin(F.broadcast(cb))
+    dof = ((F.col("rows") - 1) * (F.col("cols") - 1)).cast("double")
+    gap = F.greatest(F.col("d") - 0.5, F.lit(0.0))
+    r = r.withColumn("dof", dof).withColumn("statistic", F.when(dof == 1, gap * gap * F.col("total") * F.col("ir") * F.col("ic"))
+                                            .otherwise(F.col("total") * (F.col("q") - 1)))
     return _finish(r, "chi2", p_chi2(F.col("statistic"), F.col("dof")), ["statistic", "dof"])
 
 
