@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import parse_any
-from ..functions.kinds import (FAKE_NULLS, SENTINELS, as_double, as_number, quoted, string_columns, strip,
-                               text_to_number)
+from ..functions.kinds import FAKE_NULLS, SENTINELS, as_double, quoted, string_columns, strip, text_to_number
 from ..functions.ordering import carry
 from ..functions.quantiles import exact_quantiles
 from ..functions.wide import column_stats

@@ -11,11 +11,10 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kinds import (NAME_NOT_FEATURE, NUMERIC_TYPES, as_double, name_matches, numeric_columns, quoted,
-                               string_columns)
+from ..functions.kinds import NAME_NOT_FEATURE, as_double, name_matches, numeric_columns, quoted, string_columns
 from ..functions.ordering import micros
 from ..functions.quantiles import exact_quantiles
 from ..session import cut_lineage

@@ -11,7 +11,7 @@ from ..functions.dates import parse_any
 from ..functions.kinds import (FAKE_NULLS, NAME_DATETIME, NAME_DATETIME_WIDE, NAME_KEY, NAME_KEY_DUPLICATE,
                                NAME_POSITIVE, NAME_POSITIVE_OUTLIER, TEXT_PATTERNS, TEXT_SHARES, as_double, as_number,
                                name_matches, names_like, numeric_columns, quoted, share, string_columns, strip, tally,
-                               text_to_number, time_columns, type_name, unicode_search)
+                               text_to_number, time_columns, type_name)
 from ..functions.moments import adjusted_kurtosis, adjusted_skew, safe_corr
 from ..functions.quantiles import QUARTILES, exact_quantiles, read_back
 from ..functions.wide import (column_frame, column_stats, distinct_counts, duplicate_rows, duplicate_values,

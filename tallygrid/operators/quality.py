@@ -8,16 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import (BOILERPLATE, ENCODING_PATTERNS, NAME_BIRTH, NAME_COST, NAME_END, NAME_LEAK,
-                               NAME_LEAK_ID, NAME_PII, NAME_PROFIT, NAME_RANGE, NAME_REVENUE, NAME_START, PII_PATTERNS,
-                               QUALITY_PATTERNS, SENTINELS, UNIT_PATTERNS, as_double, as_number, name_matches,
-                               names_like, numeric_columns, quoted, share, string_columns, strip, tally, time_columns,
-                               type_name, unicode_search)
+from ..functions.kinds import (BOILERPLATE, ENCODING_PATTERNS, NAME_COST, NAME_END, NAME_LEAK, NAME_LEAK_ID, NAME_PII,
+                               NAME_PROFIT, NAME_RANGE, NAME_REVENUE, NAME_START, PII_PATTERNS, QUALITY_PATTERNS,
+                               SENTINELS, UNIT_PATTERNS, as_double, as_number, name_matches, names_like,
+                               numeric_columns, quoted, share, string_columns, strip, tally, time_columns, type_name)
 from ..functions.moments import adjusted_skew
 from ..functions.quantiles import read_back
 from ..functions.wide import column_frame, column_stats, distinct_counts, duplicate_rows, melt_numbers
 from ..session import spread
-from .profile import advice, correlation_cells, fake_null, pairs
+from .profile import correlation_cells, fake_null
 
 
 

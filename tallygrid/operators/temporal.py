@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import as_double, numeric_columns, quoted, string_columns, tally
+from ..functions.kinds import as_double, numeric_columns, quoted, string_columns
 from ..functions.dates import parse_any
 from ..functions.ordering import micros, running_before, time_steps
-from ..functions.quantiles import exact_quantiles, read_back
+from ..functions.quantiles import exact_quantiles
 from ..functions.special import p_kolmogorov
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import (NAME_DATETIME_SUMMARY, NAME_KEY, as_double, name_matches, names_like, numeric_columns,
-                               quoted, share, string_columns, strip, tally, text_to_number, time_columns, type_name)
+                               quoted, share, string_columns, strip, tally, text_to_number, time_columns)
 from ..functions.ordering import micros
 from ..functions.wide import column_frame, column_stats, distinct_counts, duplicate_rows, value_counts
 from ..operators.profile import column_statistics, correlated_pairs, distributions
@@ -94,14 +94,14 @@ def inspect_for_ml(tables: dict[str, DataFrame], max_classes: int = 30) -> DataF
     return _union(parts)
 
 
-# --- Fixed values: issues, their severity and what to do ------------------------------------
+# --- Fixed values: severity of each issue; the text says which operator deals with it -------
 ISSUES = {
-    "duplicate_rows": ("medium", "Review exact duplicates before analysis and modeling."),
-    "missing_values": ("high", "Profile missingness and use column-specific imputations."),
-    "mixed_types": ("medium", "Normalize mixed-type columns before feature engineering."),
-    "whitespace": ("low", "Trim whitespace to prevent duplicate category variants."),
-    "constant": ("low", "Review constant columns and drop low-signal fields if needed."),
-    "datetime_review": ("medium", "Parse datetime-like columns before time-based analysis."),
+    "duplicate_rows": ("medium", "Look at the copies, then remove them with dedup."),
+    "missing_values": ("high", "Read missing_report and fill each column with impute."),
+    "mixed_types": ("medium", "Decide the type and convert with cast_columns."),
+    "whitespace": ("low", "Trim with standardize_text so that spellings meet."),
+    "constant": ("low", "Nothing to learn from it: drop_columns."),
+    "datetime_review": ("medium", "Turn the texts into times with parse_dates."),
 }
 # -------------------------------------------------------------------------------------------
 

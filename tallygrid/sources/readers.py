@@ -26,11 +26,11 @@ def nan_as_null(df: DataFrame) -> DataFrame:
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding) from the first bytes of one file of the path."""
-    # Only the head of one file is materialised: the binary column is cut before it leaves the reader task.
-    head = (spark.read.format("binaryFile").load(path)
-            .select(F.substring("content", 1, SNIFF_CHARACTERS * 4).alias("b")).limit(1).collect())
-    raw = bytes(head[0]["b"]) if head else b""
+    """(separator, encoding) from the first lines of one file of the path."""
+    # The text source passes bytes through untouched and a limit stops after the first lines of one split.
+    size = SNIFF_CHARACTERS * 4
+    head = spark.read.text(path).select(F.substring(F.col("value").cast("binary"), 1, size).alias("b")).limit(200).collect()
+    raw = b"\n".join(bytes(r["b"]) for r in head)[:size]
     encoding = "utf-8"
     try:
         text = raw.decode("utf-8")
