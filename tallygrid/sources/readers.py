@@ -35,7 +35,7 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError as e:
-        if e.start >= len(raw) - 4:  # a character cut at the end of the sample
+        if len(raw) == size and e.start >= size - 4:  # a character cut at the end of the sample
             text = raw[:e.start].decode("utf-8")
         else:
             encoding, text = "iso-8859-1", raw.decode("latin-1")
