@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_files
-from .common import fresh_path
+from . import fingerprints, mixing, packing, rollups, token_files, topk, toxicity
+from .common import fresh_path, stored
 from .tokens import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,57 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=0, max_tokens=2048)
+
+
+@query("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")), 0.7)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+_COUNT = "CAST(len(regexp_extract_all(coalesce(text, ''), '{}')) AS BIGINT)"
+
+
+@query("op6_rollups", f"""
+WITH d AS (SELECT doc_id, source, lang, {_COUNT.format('[^\\x20\\x09-\\x0D]+')} AS n1, {_COUNT.format('[A-Za-z]+|[0-9]')} AS n2,
+    row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS nth FROM documents)
+SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-1' ELSE 'letters-2' END AS tokenizer, count(*) AS docs,
+  CAST(sum(CASE WHEN lang = 'en' THEN n1 ELSE n2 END) AS BIGINT) AS tokens
+FROM d WHERE nth = 1 GROUP BY 1, 2, 3""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; the first batch is sent twice; documents outside English get counts of a new tokenizer; later exact copies go."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counted = stored(docs.select("doc_id", "source", "lang", rollups.words(text).alias("n1"),
+                                 F.when(F.col("lang") == "en", F.lit(0)).otherwise(rollups.letters_or_digits(text)).alias("n2"),
+                                 F.md5(text).alias("digest")), "counted")
+    r = rollups.Rollup(spark, fresh_path(spark, "rollup"))
+
+    def feed(d, op, tokenizer, tokens):
+        return d.select("doc_id", F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(tokens).alias("tokens"))
+
+    first = feed(counted, "put", "words-1", "n1")
+    r.commit(1, first)
+    r.commit(1, first)
+    r.commit(2, feed(counted.where("NOT lang <=> 'en'"), "put", "letters-2", "n2"))
+    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = counted.join(firsts, "digest").where("doc_id <> first")
+    r.commit(3, feed(copies, "delete", None, "n1"))
+    return r.totals()
