@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, rollups, token_files, topk, toxicity
+from . import fingerprints, mixing, packing, rollups, simhash, token_files, topk, toxicity
 from .common import fresh_path, stored
 from .tokens import vocabulary_path
 
@@ -119,3 +119,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = counted.join(firsts, "digest").where("doc_id <> first")
     r.commit(3, feed(copies, "delete", None, "n1"))
     return r.totals()
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash.classes(table(spark, sf_dir, "documents"), words=3, distance=3)
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
