@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, rollups, simhash, token_files, topk, toxicity
+from . import fingerprints, linededup, mixing, packing, rollups, simhash, token_files, topk, toxicity
 from .common import fresh_path, stored
 from .tokens import vocabulary_path
 
@@ -125,3 +125,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.classes(table(spark, sf_dir, "documents"), words=3, distance=3)
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_line_dedup", """
+WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM a),
+n AS (SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+p AS (SELECT n.doc_id, n.k, row_number() OVER (PARTITION BY n.x, m.x ORDER BY n.doc_id, n.k) AS nth FROM n JOIN n m ON n.doc_id = m.doc_id AND m.k = n.k + 1),
+g AS (SELECT DISTINCT doc_id, k + d AS k FROM p, (SELECT unnest([0, 1]) AS d) WHERE nth > 1),
+r AS (SELECT l.doc_id, l.i, l.x, n.k IS NOT NULL AS counted, g.k IS NOT NULL AS gone
+  FROM l LEFT JOIN n ON l.doc_id = n.doc_id AND l.i = n.i LEFT JOIN g ON n.doc_id = g.doc_id AND n.k = g.k)
+SELECT doc_id, CAST(count(*) FILTER (counted) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
+    return d.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
