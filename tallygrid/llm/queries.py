@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, linededup, mixing, packing, rollups, simhash, token_files, topk, toxicity
+from . import fingerprints, linededup, mixing, packing, rollups, simhash, substrings, token_files, topk, toxicity
 from .common import fresh_path, stored
 from .tokens import vocabulary_path
 
@@ -140,3 +140,9 @@ SELECT doc_id, CAST(count(*) FILTER (counted) AS INTEGER) AS n_lines, CAST(count
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
     return d.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=20)
+    return d.select("doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
