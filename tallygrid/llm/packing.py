@@ -40,8 +40,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, max_tokens: int) -> Da
         end, seen = np.array([end_id], enc.width), defaultdict(int)
         for b in batches:
             rows = []
-            for d, t in zip(b["doc_id"], b["text"]):
-                ids = np.concatenate([enc.encode(t), end]).astype("<u4")
+            for d, x in zip(b["doc_id"], enc.encode_many(b["text"].tolist())):
+                ids = np.concatenate([x, end]).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), max_tokens)):
                     x = ids[at:at + max_tokens]
                     rows.append((d, k, at, len(x), zlib.crc32(x.tobytes()), part, seen[len(x)]))

@@ -145,7 +145,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.width)
         for b in batches:
-            b["ids"] = [np.concatenate([enc.encode(t), end]).tobytes() for t in b.pop("text")]
+            b["ids"] = [np.concatenate([x, end]).tobytes() for x in enc.encode_many(b.pop("text").tolist())]
             yield b[["chunk", "doc_id", "ids"]]
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
