@@ -38,8 +38,8 @@ from .common import components, stored, with_text
 SEED = 42
 BITS = 64
 SAMPLE = 20_000  # fingerprints from which costs are estimated
-BLOCK = 2048  # fingerprints of one bucket that meet in one task at a time
-MEET_COST, PROBE_COST = 1.0, 300.0  # of comparing two fingerprints, of shuffling one row
+BLOCK = 4096  # fingerprints of one bucket that meet in one task at a time
+MEET_COST, PROBE_COST = 1.0, 600.0  # of comparing two fingerprints, of shuffling one row
 U = np.uint64
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -104,8 +104,9 @@ def near_shares(bits: np.ndarray, part: list[int], most: int) -> np.ndarray:
         q = np.convolve(q, [1 - d, d])
     free = np.cumsum(q)[:most + 1]
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, len(bits), (2, 400_000))
-    seen = (bits[a][:, part] != bits[b][:, part]).sum(1)[a != b]
+    a, b = rng.integers(0, len(bits), (2, 100_000))
+    part_bits = np.ascontiguousarray(bits[:, part]).astype(np.uint8)
+    seen = (part_bits[a] != part_bits[b]).sum(1)[a != b]
     return np.maximum(free, [(seen <= t).mean() if len(seen) else 0 for t in range(most + 1)])
 
 
@@ -127,18 +128,18 @@ def plan(sample: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int
     bits = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
     found = None
     for parts in range(1, distance + 2):
+        most = min(distance, 3)
+        if distance - parts + 1 > most * parts:
+            continue
         groups = bit_parts(bits, parts)
-        most = distance - parts + 1 + parts - 1
         costs = []
         for g in groups:
-            share = near_shares(bits, g, min(most, 3))
+            share = near_shares(bits, g, most)
             row, probes = [0.0], 0.0
-            for t in range(min(most, 3) + 1):
+            for t in range(most + 1):
                 probes += float(np.prod([(len(g) - k) / (k + 1) for k in range(t)])) if t else 1.0
                 row.append(n * (1 + (probes if t else 0)) * PROBE_COST + n * n * share[t] / 2 * (2 if t else 1) * MEET_COST)
             costs.append(row)
-        if distance - parts + 1 > 3 * parts:
-            continue
         cost, ts = allocate(costs, distance - parts + 1)
         if found is None or cost < found[0]:
             found = (cost, [(g, t) for g, t in zip(groups, ts) if t >= 0])
@@ -173,7 +174,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def meet(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs (left, right) within ``distance`` and not equal."""
+    """A spanning forest of the pairs (left, right) within ``distance`` and not equal, nearest pairs first."""
+    def thin(a, b):
+        order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
+        keep = order[forest(a[order], b[order])]
+        return a[keep], b[keep]
+
     found_a, found_b = [], []
     for at in range(0, len(left), 256):
         x = left[at:at + 256, None] ^ right[None, :]
@@ -181,12 +187,9 @@ def meet(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray
         found_a.append(left[at + i])
         found_b.append(right[j])
         if sum(map(len, found_a)) > 1 << 20:  # keep what is held small
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            keep = forest(a, b)
-            found_a, found_b = [a[keep]], [b[keep]]
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    keep = forest(a, b)
-    return a[keep], b[keep]
+            a, b = thin(np.concatenate(found_a), np.concatenate(found_b))
+            found_a, found_b = [a], [b]
+    return thin(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def links(fps: DataFrame, distance: int) -> DataFrame:
@@ -255,3 +258,57 @@ def classes(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return d.join(named, d["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+
+
+def shingle_set(texts: pd.Series, words: int) -> pd.Series:
+    """Sorted distinct shingle hashes of each text, as bytes."""
+    return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts])
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets; 1 for two empty ones."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 12, similarity: float = 0.8) -> DataFrame:
+    """``docs`` less all but one document of each group of near copies: the one of the smallest doc_id stays.
+
+    Candidates are the least spanning forest of the fingerprints within
+    ``distance`` (and texts of equal fingerprints); a link holds if the exact
+    Jaccard similarity of the two texts' shingle sets is at least
+    ``similarity``. Equal texts are always one group. Rows equal in id and text
+    leave one row.
+    """
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = np.array([fingerprint(t, words) for t in b["text"]], U).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "fp": fp})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    d = stored(rows.mapInPandas(run, "doc_id long, digest string, fp long"), "fingerprints")
+    texts = stored(d.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")), "texts")
+    fps = texts.groupBy("fp").agg(F.min("digest").alias("rep"))
+    a, b = (fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
+    far = links(fps.select("fp"), distance).join(a, "a").join(b, "b").select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y"))
+    same = texts.join(fps.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).where("digest <> rep").select(F.col("digest").alias("x"), F.col("rep").alias("y"))
+    pairs = stored(far.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    asked = pairs.select(F.col("x").alias("_d")).union(pairs.select("y")).distinct()
+    # One text of each candidate, as its shingle set; copies of a text fall away before the sets are made.
+    held = rows.join(asked, rows["digest"] == asked["_d"], "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    as_set = F.pandas_udf(lambda t: shingle_set(t, words), "binary")
+    sets = stored(held.select("digest", as_set("text").alias("set")), "sets")
+    left, right = (sets.select(F.col("digest").alias(k), F.col("set").alias(f"set_{k}")) for k in "xy")
+    alike = F.pandas_udf(lambda p, q: pd.Series([resemblance(i, j) for i, j in zip(p, q)]), "double")
+    good = pairs.join(left, "x").join(right, "y").where(alike("set_x", "set_y") >= similarity).select("x", "y")
+    roots = components(good, "x", "y")
+    rooted = texts.join(roots, texts["digest"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
+    order = F.struct(F.col("first").isNull().alias("missing"), "first", "digest")
+    stay = rooted.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.digest").alias("_digest"), F.col("s.first").alias("_first"))
+    kept = docs.withColumn("_md5", digest).join(stay, (F.col("_md5") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
+    if d.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():  # rows equal in id and text
+        kept = kept.dropDuplicates(["_digest"])
+    return kept.select(*docs.columns)
