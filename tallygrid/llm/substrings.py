@@ -314,6 +314,7 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
         for _, packs in by_bucket(batches):
             u = np.concatenate([np.frombuffer(p, _UNIT) for p in packs])
             u = u[np.lexsort((u["first"], u["tie"], u["doc"], 1 - u["null"], u["h"]))]
+            u = u[np.concatenate([[True], u[1:] != u[:-1]])]  # rows equal in id and text may stand in several shards
             u = u[np.concatenate([[False], np.diff(u["h"]) == 0])]
             u = u[np.lexsort((u["first"], u["tie"], u["doc"], u["null"]))]
             if not len(u):
