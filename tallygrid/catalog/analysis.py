@@ -134,6 +134,12 @@ def a05(spark, sf):
     return A.tiers(table(spark, sf, "customer"), "c_acctbal", {"gold": 0.9, "silver": 0.6}).select("c_custkey", "tier")
 
 
+@query("A05_tiers_all_missing", "SELECT c_custkey, NULL::VARCHAR AS tier FROM customer")
+def a05_missing(spark, sf):
+    d = table(spark, sf, "customer").withColumn("c_acctbal", F.lit(None).cast("double"))
+    return A.tiers(d, "c_acctbal", {"gold": 0.9, "silver": 0.6}).select("c_custkey", "tier")
+
+
 @query("A06_cohort", """WITH p AS (SELECT DISTINCT o_custkey AS k, date_trunc('year', o_orderdate) AS p FROM orders), f AS (SELECT k, min(p) AS c FROM p GROUP BY 1), z AS (SELECT c, count(*) AS cohort_size FROM f GROUP BY 1)
 SELECT strftime(c, '%Y-%m-%d') AS cohort, (year(p) - year(c))::INT AS period, count(*) AS customers, any_value(cohort_size) AS cohort_size, round(count(*) * 1.0 / any_value(cohort_size), 6) AS retention
  FROM p JOIN f USING (k) JOIN z USING (c) GROUP BY c, p""")
@@ -171,6 +177,14 @@ def a09c(spark, sf):
     return A.anomalies(table(spark, sf, "events"), "value", "event_type", "robust").select("event_id", r("score"), "is_anomaly")
 
 
+@query("A09_anomalies_null_group", """WITH e AS (SELECT event_id, value, CASE WHEN event_type <> 'click' THEN event_type END AS event_type FROM events)
+SELECT event_id, round(abs(value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) AS score, coalesce(abs(value - avg(value) OVER w) / stddev_samp(value) OVER w > 0, false) AS is_anomaly
+ FROM e WINDOW w AS (PARTITION BY event_type)""")
+def a09_null(spark, sf):
+    d = table(spark, sf, "events").withColumn("event_type", F.when(F.col("event_type") != "click", F.col("event_type")))
+    return A.anomalies(d, "value", "event_type", limit=0).select("event_id", r("score"), "is_anomaly")
+
+
 @query("A10_pair_rules", """WITH d AS (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT b) AS n FROM d),
  f AS (SELECT i, count(*) AS c FROM d, n GROUP BY i, n HAVING count(*) * 1.0 / n >= 0.005)
 SELECT x.i AS antecedent, y.i AS consequent, count(*) AS pair_count, round(count(*) * 1.0 / n, 6) AS support, round(count(*) * 1.0 / fx.c, 6) AS confidence, round(count(*) * 1.0 * n / (fx.c * fy.c), 6) AS lift
@@ -277,6 +291,12 @@ def l04c(spark, sf):
     return L.folds(table(spark, sf, "orders"), "time", 5, ts="o_orderdate").select("o_orderkey", "fold")
 
 
+@query("L04_folds_time_all_missing", "SELECT o_orderkey, 0 AS fold FROM orders")
+def l04_missing(spark, sf):
+    d = table(spark, sf, "orders").withColumn("o_orderdate", F.lit(None).cast("timestamp_ntz"))
+    return L.folds(d, "time", 5, ts="o_orderdate").select("o_orderkey", "fold")
+
+
 SMALL = {"boosted_trees": {"maxIter": 5, "maxDepth": 3}, "random_forest": {"numTrees": 10, "maxDepth": 5}, "linear": {"maxIter": 50}}
 
 

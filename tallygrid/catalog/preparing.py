@@ -124,6 +124,16 @@ def c14b(spark, sf):
     return C.yeo_johnson(table(spark, sf, "events"), "value").select("event_id", "value")
 
 
+@query("C12_clip_all_missing", "SELECT event_id, NULL::DOUBLE AS value FROM events")
+def c12_missing(spark, sf):
+    return C.clip(table(spark, sf, "events").withColumn("value", F.lit(None).cast("double")), "value").select("event_id", "value")
+
+
+@query("C15_flag_all_missing", "SELECT event_id, 0 AS value_outlier FROM events")
+def c15_missing(spark, sf):
+    return C.flag(table(spark, sf, "events").withColumn("value", F.lit(None).cast("double")), "value", "outlier").select("event_id", "value_outlier")
+
+
 @query("C15_flag_negative", M0 + "SELECT customer_id, (age < 0)::INT AS age_negative FROM m")
 def c15(spark, sf):
     return C.flag(messy(spark, sf), "age", "negative").select("customer_id", "age_negative")
@@ -341,6 +351,11 @@ def f08c(spark, sf):
     return X.bin_quantile(table(spark, sf, "events"), "value", 4, "b").select("event_id", "b")
 
 
+@query("F08_bin_quantile_all_missing", "SELECT event_id, NULL::INTEGER AS b FROM events")
+def f08_missing(spark, sf):
+    return X.bin_quantile(table(spark, sf, "events").withColumn("value", F.lit(None).cast("double")), "value", 4, "b").select("event_id", "b")
+
+
 @query("F09_text_features", "SELECT doc_id, length(text) AS text_chars, len([x FOR x IN string_split_regex(text, '\\s+') IF x <> ''])::BIGINT AS text_words, (lower(text) LIKE '%license%')::INT AS text_has_license FROM documents")
 def f09(spark, sf):
     return X.text_features(table(spark, sf, "documents"), "text", ["license"]).select(

@@ -578,6 +578,11 @@ def p36(spark, sf):
     return TM.monthly_signal(table(spark, sf, "orders"), "o_orderdate")
 
 
+@query("P37_time_split_all_missing", "SELECT event_id, 'train' AS split FROM events")
+def p37_missing(spark, sf):
+    return TM.time_split(table(spark, sf, "events").withColumn("ts", F.lit(None).cast("timestamp_ntz")), "ts").select("event_id", "split")
+
+
 @query("P37_split_point", """WITH c AS (SELECT quantile_cont(epoch_us(ts)::DOUBLE, 0.8) AS c FROM events) SELECT CASE WHEN epoch_us(ts) > c THEN 'test' ELSE 'train' END AS split, count(*) AS n,
  strftime(make_timestamp(floor(any_value(c))::BIGINT), '%Y-%m-%d %H:%M:%S') AS train_end FROM events, c GROUP BY 1""")
 def p37(spark, sf):

@@ -130,4 +130,12 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
     return hits.groupBy(*g).agg(*[value(n) for n in probs])
 
 
+def one_row(bounds: DataFrame, *names: str) -> DataFrame:
+    """The named fields of a one-column report as exactly one row: missing where the column has no value.
+
+    Crossing a table with the report itself would drop all its rows in that case.
+    """
+    return bounds.agg(*[F.max(n).alias(n) for n in names])
+
+
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, quoted
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, one_row
 from ..session import cut_lineage
 from .clean import resample
 
@@ -107,7 +107,8 @@ def tiers(df: DataFrame, col: str, cuts: dict[str, float], quantile: bool = True
     order = sorted(cuts.items(), key=lambda kv: -kv[1])
     x = as_double(df, col)
     if quantile:
-        b = exact_quantiles(df, [col], {f"_t{i}": v for i, (_, v) in enumerate(order)}).drop("column")
+        names = [f"_t{i}" for i in range(len(order))]
+        b = one_row(exact_quantiles(df, [col], {n: v for n, (_, v) in zip(names, order)}), *names)
         d, edge = df.crossJoin(F.broadcast(b)), [F.col(f"_t{i}") for i in range(len(order))]
     else:
         d, edge = df, [F.lit(float(v)) for _, v in order]
@@ -132,25 +133,31 @@ def cohort(df: DataFrame, key: str, ts: str, grain: str = "month") -> DataFrame:
 
 
 def anomalies(df: DataFrame, col: str, by: str, method: str = "z", limit: float | None = None) -> DataFrame:
-    """``df`` with ``score`` and ``is_anomaly`` inside each group: ``z``, ``iqr`` (fence distance) or ``robust`` (MAD)."""
-    x = as_double(df, col)
+    """``df`` with ``score`` and ``is_anomaly`` inside each group: ``z``, ``iqr`` (fence distance) or ``robust`` (MAD).
+
+    Rows whose group is missing are a group of their own.
+    """
+    x, names = as_double(df, col), df.columns
+    # Quantiles leave out missing keys, so the group becomes a text that is never missing.
+    df = df.withColumn("_by", F.coalesce(F.concat(F.lit("="), quoted(by).cast("string")), F.lit("")))
+    by = "_by"
     if method == "z":
         b = df.groupBy(by).agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
-        score, cut = F.abs(x - F.col("_m")) / F.nullif("_s", F.lit(0.0)), limit or 3.0
+        score, cut = F.abs(x - F.col("_m")) / F.nullif("_s", F.lit(0.0)), 3.0 if limit is None else limit
     elif method == "iqr":
         q = exact_quantiles(df, [col], {"q1": 0.25, "q3": 0.75}, by=[by])
         b = q.select(by, F.col("q1").alias("_m"), F.col("q3").alias("_s"))
         score = F.greatest(F.col("_m") - x, x - F.col("_s")) / F.nullif(F.col("_s") - F.col("_m"), F.lit(0.0))
-        cut = limit or 1.5
+        cut = 1.5 if limit is None else limit
     else:
         # One row per group, used three times.
         med = cut_lineage(exact_quantiles(df, [col], {"_m": 0.5}, by=[by]).drop("column"))
         dev = df.join(med, by).withColumn("_d", F.abs(x - F.col("_m")))
         mad = exact_quantiles(dev, ["_d"], {"_s": 0.5}, by=[by]).drop("column")
         b = med.join(mad, by)
-        score, cut = 0.6745 * F.abs(x - F.col("_m")) / F.nullif("_s", F.lit(0.0)), limit or 3.5
+        score, cut = 0.6745 * F.abs(x - F.col("_m")) / F.nullif("_s", F.lit(0.0)), 3.5 if limit is None else limit
     return df.join(b, by, "left").withColumn("score", score).withColumn(
-        "is_anomaly", F.coalesce(F.col("score") > cut, F.lit(False))).drop("_m", "_s")
+        "is_anomaly", F.coalesce(F.col("score") > cut, F.lit(False))).select(*[quoted(c) for c in names], "score", "is_anomaly")
 
 
 def pair_rules(df: DataFrame, basket: str, item: str, min_support: float = 0.01) -> DataFrame:

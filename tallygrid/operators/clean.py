@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.dates import parse_any
 from ..functions.kinds import FAKE_NULLS, SENTINELS, as_double, quoted, string_columns, strip, text_to_number
 from ..functions.ordering import carry
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, one_row
 from ..functions.wide import column_stats
 
 
@@ -138,7 +138,7 @@ def clip_bounds(df: DataFrame, cols: list[str], method: str = "iqr", factor: flo
 
 def clip(df: DataFrame, col: str, method: str = "iqr", factor: float = 1.5) -> DataFrame:
     """Values beyond the fences (or beyond the 1 % and 99 % quantiles) moved to the fence."""
-    b = clip_bounds(df, [col], method, factor).select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    b = one_row(clip_bounds(df, [col], method, factor).select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "_lo", "_hi")
     x = as_double(df, col)
     return df.crossJoin(F.broadcast(b)).select(*[
         F.when(x.isNotNull(), F.greatest(F.col("_lo"), F.least(F.col("_hi"), x))).alias(c) if c == col else quoted(c)
@@ -180,7 +180,7 @@ def flag(df: DataFrame, col: str, rule: str, lo: float | None = None, hi: float
         return df.withColumn(name, one(x < 0))
     if rule == "range":
         return df.withColumn(name, one((x < lo) | (x > hi)))
-    b = clip_bounds(df, [col], "iqr", factor).select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    b = one_row(clip_bounds(df, [col], "iqr", factor).select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "_lo", "_hi")
     return df.crossJoin(F.broadcast(b)).withColumn(name, one((x < F.col("_lo")) | (x > F.col("_hi")))).drop("_lo", "_hi")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import as_double, numeric_columns, quoted
 from ..functions.ordering import (CHUNK, body, cut_points, dense_codes, micros, null_safe_join, row_window, with_chunk,
                                   with_reach)
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, one_row
 from ..functions.wide import column_stats
 from ..session import spread
 from .relational import asof_join
@@ -132,7 +132,8 @@ def bin_width(df: DataFrame, col: str, n: int, out: str | None = None) -> DataFr
 
 def bin_quantile(df: DataFrame, col: str, q: int, out: str | None = None) -> DataFrame:
     """q intervals holding about equally many rows."""
-    b = exact_quantiles(df, [col], {f"_e{i}": i / q for i in range(q + 1)}).drop("column")
+    names = [f"_e{i}" for i in range(q + 1)]
+    b = one_row(exact_quantiles(df, [col], {n: i / q for i, n in enumerate(names)}), *names)
     edges = [F.col(f"_e{i}") for i in range(q + 1)]
     return (df.crossJoin(F.broadcast(b)).withColumn(out or f"{col}_bin", _ladder(as_double(df, col), edges))
             .drop(*[f"_e{i}" for i in range(q + 1)]))

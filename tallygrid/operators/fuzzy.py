@@ -77,11 +77,11 @@ def candidate_pairs(values: DataFrame, t: float, method: str) -> DataFrame:
 
 
 def fuzzy_pairs(df: DataFrame, col: str, threshold: float = 90, method: str = "levenshtein",
-                limit: int | None = 40) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """Rows (value_a, value_b, similarity_pct, count_a, count_b) of similar distinct values.
 
     Values are compared trimmed and in lower case. ``levenshtein``: 1 - edits /
-    longer length. ``ratio``: Ratcliff-Obershelp. ``limit`` cuts only the
+    longer length. ``ratio``: Ratcliff-Obershelp. ``limit`` cuts the
     sorted result.
     """
     t = threshold / 100

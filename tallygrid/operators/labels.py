@@ -54,7 +54,7 @@ def label_quality(df: DataFrame, label: str) -> DataFrame:
 
 def class_separation(df: DataFrame, label: str, cols: list[str] | None = None, max_classes: int = 10) -> DataFrame:
     """Per feature: spread of the class means over the overall spread; only for 2 to ``max_classes`` classes."""
-    cols = cols or sorted(c for c in numeric_columns(df) if c != label)[:5]
+    cols = cols or sorted(c for c in numeric_columns(df) if c != label)
     d = df.withColumn("_label", quoted(label).cast("string"))
     long = melt_numbers(d, cols, ["_label"])
     overall = long.groupBy("column").agg(F.stddev_samp("value").alias("sd"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import NAME_NOT_FEATURE, as_double, name_matches, numeric_columns, quoted, string_columns
 from ..functions.ordering import micros
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, one_row
 from ..session import cut_lineage
 from .clean import resample
 from .features import fold_of
@@ -25,7 +25,6 @@ from .temporal import time_split
 # --- Fixed values: default sizes of the model families --------------------------------------
 DEFAULTS = {"boosted_trees": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 6},
             "random_forest": {"numTrees": 150, "maxDepth": 10}, "linear": {"maxIter": 1000, "regParam": 1.0}}
-TOP_IMPORTANCE = 20
 MIN_ROWS = 10
 # -------------------------------------------------------------------------------------------
 
@@ -92,7 +91,7 @@ def folds(df: DataFrame, kind: str = "random", n: int = 5, key: list[str] = (),
     edges = [F.col(q) for q in probs]
     if kind == "time":
         d = df.withColumn("_u", micros(df, ts))
-        d = d.crossJoin(F.broadcast(exact_quantiles(d, ["_u"], probs).drop("column")))
+        d = d.crossJoin(F.broadcast(one_row(exact_quantiles(d, ["_u"], probs), *probs)))
         f = sum([(F.col("_u") > e).cast("int") for e in edges], F.lit(0))
     else:
         d = df.withColumn("_u", u)
@@ -214,7 +213,7 @@ def classification_metrics(pred: DataFrame, label: str, prediction: str = "predi
         F.struct(F.lit("f1_weighted").alias("metric"), (F.col("f") / F.col("t")).alias("value")))))
 
 
-def importance(trained: Trained, spark: SparkSession, top: int = TOP_IMPORTANCE) -> DataFrame:
+def importance(trained: Trained, spark: SparkSession, top: int | None = None) -> DataFrame:
     """Rows (feature, importance): tree importances or absolute coefficients, highest first."""
     last = trained.model.stages[-1]
     vec = next(s for s in trained.model.stages if isinstance(s, VectorAssembler))

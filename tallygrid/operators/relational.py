@@ -11,14 +11,10 @@ from ..functions.kinds import quoted, type_name
 from ..functions.ordering import carry, null_safe_join
 from ..functions.wide import column_stats, distinct_counts
 
-# --- Fixed value: rows a question returns unless it says otherwise --------------------------
-DEFAULT_LIMIT = 100
-# -------------------------------------------------------------------------------------------
-
 
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None,
-            limit: int | None = DEFAULT_LIMIT) -> DataFrame:
-    """Spark SQL over the given tables, at most ``limit`` rows."""
+            limit: int | None = None) -> DataFrame:
+    """Spark SQL over the given tables: all rows, or the first ``limit``."""
     for n, df in (tables or {}).items():
         df.createOrReplaceTempView(n)
     out = spark.sql(sql)
@@ -100,14 +96,11 @@ def sample_rows(df: DataFrame, n: int = 10, key: list[str] = (), condition: Colu
     return d.orderBy(h, *[quoted(k) for k in key]).limit(n)
 
 
-def preview(tables: dict[str, DataFrame], order: dict[str, list[str]], n: int = 5, total: int = 20) -> DataFrame:
-    """First rows of every table as JSON texts (table, row, record), at most ``total``."""
+def preview(tables: dict[str, DataFrame], order: dict[str, list[str]], n: int = 5) -> DataFrame:
+    """First ``n`` rows of every table as JSON texts (table, row, record)."""
     parts = []
     for name, df in tables.items():
-        left = min(n, total - n * len(parts))
-        if left <= 0:
-            break
-        top = df.orderBy(*order[name]).limit(left)
+        top = df.orderBy(*order[name]).limit(n)
         w = W.orderBy(*order[name])  # at most n rows
         parts.append(top.select(F.lit(name).alias("table"), F.row_number().over(w).cast("long").alias("row"),
                                 F.to_json(F.struct(*df.columns)).alias("record")))
@@ -120,16 +113,17 @@ def pivot_table(df: DataFrame, by: list[str], on: str, values: list, agg: Column
 
 
 def running_total(df: DataFrame, by: list[str], order: list[str], col: str, out: str) -> DataFrame:
-    """Cumulative sum per key, in chunks so that a hot key is spread."""
+    """Cumulative sum per key, in chunks so that a hot key is spread; missing only before the first value."""
     from ..functions.ordering import CHUNK, cut_points, order_number, with_chunk
     number = order_number(df, order[0])
     d = with_chunk(df, number, cut_points(df, number))
     inner = W.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     outer = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    off = d.groupBy(*by, CHUNK).agg(F.sum(col).alias("_s")).select(
-        *by, CHUNK, F.coalesce(F.sum("_s").over(outer), F.lit(0)).alias("_off"))
+    off = d.groupBy(*by, CHUNK).agg(F.sum(col).alias("_s"), F.count(col).alias("_c")).select(
+        *by, CHUNK, F.coalesce(F.sum("_s").over(outer), F.lit(0)).alias("_off"), F.coalesce(F.sum("_c").over(outer), F.lit(0)).alias("_seen"))
+    total = F.coalesce(F.sum(col).over(inner), F.lit(0)) + F.col("_off")
     return null_safe_join(d, off, [*by, CHUNK]).withColumn(
-        out, F.sum(col).over(inner) + F.col("_off")).drop(CHUNK, "_off")
+        out, F.when(F.count(col).over(inner) + F.col("_seen") > 0, total)).drop(CHUNK, "_off", "_seen")
 
 
 def describe_schema(df: DataFrame, order: list[str], samples: int = 2) -> DataFrame:
@@ -149,23 +143,23 @@ def describe_schema(df: DataFrame, order: list[str], samples: int = 2) -> DataFr
                     "samples"))
 
 
-def downcast(df: DataFrame, min_rows: int = 50000, tolerance: float = 5e-4) -> DataFrame:
-    """Integers and doubles in the smallest type that holds their range; unchanged below ``min_rows`` + 1 rows.
+def downcast(df: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Integers and doubles in the smallest type that holds their range.
 
     Whole numbers fit by range. Doubles become floats where no value moves by more
-    than ``tolerance`` (0 for lossless). Texts need no type: Parquet dictionary-encodes them.
+    than ``tolerance``. Texts need no type: Parquet dictionary-encodes them.
     """
     ints = [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "short")]
     floats = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = []
     for i, c in enumerate(ints):
         aggs += [F.min(quoted(c)).alias(f"lo{i}"), F.max(quoted(c)).alias(f"hi{i}")]
     for i, c in enumerate(floats):
         x = quoted(c)
         aggs.append(F.bool_and(x.isNull() | F.isnan(x) | (F.abs(x.cast("float").cast("double") - x) <= tolerance)).alias(f"ok{i}"))
-    r = df.agg(*aggs).first()
-    if r["_rows"] <= min_rows:
+    if not aggs:
         return df
+    r = df.agg(*aggs).first()
     new = {}
     for i, c in enumerate(ints):
         lo, hi = r[f"lo{i}"], r[f"hi{i}"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import as_double, numeric_columns, quoted, string_columns
 from ..functions.dates import parse_any
 from ..functions.ordering import micros, running_before, time_steps
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, one_row
 from ..functions.special import p_kolmogorov
 
 
@@ -53,7 +53,7 @@ def split_point(df: DataFrame, ts: str, q: float = 0.8) -> DataFrame:
 def time_split(df: DataFrame, ts: str, q: float = 0.8) -> DataFrame:
     """``df`` with ``split`` = train up to the split point, test after it; rows without a time are train."""
     us = df.select(micros(df, ts).alias("t"))
-    cut = exact_quantiles(us, ["t"], {"_cut": q}).drop("column")
+    cut = one_row(exact_quantiles(us, ["t"], {"_cut": q}), "_cut")
     return df.crossJoin(F.broadcast(cut)).withColumn(
         "split", F.when(micros(df, ts) > F.col("_cut"), "test").otherwise("train")).drop("_cut")
 

@@ -16,7 +16,6 @@ from ..operators.profile import column_statistics, correlated_pairs, distributio
 # --- Fixed values: words in column names that suggest derived features ----------------------
 RATIO_LEFT, RATIO_RIGHT = ["revenue", "sales", "income"], ["cost", "expense"]
 MARGIN_LEFT, MARGIN_RIGHT = ["profit", "net"], ["revenue", "sales"]
-MAX_SUGGESTIONS = 30
 # -------------------------------------------------------------------------------------------
 
 
@@ -35,11 +34,11 @@ def table_totals(tables: dict[str, DataFrame]) -> DataFrame:
         F.lit(n).alias("table"), "rows", F.lit(len(df.columns)).cast("long").alias("cols")) for n, df in tables.items()])
 
 
-def data_summary(tables: dict[str, DataFrame], numbers: int = 10, texts: int = 5, times: int = 2, top: int = 3) -> DataFrame:
-    """Rows (table, column, kind, rank, label, value): numeric summary, top categories, date spans in days."""
+def data_summary(tables: dict[str, DataFrame], top: int = 3) -> DataFrame:
+    """Rows (table, column, kind, rank, label, value): numeric summary, ``top`` categories, date spans in days, of all columns."""
     parts = []
     for name, df in tables.items():
-        nums, cats, ts = numeric_columns(df)[:numbers], string_columns(df)[:texts], time_columns(df)[:times]
+        nums, cats, ts = numeric_columns(df), string_columns(df), time_columns(df)
         row = lambda kind, rank, label, value: F.struct(
             F.lit(kind).alias("kind"), F.lit(rank).cast("long").alias("rank"), label.alias("label"), value.cast("double").alias("value"))
         if nums:
@@ -176,7 +175,7 @@ def granularity(tables: dict[str, DataFrame], factor: float = 10) -> DataFrame:
 
 
 def suggest_features(df: DataFrame, mode: str = "token") -> DataFrame:
-    """Rows (position, column, feature, reason): calendar parts, ratios, text length, frequency, cyclical; at most 30."""
+    """Rows (position, column, feature, reason): calendar parts, ratios, text length, frequency, cyclical."""
     rows, checks = [], []
     times, nums, texts = time_columns(df), numeric_columns(df), string_columns(df)
     for c in times:
@@ -208,12 +207,12 @@ def suggest_features(df: DataFrame, mode: str = "token") -> DataFrame:
         plan = plan.join(F.broadcast(_union(checks)), ["column", "test"], "left")
     else:
         plan = plan.withColumn("ok", F.lit(None).cast("boolean"))
-    return plan.where(F.col("test").isNull() | F.col("ok")).orderBy("position").limit(MAX_SUGGESTIONS).select(
+    return plan.where(F.col("test").isNull() | F.col("ok")).select(
         "position", "column", "feature", "reason")
 
 
-def findings(tables: dict[str, DataFrame], top: int = 10) -> DataFrame:
-    """Rows (table, kind, subject, detail, strength): dominant segments, anomalies, strong correlations, strongest first."""
+def findings(tables: dict[str, DataFrame], top: int | None = None) -> DataFrame:
+    """Rows (table, kind, subject, detail, strength): dominant segments, anomalies, strong correlations; all, or the ``top`` strongest."""
     parts = []
     for name, df in tables.items():
         nums, texts = numeric_columns(df), string_columns(df)
@@ -232,5 +231,5 @@ def findings(tables: dict[str, DataFrame], top: int = 10) -> DataFrame:
             parts.append(correlated_pairs(df, 0.3, nums).select(
                 F.lit("correlation").alias("kind"), F.concat_ws(",", "col_a", "col_b").alias("subject"), F.lit("").alias("detail"),
                 F.col("correlation").alias("strength"), F.lit(name).alias("table")))
-    return _union(parts).orderBy(F.desc("strength"), "table", "kind", "subject").limit(top).select(
-        "table", "kind", "subject", "detail", F.round("strength", 6).alias("strength"))
+    out = _union(parts).select("table", "kind", "subject", "detail", F.round("strength", 6).alias("strength"))
+    return out if top is None else out.orderBy(F.desc("strength"), "table", "kind", "subject").limit(top)

@@ -26,20 +26,16 @@ def nan_as_null(df: DataFrame) -> DataFrame:
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding) from the first lines of one file of the path."""
-    # The text source passes bytes through untouched and a limit stops after the first lines of one split.
-    size = SNIFF_CHARACTERS * 4
-    head = spark.read.text(path).select(F.substring(F.col("value").cast("binary"), 1, size).alias("b")).limit(200).collect()
-    raw = b"\n".join(bytes(r["b"]) for r in head)[:size]
-    encoding = "utf-8"
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError as e:
-        if len(raw) == size and e.start >= size - 4:  # a character cut at the end of the sample
-            text = raw[:e.start].decode("utf-8")
-        else:
-            encoding, text = "iso-8859-1", raw.decode("latin-1")
-    text = text[:SNIFF_CHARACTERS]
+    """(separator, encoding): the separator from the head of one file, the encoding from every line of the path.
+
+    The text source passes bytes through untouched; one line that is not valid
+    UTF-8 makes the whole path Latin-1, which any bytes are.
+    """
+    lines = spark.read.text(path)
+    whole = lines.agg(F.min(F.is_valid_utf8("value").cast("int")).alias("ok")).first()["ok"]
+    encoding = "iso-8859-1" if whole == 0 else "utf-8"
+    head = lines.select(F.substring(F.col("value").cast("binary"), 1, SNIFF_CHARACTERS * 4).alias("b")).limit(200).collect()
+    text = b"\n".join(bytes(r["b"]) for r in head).decode(encoding, "ignore")[:SNIFF_CHARACTERS]
     best = SEPARATORS[0]
     for s in SEPARATORS[1:]:
         if text.count(s) > text.count(best):
@@ -47,13 +43,16 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
     return best, encoding
 
 
-def read_csv_smart(spark: SparkSession, path: str, infer: bool = True, schema=None) -> DataFrame:
-    """Delimited text with a header; separator and encoding are found from its head.
+def read_csv_smart(spark: SparkSession, path: str, infer: bool = True, schema=None, multi_line: bool = True) -> DataFrame:
+    """Delimited text with a header; separator and encoding are found from the data.
 
-    ``infer`` reads the data twice; pass a schema for large inputs.
+    Quotes inside a quoted value are doubled. ``multi_line`` lets a quoted value
+    run over lines; a file is then read by one task, so turn it off for large
+    files that have no such values. ``infer`` reads the data twice; pass a schema
+    for large inputs.
     """
     sep, encoding = sniff(spark, path)
-    r = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    r = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", infer)
     return nan_as_null(r.csv(path))
 

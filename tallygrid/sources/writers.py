@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    """The whole dataset as a folder of CSV parts with headers."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """The whole dataset as a folder of CSV parts with headers; quotes are doubled, white space and line ends are kept."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
