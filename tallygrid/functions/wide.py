@@ -15,6 +15,11 @@ from .kinds import quoted
 COLUMNS_PER_AGGREGATE = 25
 
 
+def nothing(df: DataFrame, schema: str) -> DataFrame:
+    """The empty report of an operator that finds no column to look at."""
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def column_stats(df: DataFrame, cols: list[str], make: Callable[[str], dict[str, Column]],
                  reads: list[str] | None = None) -> DataFrame:
     """One row per column with the aggregates ``make(column)`` returns.
@@ -41,6 +46,8 @@ def column_stats(df: DataFrame, cols: list[str], make: Callable[[str], dict[str,
 def melt_numbers(df: DataFrame, cols: list[str], keep: list[str] = (), value: str = "value") -> DataFrame:
     """Rows (keep.., column, value double) without missing values."""
     from .kinds import as_double
+    if not cols:
+        return df.select(*[quoted(k) for k in keep], F.lit("").alias("column"), F.lit(0.0).alias(value)).limit(0)
     base = spread(df.select(*[quoted(k) for k in keep], *[as_double(df, c).alias(c) for c in cols]))
     return base.unpivot([quoted(k) for k in keep], [quoted(c) for c in cols], "column", value).where(
         F.col(value).isNotNull())
@@ -70,6 +77,8 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
         dt = df.schema[c].dataType
         return "long" if isinstance(dt, T.IntegralType) else "double" if isinstance(dt, (T.FloatType, T.DoubleType)) else "string"
 
+    if not cols:
+        return nothing(df, "column string, value string, n long")
     parts = []
     for k in ("long", "double", "string"):
         some = [c for c in cols if kind(c) == k]

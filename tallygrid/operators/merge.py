@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import NAME_KEY, name_matches, name_tokens, quoted
 
+from ..functions.wide import nothing
 from .relational import join_tables
 
 
@@ -55,7 +56,8 @@ def suggest_joins(tables: dict[str, DataFrame], min_name: float = 0.8, min_conta
                         F.round(F.col("keys_a") / F.col("rows_a"), 6).alias("uniqueness_a"),
                         F.round(F.col("keys_b") / F.col("rows_b"), 6).alias("uniqueness_b")))
     if not parts:
-        raise ValueError("no column pair has similar names and equal types")
+        return nothing(next(iter(tables.values())), "table_a string, col_a string, table_b string, col_b string, name_score double, "
+                       "a_in_b double, b_in_a double, uniqueness_a double, uniqueness_b double")
     return reduce(DataFrame.unionByName, parts).where(F.greatest("a_in_b", "b_in_a") >= min_containment)
 
 

@@ -14,8 +14,8 @@ from ..functions.kinds import (FAKE_NULLS, NAME_DATETIME, NAME_DATETIME_WIDE, NA
                                text_to_number, time_columns, type_name)
 from ..functions.moments import adjusted_kurtosis, adjusted_skew, safe_corr
 from ..functions.quantiles import QUARTILES, exact_quantiles, read_back
-from ..functions.wide import (column_frame, column_stats, distinct_counts, duplicate_rows, duplicate_values,
-                              melt_numbers, value_counts)
+from ..functions.wide import (column_frame, column_stats, distinct_counts, duplicate_rows, duplicate_values, nothing,
+                              value_counts)
 from ..session import spread
 
 
@@ -35,6 +35,10 @@ def numeric_facts(df: DataFrame, cols: list[str] | None = None, outliers: bool =
     counts against the resulting bounds (one row per column, carried as literals).
     """
     cols = numeric_columns(df) if cols is None else cols
+    if not cols:
+        more = ", iqr_outliers long, extreme_outliers long, z_outliers long" if outliers else ""
+        return nothing(df, "column string, n long, mean double, std double, min double, max double, skew double, kurt double, "
+                           f"negatives long, zeros long, q1 double, median double, q3 double{more}")
     m = column_stats(df, cols, lambda c: (lambda x: {
         "n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x),
         "skew": adjusted_skew(x), "kurt": adjusted_kurtosis(x),
@@ -42,12 +46,19 @@ def numeric_facts(df: DataFrame, cols: list[str] | None = None, outliers: bool =
     f = read_back(m.join(F.broadcast(exact_quantiles(df, cols, QUARTILES)), "column", "left"))
     if not outliers:
         return f
-    v, iqr = F.col("value"), F.col("q3") - F.col("q1")
-    o = (melt_numbers(df, cols).join(F.broadcast(f.select("column", "mean", "std", "q1", "q3")), "column")
-         .groupBy("column").agg(
-        tally((v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr)).alias("iqr_outliers"),
-        tally((v < F.col("q1") - 3.0 * iqr) | (v > F.col("q3") + 3.0 * iqr)).alias("extreme_outliers"),
-        tally((F.col("std") > 0) & (F.abs(v - F.col("mean")) > 3 * F.col("std"))).alias("z_outliers")))
+    known = {r["column"]: r for r in f.collect()}  # literals already; one row per column
+
+    def beyond(c):
+        b, v = known[c], as_double(df, c)
+        zero = F.lit(0).cast("long")
+        if b["q1"] is None:
+            return {"iqr_outliers": zero, "extreme_outliers": zero, "z_outliers": zero}
+        iqr = b["q3"] - b["q1"]
+        far = tally(F.abs(v - b["mean"]) > 3 * b["std"]) if b["std"] else zero
+        return {"iqr_outliers": tally((v < b["q1"] - 1.5 * iqr) | (v > b["q3"] + 1.5 * iqr)),
+                "extreme_outliers": tally((v < b["q1"] - 3.0 * iqr) | (v > b["q3"] + 3.0 * iqr)), "z_outliers": far}
+
+    o = column_stats(df, cols, beyond)
     return f.join(F.broadcast(o), "column", "left").na.fill(0, ["iqr_outliers", "extreme_outliers", "z_outliers"])
 
 
@@ -154,6 +165,8 @@ def pairs(cols: list[str]) -> list[tuple[str, str]]:
 def correlation_cells(df: DataFrame, cols: list[str], over: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows (col_a, col_b, r) for all pairs from one scan, over pairwise complete rows."""
     over = pairs(cols) if over is None else over
+    if not over:
+        return nothing(df, "col_a string, col_b string, r double")
     parts = []
     for lo in range(0, len(over), 60):
         block = over[lo:lo + 60]
@@ -172,6 +185,8 @@ def correlated_pairs(df: DataFrame, threshold: float = 0.95, cols: list[str] | N
 def duplicate_columns(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Text column pairs that agree on almost every row; two missing values agree."""
     over = pairs(string_columns(df))
+    if not over:
+        return nothing(df, "col_a string, col_b string, pct_identical double")
     parts = []
     for lo in range(0, len(over), 60):
         block = over[lo:lo + 60]
@@ -209,6 +224,8 @@ def schema_anomalies(df: DataFrame, mode: str = "token") -> DataFrame:
 def pk_violations(df: DataFrame, cols: list[str] | None = None, mode: str = "token") -> DataFrame:
     """Rows in groups of equal values of key-like columns; repeated missing values count as well."""
     cols = names_like(df, NAME_KEY, mode) if cols is None else cols
+    if not cols:
+        return nothing(df, "column string, duplicate_members long")
     nulls = column_stats(df, cols, lambda c: {"nulls": tally(quoted(c).isNull())})
     d = nulls.join(F.broadcast(duplicate_values(df, cols)), "column", "left")
     members = F.coalesce("members", F.lit(0)) + F.when(F.col("nulls") > 1, F.col("nulls")).otherwise(0)
@@ -303,6 +320,8 @@ def datetime_report(df: DataFrame, as_of: str | None = None, mode: str = "token"
     """Time columns and text columns that parse as dates: range, future and very old values."""
     times = time_columns(df)
     named = [c for c in string_columns(df) if name_matches(c, NAME_DATETIME_WIDE, mode)]
+    if not times + named:
+        return nothing(df, "column string, already_parsed boolean, parse_pct double, first string, last string, future_dates long, pre_1900_dates long")
     now = F.lit(as_of).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
 
     def make(c):
@@ -315,7 +334,7 @@ def datetime_report(df: DataFrame, as_of: str | None = None, mode: str = "token"
     j = column_stats(df, times + named, make).join(F.broadcast(facts), "column")
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return j.where(F.col("already_parsed") | (F.col("parsed") > 0.5 * F.col("present"))).select(
-        "column", "already_parsed", F.round(F.col("parsed") / F.col("rows") * 100, 2).alias("parse_pct"),
+        "column", "already_parsed", F.round(F.col("parsed") / F.nullif("rows", F.lit(0)) * 100, 2).alias("parse_pct"),
         fmt("first").alias("first"), fmt("last").alias("last"), "future_dates", "pre_1900_dates")
 
 

@@ -14,7 +14,7 @@ from ..functions.kinds import (BOILERPLATE, ENCODING_PATTERNS, NAME_COST, NAME_E
                                numeric_columns, quoted, share, string_columns, strip, tally, time_columns, type_name)
 from ..functions.moments import adjusted_skew
 from ..functions.quantiles import read_back
-from ..functions.wide import column_frame, column_stats, distinct_counts, duplicate_rows, melt_numbers
+from ..functions.wide import column_frame, column_stats, distinct_counts, duplicate_rows, nothing
 from ..session import spread
 from .profile import correlation_cells, fake_null
 
@@ -45,6 +45,8 @@ def date_order_violations(df: DataFrame, over: list[tuple[str, str]] | None = No
     """Rows (col_start, col_end, violations) where the end lies before the start; pairs without violations are left out."""
     if over is None:
         over = [(a, b) for a in names_like(df, NAME_START, mode) for b in names_like(df, NAME_END, mode) if a != b]
+    if not over:
+        return nothing(df, "col_start string, col_end string, violations long")
     ts = lambda c: quoted(c).cast("timestamp_ntz") if c in time_columns(df) else F.try_to_timestamp(
         quoted(c).cast("string")).cast("timestamp_ntz")
     one = df.agg(*[tally(ts(b) < ts(a)).alias(f"_{i}") for i, (a, b) in enumerate(over)])
@@ -61,6 +63,8 @@ def financial_violations(df: DataFrame, revenue: str | None = None, cost: str |
     cs = [cost] if cost else [c for c in names_like(df, NAME_COST, mode) if c in number]
     ps = [profit] if profit else [c for c in names_like(df, NAME_PROFIT, mode) if c in number]
     triples = [(r, c, p) for r in rs for c in cs for p in ps if len({r, c, p}) == 3]
+    if not triples:
+        return nothing(df, "revenue string, cost string, profit string, violations long")
     d = lambda c: as_double(df, c)
     one = df.agg(*[tally(F.abs(d(r) - d(c) - d(p)) > tol).alias(f"_{i}") for i, (r, c, p) in enumerate(triples)])
     return one.select(F.inline(F.array(*[
@@ -78,6 +82,8 @@ def age_dob_mismatch(df: DataFrame, age: str, dob: str, as_of: str | None = None
 
 def encoding_issues(df: DataFrame) -> DataFrame:
     """Per text column: rows with mojibake, non-ASCII, NUL, direction marks or zero-width characters."""
+    if not string_columns(df):
+        return nothing(df, "column string, " + ", ".join(f"{k}_rows long" for k in ENCODING_PATTERNS))
     return column_stats(df, string_columns(df), lambda c: {
         f"{k}_rows": tally(quoted(c).rlike(p)) for k, p in ENCODING_PATTERNS.items()}, reads=string_columns(df))
 
@@ -150,6 +156,8 @@ def compare_column(before: DataFrame, after: DataFrame, col: str) -> DataFrame:
 def validate_ranges(df: DataFrame, mode: str = "token") -> DataFrame:
     """Rows (column, rule, rows_hit, pct): values against the range their name implies, and frequent sentinels."""
     cols = [c for c in df.columns if c in numeric_columns(df) or c in string_columns(df)]
+    if not cols:
+        return nothing(df, "column string, rule string, rows_hit long, pct double")
     one_per = column_stats(df, cols, lambda c: (lambda x: {
         "n": F.count(x), "top": F.max(x), "age": tally((x < 0) | (x > 120)), "neg": tally(x < 0),
         "unit": tally((x < 0) | (x > 1)), "hundred": tally((x < 0) | (x > 100)),
@@ -214,11 +222,15 @@ def vif(df: DataFrame, cols: list[str] | None = None, intercept: bool = True, th
 def scaling_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Ranges and the scaler each numeric column calls for; ``magnitude_ratio`` compares all ranges."""
     cols = cols or numeric_columns(df)
+    if not cols:
+        return nothing(df, "column string, min double, max double, mean double, std double, range double, skewness double, "
+                           "recommendation string, magnitude_ratio double")
     f = read_back(column_stats(df, cols, lambda c: (lambda x: {
         "n": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x),
         "skew": adjusted_skew(x)})(as_double(df, c))).where("n >= 5"))
-    far = (melt_numbers(df, cols).join(F.broadcast(f.select("column", "mean", "std")), "column").groupBy("column")
-           .agg(share(F.abs(F.col("value") - F.col("mean")) > 3 * F.col("std")).alias("far")))
+    known = {r["column"]: r for r in f.collect()}  # literals already; one row per column
+    far = column_stats(df, list(known), lambda c: (lambda x: {"far": F.avg(F.when(
+        x.isNotNull(), (F.abs(x - known[c]["mean"]) > 3 * known[c]["std"]).cast("double")))})(as_double(df, c))) if known else nothing(df, "column string, far double")
     rng = F.col("max") - F.col("min")
     mags = f.agg(F.max(rng).alias("hi"), F.min(F.when(rng > 0, rng)).alias("lo"))
     rec = (F.when((F.abs("mean") < 0.1) & (F.col("std") > 0.9) & (F.col("std") < 1.1), "already_standardized")
@@ -258,6 +270,8 @@ def packed_columns(df: DataFrame) -> DataFrame:
     """Rows (column, delimiter, avg_values): text columns that hold several values per cell."""
     delims = [",", "|", ";"]
     cols = string_columns(df)
+    if not cols:
+        return nothing(df, "column string, delimiter string, avg_values double")
 
     def make(c):
         x = quoted(c)
@@ -278,6 +292,8 @@ def packed_columns(df: DataFrame) -> DataFrame:
 def unit_issues(df: DataFrame, min_rows: int = 10) -> DataFrame:
     """Rows (column, domain, unit, rows_hit) for text columns that mix units of one domain."""
     cols = string_columns(df)
+    if not cols:
+        return nothing(df, "column string, domain string, unit string, rows_hit long")
     base = df.select(*[F.lower(quoted(c)).alias(c) for c in cols])
     first = base.unpivot([], [quoted(c) for c in cols], "column", "v").where(F.col("v").isNotNull())
     unit = F.array(*[F.struct(F.lit(d).alias("domain"), F.regexp_extract("v", p, 1).alias("unit"))
@@ -367,6 +383,8 @@ def validate_features(df: DataFrame, cols: list[str], target: str | None = None)
     gone = df.sparkSession.createDataFrame(
         [(c, "missing", None, None, None, None) for c in cols if c not in have],
         "column string, status string, null_pct double, nunique long, has_variance boolean, abs_corr double")
+    if not have:
+        return gone
     from ..functions.moments import safe_corr
     none_d = F.lit(None).cast("double")
     base = column_stats(df, have, lambda c: (lambda x: {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import (NAME_DATETIME_SUMMARY, NAME_KEY, as_double, name_matches, names_like, numeric_columns,
                                quoted, share, string_columns, strip, tally, text_to_number, time_columns)
 from ..functions.ordering import micros
-from ..functions.wide import column_frame, column_stats, distinct_counts, duplicate_rows, value_counts
+from ..functions.wide import column_frame, column_stats, distinct_counts, duplicate_rows, nothing, value_counts
 from ..operators.profile import column_statistics, correlated_pairs, distributions
 
 # --- Fixed values: words in column names that suggest derived features ----------------------
@@ -145,7 +145,8 @@ def key_uniqueness(tables: dict[str, DataFrame], mode: str = "token") -> DataFra
                 F.lit(name).alias("table"), "column", F.col("nunique").alias("unique_values"), "total_rows",
                 (F.col("nunique") == F.col("total_rows")).alias("is_unique_key"),
                 (F.col("total_rows") - F.col("nunique")).alias("duplicate_count")))
-    return _union(parts)
+    return _union(parts) if parts else nothing(next(iter(tables.values())), "table string, column string, unique_values long, "
+                                               "total_rows long, is_unique_key boolean, duplicate_count long")
 
 
 def time_grain(tables: dict[str, DataFrame]) -> DataFrame:
@@ -158,7 +159,7 @@ def time_grain(tables: dict[str, DataFrame]) -> DataFrame:
                 "timed": F.bool_or((F.hour(quoted(c)) != 0) | (F.minute(quoted(c)) != 0)), "dayed": F.bool_or(F.dayofmonth(quoted(c)) != 1)}).select(
                 F.lit(name).alias("table"), "column", F.when(F.col("timed"), "timestamp").when(F.col("dayed"), "daily")
                 .otherwise("monthly_or_coarser").alias("grain")))
-    return _union(parts)
+    return _union(parts) if parts else nothing(next(iter(tables.values())), "table string, column string, grain string")
 
 
 def granularity(tables: dict[str, DataFrame], factor: float = 10) -> DataFrame:
