@@ -4,36 +4,45 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A, chartdata as V, ml as L, stats as T, userfn as U
-from .base import derived, duck, query, scratch, table, union
+from .base import derived, duck, query, scratch, table, union, with_p
 from .preparing import _FOLD, r
 from .profiling import ks_sql
 
 EV = "('error', 'click')"
 
 
-@query("T01_ttest", """SELECT 't_independent' AS test, round((m1 - m2) / sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS statistic, (n1 + n2 - 2)::DOUBLE AS dof FROM (
+def _correlation_p(sql: str) -> str:
+    t = f"SELECT test, r AS statistic_r, n, r * sqrt((n - 2) / greatest(1 - r * r, 1e-300)) AS statistic, (n - 2)::DOUBLE AS dof FROM ({sql})"
+    return f"SELECT test, round(statistic_r, 6) AS statistic, n, p_value, significant FROM ({with_p(t, 't')})"
+
+
+def reading():
+    return [F.round("p_value", 4).alias("p_value"), "significant"]
+
+
+@query("T01_ttest", with_p("""SELECT 't_independent' AS test, round((m1 - m2) / sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS statistic, (n1 + n2 - 2)::DOUBLE AS dof FROM (
  SELECT count(value) FILTER (event_type = 'click') AS n1, avg(value) FILTER (event_type = 'click') AS m1, var_samp(value) FILTER (event_type = 'click') AS s1,
- count(value) FILTER (event_type = 'error') AS n2, avg(value) FILTER (event_type = 'error') AS m2, var_samp(value) FILTER (event_type = 'error') AS s2 FROM events)""")
+ count(value) FILTER (event_type = 'error') AS n2, avg(value) FILTER (event_type = 'error') AS m2, var_samp(value) FILTER (event_type = 'error') AS s2 FROM events)""", "t", "* EXCLUDE (p)"))
 def t01(spark, sf):
-    return T.ttest_ind(table(spark, sf, "events"), "value", "event_type", groups=("click", "error")).select("test", r("statistic"), "dof")
+    return T.ttest_ind(table(spark, sf, "events"), "value", "event_type", groups=("click", "error")).select("test", r("statistic"), "dof", *reading())
 
 
-@query("T01_ttest_welch", """SELECT 't_welch' AS test, round((m1 - m2) / sqrt(s1 / n1 + s2 / n2), 6) AS statistic, round(pow(s1 / n1 + s2 / n2, 2) / (pow(s1 / n1, 2) / (n1 - 1) + pow(s2 / n2, 2) / (n2 - 1)), 4) AS dof FROM (
+@query("T01_ttest_welch", with_p("""SELECT 't_welch' AS test, round((m1 - m2) / sqrt(s1 / n1 + s2 / n2), 6) AS statistic, round(pow(s1 / n1 + s2 / n2, 2) / (pow(s1 / n1, 2) / (n1 - 1) + pow(s2 / n2, 2) / (n2 - 1)), 4) AS dof FROM (
  SELECT count(value) FILTER (event_type = 'click') AS n1, avg(value) FILTER (event_type = 'click') AS m1, var_samp(value) FILTER (event_type = 'click') AS s1,
- count(value) FILTER (event_type = 'view') AS n2, avg(value) FILTER (event_type = 'view') AS m2, var_samp(value) FILTER (event_type = 'view') AS s2 FROM events)""")
+ count(value) FILTER (event_type = 'view') AS n2, avg(value) FILTER (event_type = 'view') AS m2, var_samp(value) FILTER (event_type = 'view') AS s2 FROM events)""", "t", "* EXCLUDE (p)"))
 def t01b(spark, sf):
-    return T.ttest_ind(table(spark, sf, "events"), "value", "event_type", False).select("test", r("statistic"), r("dof", 4))
+    return T.ttest_ind(table(spark, sf, "events"), "value", "event_type", False).select("test", r("statistic"), r("dof", 4), *reading())
 
 
-@query("T02_ttest_paired", """SELECT 't_paired' AS test, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4) AS statistic, (count(*) - 1)::DOUBLE AS dof FROM lineitem""")
+@query("T02_ttest_paired", with_p("""SELECT 't_paired' AS test, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4) AS statistic, (count(*) - 1)::DOUBLE AS dof FROM lineitem""", "t", "* EXCLUDE (p)"))
 def t02(spark, sf):
-    return T.ttest_rel(table(spark, sf, "lineitem"), "l_discount", "l_tax").select("test", r("statistic", 4), "dof")
+    return T.ttest_rel(table(spark, sf, "lineitem"), "l_discount", "l_tax").select("test", r("statistic", 4), "dof", *reading())
 
 
-@query("T03_anova", """WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_pop(value) AS s FROM events GROUP BY 1), t AS (SELECT avg(value) AS g FROM events)
-SELECT 'anova' AS test, round(sum(n * pow(m - g, 2)) / (count(*) - 1) / (sum(n * s) / (sum(n) - count(*))), 6) AS statistic, (count(*) - 1)::DOUBLE AS df_between, (sum(n) - count(*))::DOUBLE AS df_within FROM g, t""")
+@query("T03_anova", with_p("""WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_pop(value) AS s FROM events GROUP BY 1), t AS (SELECT avg(value) AS g FROM events)
+SELECT 'anova' AS test, round(sum(n * pow(m - g, 2)) / (count(*) - 1) / (sum(n * s) / (sum(n) - count(*))), 6) AS statistic, (count(*) - 1)::DOUBLE AS df_between, (sum(n) - count(*))::DOUBLE AS df_within FROM g, t""", "f", "* EXCLUDE (p)"))
 def t03(spark, sf):
-    return T.anova(table(spark, sf, "events"), "value", "event_type").select("test", r("statistic"), "df_between", "df_within")
+    return T.anova(table(spark, sf, "events"), "value", "event_type").select("test", r("statistic"), "df_between", "df_within", *reading())
 
 
 def _chi(t, a, b, yates):
@@ -43,19 +52,19 @@ def _chi(t, a, b, yates):
 SELECT 'chi2' AS test, round(sum({d} * {d} / e), 6) AS statistic, (((SELECT count(*) FROM x) - 1) * ((SELECT count(*) FROM y) - 1))::DOUBLE AS dof FROM z"""
 
 
-@query("T04_chi2", _chi("orders", "o_orderstatus", "o_orderpriority", False))
+@query("T04_chi2", with_p(_chi("orders", "o_orderstatus", "o_orderpriority", False), "chi2", "* EXCLUDE (p)"))
 def t04(spark, sf):
-    return T.chi2(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select("test", r("statistic"), "dof")
+    return T.chi2(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select("test", r("statistic"), "dof", *reading())
 
 
-@query("T04_chi2_yates", _chi("labels", "quality", "toxic", True))
+@query("T04_chi2_yates", with_p(_chi("labels", "quality", "toxic", True), "chi2", "* EXCLUDE (p)"))
 def t04b(spark, sf):
-    return T.chi2(table(spark, sf, "labels"), "quality", "toxic").select("test", r("statistic"), "dof")
+    return T.chi2(table(spark, sf, "labels"), "quality", "toxic").select("test", r("statistic"), "dof", *reading())
 
 
-@query("T05_pearson", "SELECT 'pearson' AS test, round(corr(l_quantity, l_extendedprice), 6) AS statistic, count(*) AS n FROM lineitem")
+@query("T05_pearson", _correlation_p("SELECT 'pearson' AS test, corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem"))
 def t05(spark, sf):
-    return T.pearson(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("test", r("statistic"), "n")
+    return T.pearson(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("test", r("statistic"), "n", *reading())
 
 
 FOUR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -73,10 +82,10 @@ def ranks(t, c, keys):
     return f"(SELECT {keys}, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {c}) AS ties FROM {t})"
 
 
-@query("T06_spearman", """SELECT 'spearman' AS test, round(corr(x, y), 6) AS statistic, count(*) AS n FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x,
- rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem)""")
+@query("T06_spearman", _correlation_p("""SELECT 'spearman' AS test, corr(x, y) AS r, count(*) AS n FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x,
+ rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem)"""))
 def t06(spark, sf):
-    return T.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("test", r("statistic"), "n")
+    return T.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("test", r("statistic"), "n", *reading())
 
 
 @query("T07_normality", "SELECT 'jarque_bera' AS test, round(count(*) / 6.0 * (pow(s, 2) + pow(k, 2) / 4), 4) AS statistic, count(*) AS n, 0.0::DOUBLE AS p FROM orders, (SELECT avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5) AS s, avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2) - 3 AS k FROM (SELECT o_totalprice AS x, avg(o_totalprice) OVER () AS m FROM orders)) GROUP BY s, k")
@@ -84,23 +93,23 @@ def t07(spark, sf):
     return T.normality(table(spark, sf, "orders"), "o_totalprice").select("test", r("statistic", 4), "n", F.round("p_value", 6).alias("p"))
 
 
-@query("T08_mannwhitney", f"""WITH r AS {ranks("(SELECT * FROM events WHERE event_type IN ('click', 'error'))", 'value', 'event_type')}, s AS (SELECT count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'error') AS b,
+@query("T08_mannwhitney", with_p(f"""WITH r AS {ranks("(SELECT * FROM events WHERE event_type IN ('click', 'error'))", 'value', 'event_type')}, s AS (SELECT count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'error') AS b,
  sum(rk) FILTER (event_type = 'click') AS ra, sum(ties * ties - 1.0) AS tie, count(*) * 1.0 AS n FROM r), u AS (SELECT *, ra - a * (a + 1) / 2.0 AS u FROM s)
-SELECT 'mann_whitney' AS test, round(u, 2)::DOUBLE AS statistic, round((abs(u - a * b / 2.0) - 0.5) / sqrt(a * b / 12.0 * (n + 1 - tie / (n * (n - 1)))), 6) AS z FROM u""")
+SELECT 'mann_whitney' AS test, round(u, 2)::DOUBLE AS statistic, round((abs(u - a * b / 2.0) - 0.5) / sqrt(a * b / 12.0 * (n + 1 - tie / (n * (n - 1)))), 6) AS z FROM u""", "normal", "* EXCLUDE (p)"))
 def t08(spark, sf):
-    return T.mannwhitney(table(spark, sf, "events"), "value", "event_type", ("click", "error")).select("test", r("statistic", 2), r("z"))
+    return T.mannwhitney(table(spark, sf, "events"), "value", "event_type", ("click", "error")).select("test", r("statistic", 2), r("z"), *reading())
 
 
-@query("T09_kruskal", f"""WITH r AS {ranks('events', 'value', 'event_type')}, g AS (SELECT event_type, count(*) AS n, sum(rk) AS s FROM r GROUP BY 1), t AS (SELECT count(*) * 1.0 AS n, sum(ties * ties - 1.0) AS tie FROM r)
-SELECT 'kruskal' AS test, round((12 / (t.n * (t.n + 1)) * sum(s * s / g.n) - 3 * (t.n + 1)) / (1 - tie / (t.n * t.n * t.n - t.n)), 6) AS statistic, (count(*) - 1)::DOUBLE AS dof FROM g, t GROUP BY t.n, tie""")
+@query("T09_kruskal", with_p(f"""WITH r AS {ranks('events', 'value', 'event_type')}, g AS (SELECT event_type, count(*) AS n, sum(rk) AS s FROM r GROUP BY 1), t AS (SELECT count(*) * 1.0 AS n, sum(ties * ties - 1.0) AS tie FROM r)
+SELECT 'kruskal' AS test, round((12 / (t.n * (t.n + 1)) * sum(s * s / g.n) - 3 * (t.n + 1)) / (1 - tie / (t.n * t.n * t.n - t.n)), 6) AS statistic, (count(*) - 1)::DOUBLE AS dof FROM g, t GROUP BY t.n, tie""", "chi2", "* EXCLUDE (p)"))
 def t09(spark, sf):
-    return T.kruskal(table(spark, sf, "events"), "value", "event_type").select("test", r("statistic"), "dof")
+    return T.kruskal(table(spark, sf, "events"), "value", "event_type").select("test", r("statistic"), "dof", *reading())
 
 
-@query("T10_ks_two_sample", "SELECT 'ks_two_sample' AS test, statistic, n0, n1 FROM (" + ks_sql(
-    f"SELECT 'value' AS \"column\", value, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS side FROM events WHERE event_type IN {EV}") + ")")
+@query("T10_ks_two_sample", with_p("SELECT 'ks_two_sample' AS test, statistic, n0, n1 FROM (" + ks_sql(
+    f"SELECT 'value' AS \"column\", value, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS side FROM events WHERE event_type IN {EV}") + ")", "kolmogorov", "* EXCLUDE (p)"))
 def t10(spark, sf):
-    return T.ks_2samp(table(spark, sf, "events"), "value", "event_type", ("click", "error")).select("test", r("statistic"), "n0", "n1")
+    return T.ks_2samp(table(spark, sf, "events"), "value", "event_type", ("click", "error")).select("test", r("statistic"), "n0", "n1", *reading())
 
 
 @query("A01_kmeans")
@@ -388,7 +397,8 @@ def l13(spark, sf):
     d, t = _classification(spark, sf, ["linear"])
     L.save_model(t, p)
     model, meta = L.load_model(spark, p)
-    return L.predict(d, model, meta["features"], "predicted", meta["labels"]).select("doc_id", "predicted")
+    every = table(spark, sf, "documents").withColumn("words", F.size(F.split("text", " ")))
+    return L.predict(every, model, meta["features"], "predicted", meta["labels"]).select("doc_id", "predicted")
 
 
 @query("L14_class_weights", "SELECT quality AS class, count(*) AS n, round((SELECT count(*) FROM labels) * 1.0 / ((SELECT count(DISTINCT quality) FROM labels) * count(*)), 6) AS weight FROM labels GROUP BY 1")

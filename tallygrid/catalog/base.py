@@ -94,3 +94,28 @@ def query(name: str, sql: str | None = None):
 
 def union(parts: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
+
+
+def _simpson(f: str, top: str, steps: int = 4000) -> str:
+    """Integral of ``f`` (of x) from 0 to ``top`` in SQL."""
+    w = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    x = f"(i * ({top}) / {steps}.0)"
+    return f"(({top}) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda i: {w} * {f.replace('@', x)})))"
+
+
+_T = "exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * pow(1 + @ * @ / dof, -(dof + 1) / 2)"
+_TAILS = {
+    "t": "1 - 2 * " + _simpson(_T, "least(abs(statistic), 40.0)"),
+    "normal": "1 - 2 * " + _simpson("exp(-@ * @ / 2) / sqrt(2 * pi())", "least(abs(z), 12.0)"),
+    # The square root of the statistic is the variable, so that the density is smooth at 0.
+    "chi2": "1 - " + _simpson("(CASE WHEN @ = 0 AND dof > 1 THEN 0 ELSE 2 * pow(@, dof - 1) * exp(-@ * @ / 2 - dof / 2 * ln(2) - lgamma(dof / 2)) END)", "least(sqrt(statistic), 40.0)"),
+    "f": "1 - exp(lgamma((df_between + df_within) / 2) - lgamma(df_between / 2) - lgamma(df_within / 2)) * " + _simpson(
+        "(pow(@, df_between / 2 - 1) * pow(1 - @, df_within / 2 - 1))", "df_between * statistic / (df_between * statistic + df_within)"),
+    "kolmogorov": "2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * statistic * statistic * n0 * n1 / (n0 + n1))))",
+}
+
+
+def with_p(sql: str, tail: str, keep: str = "*", flag: str = "significant") -> str:
+    """The statistic's SQL with its tail probability, by quadrature or series, to 4 digits, and the reading at 0.05."""
+    p = f"greatest(0, least(1, {_TAILS[tail]}))"
+    return f"SELECT {keep}, round(p, 4) AS p_value, p < 0.05 AS {flag} FROM (SELECT *, {p} AS p FROM ({sql}))"

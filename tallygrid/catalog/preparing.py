@@ -430,10 +430,10 @@ def f17(spark, sf):
     return X.drop_constant(d)
 
 
-@query("M01_containment", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
+@query("M01_containment", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN -c_custkey ELSE c_custkey END AS k FROM customer)
 SELECT (SELECT count(*) FROM a) AS keys_a, (SELECT count(*) FROM b) AS keys_b, count(*) AS shared, round(count(*) * 1.0 / (SELECT count(*) FROM a), 6) AS a_in_b, round(count(*) * 1.0 / (SELECT count(*) FROM b), 6) AS b_in_a FROM a JOIN b USING (k)""")
 def m01(spark, sf):
-    return M.containment(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").where("c_acctbal > 0"), "c_custkey")
+    return M.containment(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 7 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("k")), "k")
 
 
 def _suggest_sql():
@@ -452,25 +452,25 @@ def m01b(spark, sf):
     return M.suggest_joins({t: table(spark, sf, t) for t in ("orders", "customer", "nation", "lineitem")}, min_name=0.95, mode="substring")
 
 
-@query("M02_merge_all", """SELECT custkey, nationkey, o_orderkey, c_name, n_name, c.src AS src, n.src AS src_n FROM (SELECT o_custkey AS custkey, o_orderkey FROM orders WHERE o_totalprice > 450000) o
- FULL JOIN (SELECT c_custkey AS custkey, c_nationkey AS nationkey, c_name, 'c' AS src FROM customer) c USING (custkey) FULL JOIN (SELECT n_nationkey AS nationkey, n_name, 'n' AS src FROM nation WHERE n_regionkey < 3) n USING (nationkey)""")
+@query("M02_merge_all", """SELECT custkey, nationkey, o_orderkey, c_name, n_name, c.src AS src, n.src AS src_n FROM (SELECT CASE WHEN o_custkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS custkey, o_orderkey FROM orders) o
+ FULL JOIN (SELECT c_custkey AS custkey, c_nationkey AS nationkey, c_name, 'c' AS src FROM customer) c USING (custkey) FULL JOIN (SELECT n_nationkey AS nationkey, n_name, 'n' AS src FROM (SELECT CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey + 100 ELSE n_nationkey END AS n_nationkey, n_name FROM nation)) n USING (nationkey)""")
 def m02(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("custkey"), "o_orderkey")
+    o = table(spark, sf, "orders").select(F.when(F.col("o_custkey") % 7 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("custkey"), "o_orderkey")
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey"), "c_name", F.lit("c").alias("src"))
-    n = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("nationkey"), "n_name", F.lit("n").alias("src"))
+    n = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 5 == 0, F.col("n_nationkey") + 100).otherwise(F.col("n_nationkey")).alias("nationkey"), "n_name", F.lit("n").alias("src"))
     return M.merge_all({"o": o, "c": c, "n": n}, [("o", []), ("c", ["custkey"]), ("n", ["nationkey"])])
 
 
-@query("M03_merge_audit", "SELECT count(*) AS \"rows\", 8::BIGINT AS cols, count(*) > 0 AS ok FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal < 0")
+@query("M03_merge_audit", "SELECT count(*) AS \"rows\", 8::BIGINT AS cols, count(*) > 0 AS ok FROM orders JOIN customer ON o_custkey = c_custkey")
 def m03(spark, sf):
     from ..operators.relational import join_tables
     a = table(spark, sf, "orders").withColumnRenamed("o_custkey", "k").drop("o_orderdate", "o_orderpriority")
-    return M.merge_audit(join_tables(a, table(spark, sf, "customer").where("c_acctbal < 0").withColumnRenamed("c_custkey", "k"), ["k"], "inner"), allow_empty=True)
+    return M.merge_audit(join_tables(a, table(spark, sf, "customer").withColumnRenamed("c_custkey", "k"), ["k"], "inner"), allow_empty=True)
 
 
-@query("M04_join_audit", """WITH a AS (SELECT c_nationkey AS k, count(*) AS na FROM customer WHERE c_nationkey < 20 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS nb FROM supplier WHERE s_nationkey > 4 GROUP BY 1)
+@query("M04_join_audit", """WITH a AS (SELECT CASE WHEN c_nationkey < 20 THEN c_nationkey ELSE c_nationkey + 100 END AS k, count(*) AS na FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS nb FROM supplier GROUP BY 1)
 SELECT sum(na)::BIGINT AS rows_left, sum(nb)::BIGINT AS rows_right, sum(na) FILTER (nb IS NULL)::BIGINT AS unmatched_left, sum(nb) FILTER (na IS NULL)::BIGINT AS unmatched_right, max(na) AS max_multiplicity_left,
  max(nb) AS max_multiplicity_right, sum(na * nb)::BIGINT AS inner_rows FROM a FULL JOIN b USING (k)""")
 def m04(spark, sf):
-    return M.join_audit(table(spark, sf, "customer").where("c_nationkey < 20").withColumnRenamed("c_nationkey", "k"),
-                        table(spark, sf, "supplier").where("s_nationkey > 4").withColumnRenamed("s_nationkey", "k"), ["k"])
+    return M.join_audit(table(spark, sf, "customer").withColumn("k", F.when(F.col("c_nationkey") < 20, F.col("c_nationkey")).otherwise(F.col("c_nationkey") + 100)).drop("c_nationkey"),
+                        table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "k"), ["k"])

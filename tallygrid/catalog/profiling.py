@@ -6,7 +6,7 @@ from ..functions.kinds import (BOILERPLATE, ENCODING_PATTERNS, FAKE_NULLS, PII_P
                                TEXT_PATTERNS)
 from ..operators import fuzzy, labels, profile as P, quality as Q, temporal as TM
 from ..plans import summaries as S
-from .base import derived, duck, query, table, union
+from .base import derived, duck, query, table, union, with_p
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 NUM = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
@@ -497,7 +497,7 @@ def p29b(spark, sf):
 
 @query("P30_unit_issues", f"""WITH m AS {duck('messy')} SELECT 'weight_text' AS "column", 'weight' AS domain, regexp_extract(lower(weight_text), '\\b(kg|lbs?|oz)\\b', 1) AS unit, count(*) AS rows_hit FROM m GROUP BY 3""")
 def p30(spark, sf):
-    return Q.unit_issues(derived(spark, sf, "messy").select("segment", "weight_text", "email"))
+    return Q.unit_issues(derived(spark, sf, "messy"))
 
 
 @query("P30_unit_suspicions", """SELECT 'body_weight' AS "column", 'weight' AS domain, 'mixed_kg_and_lb' AS suspicion UNION ALL SELECT 'temp', 'temperature', 'fahrenheit'""")
@@ -603,9 +603,10 @@ _DRIFT = """WITH q AS (SELECT quantile_cont(epoch_us(o_orderdate)::DOUBLE, 0.25)
  SELECT 'o_totalprice' AS "column", o_totalprice AS value, side FROM s WHERE side IS NOT NULL UNION ALL SELECT 'o_orderkey', o_orderkey, side FROM s WHERE side IS NOT NULL"""
 
 
-@query("P38_ks_drift", ks_sql(_DRIFT))
+@query("P38_ks_drift", with_p(ks_sql(_DRIFT), "kolmogorov", "* EXCLUDE (p)", "drift"))
 def p38(spark, sf):
-    return TM.ks_drift(table(spark, sf, "orders"), "o_orderdate", ["o_totalprice", "o_orderkey"]).select("column", "n0", "n1", "statistic")
+    return TM.ks_drift(table(spark, sf, "orders"), "o_orderdate", ["o_totalprice", "o_orderkey"]).select(
+        "column", "n0", "n1", "statistic", F.round("p_value", 4).alias("p_value"), "drift")
 
 
 TRIO = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"], "nation": ["n_nationkey", "n_regionkey"]}

@@ -128,25 +128,34 @@ def r03(spark, sf):
         "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+# Whole tables; every seventh key has no partner.
+SHIFTED = "CASE WHEN {0} % 7 = 0 THEN -{0} ELSE {0} END::BIGINT"
+
+
+def shifted(key):
+    k = F.col(key).cast("bigint")
+    return F.when(k % 7 == 0, -k).otherwise(k)
+
+
 for how, sql_how in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     def _join(spark, sf, how=how):
-        a = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.lit("o").alias("tag"))
-        b = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"), "c_name", F.lit("c").alias("tag"))
+        a = table(spark, sf, "orders").select(shifted("o_custkey").alias("custkey"), "o_orderkey", F.lit("o").alias("tag"))
+        b = table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("custkey"), "c_name", F.lit("c").alias("tag"))
         return R.join_tables(a, b, ["custkey"], how)
     query(f"R04_join_{how}", f"""SELECT custkey, o_orderkey, a.tag AS tag_x, c_name, b.tag AS tag_y
-FROM (SELECT o_custkey AS custkey, o_orderkey, 'o' AS tag FROM orders WHERE o_totalprice > 400000) a
-{sql_how} (SELECT c_custkey AS custkey, c_name, 'c' AS tag FROM customer WHERE c_acctbal > 0) b USING (custkey)""")(_join)
+FROM (SELECT {SHIFTED.format("o_custkey")} AS custkey, o_orderkey, 'o' AS tag FROM orders) a
+{sql_how} (SELECT c_custkey::BIGINT AS custkey, c_name, 'c' AS tag FROM customer) b USING (custkey)""")(_join)
 
 
-@query("R05_semi_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+@query("R05_semi_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT " + SHIFTED.format("o_custkey") + " FROM orders)")
 def r05a(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").select(shifted("o_custkey").alias("c_custkey"))
     return R.join_tables(table(spark, sf, "customer"), o, ["c_custkey"], "left_semi").select("c_custkey", "c_name")
 
 
-@query("R05_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+@query("R05_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT " + SHIFTED.format("o_custkey") + " FROM orders)")
 def r05b(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").select(shifted("o_custkey").alias("c_custkey"))
     return R.join_tables(table(spark, sf, "customer"), o, ["c_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
@@ -281,13 +290,13 @@ def r14c(spark, sf):
 
 
 _A = "SELECT c_nationkey::BIGINT AS k FROM customer"
-_B = "SELECT s_nationkey::BIGINT AS k FROM supplier WHERE s_acctbal > 8000"
+_B = "SELECT " + SHIFTED.format("s_nationkey") + " AS k FROM supplier"
 for _name, _op, _fn in (("union", "UNION", lambda a, b: a.union(b).distinct()), ("union_all", "UNION ALL", lambda a, b: a.unionByName(b)),
                         ("intersect", "INTERSECT", lambda a, b: a.intersect(b)), ("except", "EXCEPT", lambda a, b: a.subtract(b)),
                         ("intersect_all", "INTERSECT ALL", lambda a, b: a.intersectAll(b)), ("except_all", "EXCEPT ALL", lambda a, b: a.exceptAll(b))):
     def _setop(spark, sf, fn=_fn):
         a = table(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("k"))
-        b = table(spark, sf, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").cast("bigint").alias("k"))
+        b = table(spark, sf, "supplier").select(shifted("s_nationkey").alias("k"))
         return fn(a, b)
     query(f"R15_{_name}", f"{_A} {_op} {_B}")(_setop)
 

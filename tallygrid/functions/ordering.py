@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from .kinds import NUMERIC_TYPES, quoted
 
 CHUNK = "_chunk"
+ROWS_PER_CHUNK = 1_000_000
 
 
 def micros(df: DataFrame, col: str) -> Column:
@@ -41,9 +42,10 @@ def order_number(df: DataFrame, col: str) -> Column:
 
 
 def cut_points(df: DataFrame, number: Column, n: int | None = None) -> list[float]:
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(2, min(n, 2000))
-    got = df.select(number.alias("_o")).approxQuantile("_o", [i / n for i in range(1, n)], 0.25 / n)
+    """Cuts into ``n`` chunks; by default as many that a chunk has about ``ROWS_PER_CHUNK`` rows, and one per shuffle partition at least."""
+    d = df.select(number.alias("_o"))
+    n = max(2, n or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // ROWS_PER_CHUNK)))
+    got = d.approxQuantile("_o", [i / n for i in range(1, n)], 0.25 / n)
     return sorted(set(got))
 
 

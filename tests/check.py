@@ -58,7 +58,7 @@ def compare(spark, con, name, fn, sql, sf):
     ty = {d[0]: str(d[1]) for d in cur.description}
     pairs = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     odd = {c: (d, ty[c]) for c, d in df.dtypes if pairs.get(d, ty[c]) != ty[c] and got}
-    return f"rows={len(got)}" + (f" TYPES {odd}" if odd or bad_types else ""), True
+    return f"rows={len(got)}" + (f" TYPES {odd or bad_types}" if odd or bad_types else ""), not (odd or bad_types)
 
 
 if __name__ == "__main__":
