@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -59,7 +60,11 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 
 def fingerprint(text: str, words: int) -> int:
-    h = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is set if it is set in over half the hashes."""
     if not len(h):
         return 0
     lanes = h.view(np.uint8).reshape(-1, 8)
@@ -272,30 +277,47 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 12, similarity: float = 0.8) -> DataFrame:
+TABLES = 3
+
+
+def rehashed(h: np.ndarray, table: int) -> np.ndarray:
+    """Hashes as if of another seed; table 0 has them as they are."""
+    if not table:
+        return h
+    x = (h ^ U(table * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * U(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> U(31))) * U(0x94D049BB133111EB)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similarity: float = 0.8) -> DataFrame:
     """``docs`` less all but one document of each group of near copies: the one of the smallest doc_id stays.
 
-    Candidates are the least spanning forest of the fingerprints within
-    ``distance`` (and texts of equal fingerprints); a link holds if the exact
-    Jaccard similarity of the two texts' shingle sets is at least
-    ``similarity``. Equal texts are always one group. Rows equal in id and text
-    leave one row.
+    A text has ``TABLES`` fingerprints of differently seeded hashes, since one of
+    64 bits alone strays too far at this similarity. In each table candidates
+    are the least spanning forest of the fingerprints within ``distance`` (and
+    texts of equal fingerprints); a link holds if the exact Jaccard similarity
+    of the two texts' shingle sets is at least ``similarity``. Equal texts are
+    always one group. Rows equal in id and text leave one row.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    names = [f"fp{t}" for t in range(TABLES)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b["text"]], U).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "fp": fp})
+            fps = [[majority(rehashed(h, t)) for t in range(TABLES)] for h in (shingle_hashes(x, words) for x in b["text"])]
+            fps = np.array(fps, U).view(np.int64).reshape(-1, TABLES)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], **{n: fps[:, t] for t, n in enumerate(names)}})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = stored(rows.mapInPandas(run, "doc_id long, digest string, fp long"), "fingerprints")
-    texts = stored(d.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")), "texts")
-    fps = texts.groupBy("fp").agg(F.min("digest").alias("rep"))
-    a, b = (fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-    far = links(fps.select("fp"), distance).join(a, "a").join(b, "b").select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y"))
-    same = texts.join(fps.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).where("digest <> rep").select(F.col("digest").alias("x"), F.col("rep").alias("y"))
-    pairs = stored(far.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    d = stored(rows.mapInPandas(run, "doc_id long, digest string, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    texts = stored(d.groupBy("digest").agg(*[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first")), "texts")
+    found = []
+    for n in names:
+        fps = stored(texts.groupBy(F.col(n).alias("fp")).agg(F.min("digest").alias("rep")), "distinct")
+        a, b = (fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
+        found.append(links(fps.select("fp"), distance).join(a, "a").join(b, "b").select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")))
+        found.append(texts.join(fps, F.col(n) == F.col("fp")).where("digest <> rep").select(F.col("digest").alias("x"), F.col("rep").alias("y")))
+    pairs = reduce(DataFrame.unionByName, found)
+    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
     asked = pairs.select(F.col("x").alias("_d")).union(pairs.select("y")).distinct()
     # One text of each candidate, as its shingle set; copies of a text fall away before the sets are made.
     held = rows.join(asked, rows["digest"] == asked["_d"], "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
