@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +24,7 @@ from .temporal import time_split
 
 # --- Fixed values: default sizes of the model families --------------------------------------
 DEFAULTS = {"boosted_trees": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 6},
-            "random_forest": {"numTrees": 150, "maxDepth": 10}, "linear": {"maxIter": 1000, "regParam": 1.0}}
+            "random_forest": {"numTrees": 150, "maxDepth": 10}, "linear": {"maxIter": 1000, "alpha": 1.0}}
 MIN_ROWS = 10
 # -------------------------------------------------------------------------------------------
 
@@ -50,14 +50,20 @@ def prepare(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 
 def feature_stages(df: DataFrame, features: list[str], scale: bool = False) -> list:
-    """Category codes, medians and assembly as stages that are fitted on training rows only."""
+    """Category codes, medians and assembly as stages that are fitted on training rows only.
+
+    Codes are numbers to the models, not categories, so a text of many values
+    does not run into the trees' limit of categories.
+    """
     texts = [c for c in features if c in string_columns(df)]
     nums = [c for c in features if c not in texts]
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}__code", handleInvalid="keep", stringOrderType="alphabetAsc")
               for c in texts]
+    if texts:  # an expression drops the mark of a category
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"`{c}__code` + 0D AS `{c}__number`" for c in texts) + " FROM __THIS__"))
     if nums:
         stages.append(Imputer(inputCols=nums, outputCols=[f"{c}__filled" for c in nums], strategy="median"))
-    stages.append(VectorAssembler(inputCols=[f"{c}__filled" for c in nums] + [f"{c}__code" for c in texts], outputCol="__x"))
+    stages.append(VectorAssembler(inputCols=[f"{c}__filled" for c in nums] + [f"{c}__number" for c in texts], outputCol="__x"))
     if scale:
         stages.append(StandardScaler(inputCol="__x", outputCol="__xs", withMean=True, withStd=True))
     return stages
@@ -100,19 +106,25 @@ def folds(df: DataFrame, kind: str = "random", n: int = 5, key: list[str] = (),
     return d.withColumn("fold", F.coalesce(f, F.lit(0)).cast("int")).select(*df.columns, "fold")
 
 
-def candidates(task: str, classes: int = 2, sizes: dict | None = None, seed: int = 42) -> dict:
-    """Estimators by family. Extra trees have no Spark class and are covered by the random forest."""
+def candidates(task: str, classes: int = 2, sizes: dict | None = None, seed: int = 42, rows: int = 1, deviation: float = 1.0) -> dict:
+    """Estimators by family. Extra trees have no Spark class and are covered by the random forest.
+
+    The linear penalty ``alpha`` belongs to the sum of squared errors (or of log
+    losses) over ``rows``; Spark takes it on the mean loss, and for regression in
+    units of the label's (population) standard ``deviation``.
+    """
     s = {k: {**v, **(sizes or {}).get(k, {})} for k, v in DEFAULTS.items()}
     lin = s["linear"]
     if task == "regression":
         return {"boosted_trees": GBTRegressor(featuresCol="__x", labelCol="__y", seed=seed, **s["boosted_trees"]),
                 "random_forest": RandomForestRegressor(featuresCol="__x", labelCol="__y", seed=seed, **s["random_forest"]),
                 "linear": LinearRegression(featuresCol="__xs", labelCol="__y", elasticNetParam=0.0, standardization=False,
-                                           maxIter=lin["maxIter"], regParam=lin["regParam"])}
+                                           maxIter=lin["maxIter"], regParam=lin["alpha"] * deviation / rows)}
     gbt = GBTClassifier(featuresCol="__x", labelCol="__y", seed=seed, **s["boosted_trees"])
     return {"boosted_trees": gbt if classes <= 2 else OneVsRest(classifier=gbt, featuresCol="__x", labelCol="__y"),
             "random_forest": RandomForestClassifier(featuresCol="__x", labelCol="__y", seed=seed, **s["random_forest"]),
-            "linear": LogisticRegression(featuresCol="__xs", labelCol="__y", maxIter=lin["maxIter"])}
+            "linear": LogisticRegression(featuresCol="__xs", labelCol="__y", standardization=False, maxIter=lin["maxIter"],
+                                         regParam=lin["alpha"] / rows)}
 
 
 @dataclass
@@ -158,7 +170,8 @@ def auto_train(df: DataFrame, target: str, task: str, key: list[str], features:
     ev = (RegressionEvaluator(labelCol="__y", metricName="mae") if task == "regression"
           else MulticlassClassificationEvaluator(labelCol="__y", metricName="f1"))
     sign = -1.0 if task == "regression" else 1.0
-    est = {n: e for n, e in candidates(task, len(labels), sizes, seed).items() if not families or n in families}
+    size = d.agg(F.count("__y").alias("n"), F.stddev_pop("__y").alias("s")).first()
+    est = {n: e for n, e in candidates(task, len(labels), sizes, seed, max(size["n"], 1), size["s"] or 1.0).items() if not families or n in families}
     scores, pipes = {}, {}
     for name, e in est.items():
         pipes[name] = Pipeline(stages=[*feature_stages(d, feats, scale=name == "linear"), e])

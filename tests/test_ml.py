@@ -89,3 +89,26 @@ def test_clusters_and_forest_find_planted_groups(spark):
     assert 7 in [r["id"] for r in top] and all(0.5 < r["anomaly_score"] <= 1 for r in top)
     proj, comp = analytics.pca(d, ["u", "w"], 2)
     assert proj.count() == 600 and comp.agg(F.sum("explained")).first()[0] == pytest.approx(2.0)
+
+
+def test_ridge_penalty_is_on_the_sum_of_squares(spark):
+    import numpy as np
+    from pyspark.ml import Pipeline
+    d = spark.range(400).select("id", (F.col("id") % 23).cast("double").alias("a"), ((F.col("id") * 7) % 31).cast("double").alias("b"))
+    d = d.withColumn("__y", 40 * F.col("a") - 3 * F.col("b") + F.sin("id") * 5)
+    y = np.array([r["__y"] for r in d.orderBy("id").collect()])
+    x = np.array([[r["a"], r["b"]] for r in d.orderBy("id").collect()])
+    for alpha in (1.0, 200.0):
+        est = ml.candidates("regression", sizes={"linear": {"alpha": alpha}}, rows=400, deviation=float(y.std()))["linear"]
+        m = Pipeline(stages=[*ml.feature_stages(d, ["a", "b"], scale=True), est]).fit(d).stages[-1]
+        z = (x - x.mean(0)) / x.std(0, ddof=1)
+        want = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ (y - y.mean()))
+        assert np.allclose(m.coefficients.toArray(), want, rtol=1e-4)
+
+
+def test_text_feature_of_many_values(spark):
+    d = spark.range(1500).select("id", F.concat(F.lit("v"), F.col("id") % 1000).alias("kind"), (F.col("id") % 7).cast("double").alias("a"))
+    d = d.withColumn("y", (F.col("a") > 3).cast("string"))
+    t = ml.auto_train(d, "y", "classification", ["id"], ["kind", "a"], families=["random_forest", "linear"], sizes=SIZES, n_folds=2)
+    assert {r["metric"]: r["value"] for r in t.metrics.collect()}["accuracy"] > 0.9
+    assert {r["feature"] for r in ml.importance(t, spark).collect()} == {"kind", "a"}
