@@ -99,9 +99,14 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> Dat
 
 
 def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """One row: total rows, surplus copies (keep first) and rows in groups of copies (keep none)."""
+    """One row: total rows, surplus copies (keep first) and rows in groups of copies (keep none).
+
+    Rows are grouped by a 128-bit digest, so 16 bytes of each are shuffled. Each
+    value goes in with whether it is missing, since a hash skips missing values.
+    """
     cols = cols or df.columns
-    g = df.select(*[short_key(df, c).alias(c) for c in cols]).groupBy(*[quoted(c) for c in cols]).agg(
+    parts = [x for c in cols for x in (quoted(c).isNull(), short_key(df, c))]
+    g = df.select(*[F.xxhash64(F.lit(seed), *parts).alias(f"_d{seed}") for seed in (1, 2)]).groupBy("_d1", "_d2").agg(
         F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("rows"),
                  F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("surplus"),

@@ -150,10 +150,9 @@ def text_features(df: DataFrame, col: str, keywords: list[str] = ()) -> DataFram
 def sentiment(df: DataFrame, col: str, lexicon: DataFrame, key: list[str]) -> DataFrame:
     """Sum of lexicon scores (word, score) over the words of a text, per key; texts without hits score 0."""
     words = spread(df.select(*[quoted(k) for k in key], quoted(col))).select(*[quoted(k) for k in key], F.explode(F.split(F.lower(quoted(col)), r"[^\p{L}\p{N}']+")).alias("word"))
-    # Count words per text first: a text with a hot word sends one row for it.
-    hits = (words.where("word <> ''").groupBy(*key, "word").agg(F.count(F.lit(1)).alias("_n"))
-            .join(lexicon.select("word", "score"), "word")
-            .groupBy(*key).agg(F.sum(F.col("_n") * F.col("score")).alias("_s"), F.sum("_n").alias("_h")))
+    # Only hits are grouped: a lexicon small enough is broadcast, and all other words end in the scan's stage.
+    hits = (words.where("word <> ''").join(lexicon.select("word", "score"), "word")
+            .groupBy(*key).agg(F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_h")))
     return df.join(hits, key, "left").withColumns({
         f"{col}_sentiment": F.coalesce("_s", F.lit(0.0)), f"{col}_sentiment_hits": F.coalesce("_h", F.lit(0))}).drop("_s", "_h")
 

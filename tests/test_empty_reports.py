@@ -67,3 +67,9 @@ def test_an_all_missing_column_loses_no_row(spark, name):
 def test_limit_zero_is_a_limit(spark):
     d = spark.createDataFrame([("g", 1.0), ("g", 2.0), (None, 1.0), (None, 5.0)], "g string, x double")
     assert all(r["is_anomaly"] and r["score"] is not None for r in analytics.anomalies(d, "x", "g", limit=0).collect())
+
+
+def test_digests_of_rows_tell_missing_values_apart(spark):
+    from tallygrid.functions.wide import duplicate_rows
+    d = spark.createDataFrame([("a", None), (None, "a"), ("a", None), (None, None), ("a", "b"), (None, None), (None, None)], "x string, y string")
+    assert tuple(duplicate_rows(d).first()) == (7, 3, 5)
