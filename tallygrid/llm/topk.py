@@ -18,7 +18,7 @@ Defined cases: vectors that are null or hold null or non-finite components take
 no part, as query or candidate; a null id takes no part; vectors of unequal
 length meet as if filled up with zeros; repeated ids are different rows, a query
 skips every candidate of its own id; a table of fewer candidates gives fewer rows.
-Components must stay below 2**24 in magnitude.
+Components of 2**53 or more lose digits, and a score is cut to 64 bits.
 """
 
 from __future__ import annotations
@@ -40,18 +40,18 @@ OUT = "query_id long, vec_id long, score long"
 
 def integer_vectors(table: DataFrame, vec_id: str, vector: str, scale: float = 64.0) -> DataFrame:
     """Rows (vec_id, v): floor(scale * x) of each component; rows with anything missing or not finite are left out."""
-    v = F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("int"))
+    v = F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")))
     whole = F.col(vector).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     return table.where(F.col(vec_id).isNotNull() & whole).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def blocks(vectors: DataFrame, rows: int, width: int) -> DataFrame:
-    """Rows (ids, values): packed int64 ids and float32 components of up to ``rows`` vectors."""
+    """Rows (ids, values): packed int64 ids and float64 components of up to ``rows`` vectors."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, values = [], []
 
         def close():
-            m = np.zeros((len(ids), width), np.float32)
+            m = np.zeros((len(ids), width))
             for i, v in enumerate(values):
                 m[i, :len(v)] = v
             order = np.argsort(np.array(ids, np.int64), kind="stable")
@@ -78,23 +78,30 @@ def planes_of(x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     size = np.abs(x)
     planes, left, rest = [], [], x.copy()
     for hi, lo in zip(edges, edges[1:]):
-        p = np.where((size <= hi) & (size > lo), x, np.float32(0))
+        p = np.where((size <= hi) & (size > lo), x, 0.0)
         rest = rest - p
         planes.append(p)
-        left.append(np.sqrt((rest.astype(np.float64) ** 2).sum(1)))
+        left.append(np.sqrt((rest ** 2).sum(1)))
     return planes, np.array(left)
 
 
+def _integers(x: np.ndarray, whole: type) -> np.ndarray:
+    return np.array([int(v) for v in x.ravel()], whole).reshape(x.shape)
+
+
 def best(queries: np.ndarray, query_ids: np.ndarray, planes: list[np.ndarray], left: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query (its row repeated, ids, exact scores) of the members of this block's best ``k``. ``ids`` ascend."""
     out = []
-    norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * (1 + 1e-12)
-    score = np.zeros((len(queries), len(ids)), np.float64)
+    norm = np.sqrt((queries ** 2).sum(1)) * (1 + 1e-12)
+    score = np.zeros((len(queries), len(ids)))
     full = np.sum(planes, 0)
+    largest = float(np.abs(full).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(full.shape[1], 1)
+    whole = np.int64 if largest < 2 ** 62 else object  # Python's own integers where 64 bits could overflow
+    left = left + (0.0 if largest < 2 ** 52 else 1e-12 * np.sqrt((full ** 2).sum(1)))  # sums of doubles are exact below
     own = query_ids[:, None] == ids[None, :]
     open_rows = np.arange(len(queries))
     for n, plane in enumerate(planes):
-        score[open_rows] += queries[open_rows].astype(np.float64) @ plane.T.astype(np.float64)
+        score[open_rows] += queries[open_rows] @ plane.T
         still = []
         for q in open_rows:
             s = np.where(own[q], -np.inf, score[q])
@@ -104,8 +111,9 @@ def best(queries: np.ndarray, query_ids: np.ndarray, planes: list[np.ndarray], l
             member = np.flatnonzero((s + slack >= kth) & ~own[q])
             # Proof: whatever is left cannot lift another candidate in. More planes only help while many are open.
             if n == len(planes) - 1 or len(member) <= 4 * k:
-                exact = (full[member].astype(np.int64) @ queries[q].astype(np.int64))
-                order = np.lexsort((ids[member], -exact))[:k]
+                exact = np.array([min(max(int(s), -2 ** 63), 2 ** 63 - 1) for s in _integers(full[member], whole) @ _integers(queries[q], whole)], np.int64) if (
+                    whole is object) else full[member].astype(np.int64) @ queries[q].astype(np.int64)
+                order = np.lexsort((ids[member], ~exact))[:k]
                 out.append((np.full(len(order), query_ids[q]), ids[member][order], exact[order]))
             else:
                 still.append(q)
@@ -131,8 +139,8 @@ def search(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
             for raw, values, q_raw, q_values in zip(b["ids"], b["values"], b["q_ids"], b["q_values"]):
                 ids, q_ids = np.frombuffer(raw, np.int64), np.frombuffer(q_raw, np.int64)
                 if raw != held:
-                    held, made = raw, planes_of(np.frombuffer(values, np.float32).reshape(len(ids), width))
-                got = best(np.frombuffer(q_values, np.float32).reshape(len(q_ids), width), q_ids, *made, ids, k)
+                    held, made = raw, planes_of(np.frombuffer(values).reshape(len(ids), width))
+                got = best(np.frombuffer(q_values).reshape(len(q_ids), width), q_ids, *made, ids, k)
                 if got:
                     q, i, s = (np.concatenate(x) for x in zip(*got))
                     yield pd.DataFrame({"query_id": q, "vec_id": i, "score": s})

@@ -51,3 +51,12 @@ def test_most_candidates_are_dropped_before_the_last_plane():
     x = np.sort(np.floor(rng.normal(size=(2000, 64)) * 8), 0).astype(np.float32)
     planes, left = topk.planes_of(x)
     assert np.allclose(np.sum(planes, 0), x) and (np.diff(left, axis=0) <= 1e-9).all() and (left[-1] < 1e-6).all()
+
+
+def test_huge_components(spark):
+    rows = [(i, [1e25 * (-1) ** i, float(i), 3e38]) for i in range(25)] + [(30, [1e9, 2.0, -5e8]), (31, [3.0, 2.0, 1.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, 3).collect()
+    assert len(got) == 12 and {r["rank"] for r in got} == {1, 2, 3}
+    d = spark.createDataFrame([(0, [2.0 ** 20, 1.0]), (1, [2.0 ** 20, 3.0]), (2, [-(2.0 ** 21), 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.search(d, F.col("vec_id") == 0, 5).orderBy("rank").collect()] == [
+        (1, 2 ** 52 + 3 * 4096), (2, -(2 ** 53))]
