@@ -24,20 +24,24 @@ _ENCODERS: dict[str, WordEncoder] = {}
 class WordEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        # Lower-case letters need no normaliser; without one the library is three times as fast.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
 
     def _letters(self, stems: list[bytes]) -> None:
-        ids = self._ids(b" ".join(stems).decode())
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(stems).decode().lower()], add_special_tokens=False)[0].ids, self.width)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(stems):
             raw, at = ids.tobytes(), 0
