@@ -115,8 +115,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     r.commit(1, first)
     r.commit(1, first)
     r.commit(2, feed(counted.where("NOT lang <=> 'en'"), "put", "letters-2", "n2"))
-    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = counted.join(firsts, "digest").where("doc_id <> first")
+    firsts = stored(counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    copies = counted.join(firsts.hint("merge"), "digest").where("doc_id <> first")
     r.commit(3, feed(copies, "delete", None, "n1"))
     return r.totals()
 

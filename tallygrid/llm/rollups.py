@@ -69,7 +69,8 @@ class Rollup:
          .write.mode("append").parquet(f"{self.path}/records"))
         mine = self._read("records", RECORD).where(F.col("attempt") == attempt)
         old = self.current()
-        touched = old.join(mine.select(F.col("doc_id").alias("_d")), old["doc_id"].eqNullSafe(F.col("_d")), "left_semi")
+        # Packed columns look small on disk; as many rows as changes must not be broadcast by that measure.
+        touched = old.join(mine.select(F.col("doc_id").alias("_d")).hint("merge"), old["doc_id"].eqNullSafe(F.col("_d")), "left_semi")
         signed = touched.select(*GROUP, "tokens", F.lit(-1).alias("sign")).unionByName(mine.where("op = 'put'").select(*GROUP, "tokens", F.lit(1).alias("sign")))
         # The empty group carries the batch when nothing changes.
         sums = signed.groupBy(*GROUP).agg(F.sum("sign").alias("docs"), F.sum(F.col("tokens") * F.col("sign")).alias("tokens"), F.count(F.lit(1)).alias("changes"))
