@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.wide import column_stats
 from ..operators import analytics as A, chartdata as V, ml as L, stats as T, userfn as U
 from .base import derived, duck, query, scratch, table, union, with_p
 from .preparing import _FOLD, r
@@ -251,11 +252,11 @@ def a14(spark, sf):
     return findings({t: table(spark, sf, t) for t in ("part", "orders")})
 
 
-@query("L01_select_features", """SELECT unnest(['l_linenumber', 'l_quantity', 'l_discount', 'l_tax']) AS feature""")
+@query("L01_select_features", union([f"SELECT '{c}' AS feature, count({c}) AS present FROM lineitem" for c in ("l_linenumber", "l_quantity", "l_discount", "l_tax")]))
 def l01(spark, sf):
-    got = L.select_features(table(spark, sf, "lineitem"), "l_extendedprice", "l_shipdate", mode="substring")
-    return table(spark, sf, "lineitem").select(*got).limit(0).unpivot([], got, "feature", "v").select("feature").unionByName(
-        spark.createDataFrame([(c,) for c in got], "feature string"))
+    d = table(spark, sf, "lineitem")
+    got = L.select_features(d, "l_extendedprice", "l_shipdate", mode="substring")
+    return column_stats(d, got, lambda c: {"present": F.count(c)}).withColumnRenamed("column", "feature")
 
 
 @query("L02_prepare", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
