@@ -319,8 +319,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
     pairs = reduce(DataFrame.unionByName, found)
     pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
     asked = pairs.select(F.col("x").alias("_d")).union(pairs.select("y")).distinct()
-    # One text of each candidate, as its shingle set; copies of a text fall away before the sets are made.
-    held = rows.join(asked, rows["digest"] == asked["_d"], "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    # One text of each candidate, as its shingle set; copies of a text fall away before they are shuffled.
+    once = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    held = once.join(asked, once["digest"] == asked["_d"], "left_semi")
     as_set = F.pandas_udf(lambda t: shingle_set(t, words), "binary")
     sets = stored(held.select("digest", as_set("text").alias("set")), "sets")
     left, right = (sets.select(F.col("digest").alias(k), F.col("set").alias(f"set_{k}")) for k in "xy")
