@@ -5,7 +5,8 @@
    automaton of one edit at the same time; the pairs (trie node, edits) reached
    by a prefix form a state, and states are made on first use and kept. Most
    tokens of clean text leave the trie after three or four letters. Only
-   entries of at least ``FUZZY`` letters may be misspelt.
+   entries of at least ``FUZZY`` letters may be misspelt; a term of that length
+   is an entry of its own also where a stem has its exact forms.
 3. Around each hit a window of tokens is read: quotation marks, words that
    report, and direct address are counted, and how many hits stand close together.
 4. A logistic regression over these counts gives the score.
@@ -194,12 +195,18 @@ def learn_lexicon(rows: DataFrame, max_terms: int, least_rows: int, least_share:
              .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .where((F.col("toxic") >= least_rows) & (odds >= least_share))
              .orderBy(F.desc("toxic"), F.length("term"), "term").limit(8 * max_terms).collect())
-    chosen: dict[str, bool] = {}
-    for r in found:  # a stem stands for what begins with it
+    stems: set[str] = set()
+    terms: set[str] = set()
+    beside: set[str] = set()  # terms that begin with a chosen stem: it has their exact forms, but only a full term may be misspelt
+    for r in found:
         term, stem = (r["term"][:-1], True) if r["term"].endswith("*") else (r["term"], False)
-        if not any(chosen.get(term[:k]) for k in range(1, len(term) + 1)) and len(chosen) < max_terms:
-            chosen[term] = stem or chosen.get(term, False)
-    return sorted(chosen.items())
+        if not stems.isdisjoint(term[:k] for k in range(1, len(term) + 1)):
+            if not stem and len(term) >= FUZZY:
+                beside.add(term)
+        elif len(stems | terms) < max_terms:
+            (stems if stem else terms).add(term)
+    short = {t for t in terms & stems if len(t) < FUZZY}  # the stem stands for it
+    return sorted([*((t, True) for t in stems), *((t, False) for t in (terms - short) | beside)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_terms: int = 500, least_rows: int = 8, least_share: float = 20.0) -> Model:

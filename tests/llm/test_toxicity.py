@@ -67,6 +67,24 @@ def test_learns_and_holds_out(spark, frame):
     assert kept.columns == odd.columns and kept.count() == odd.count() - sum(r["_predicted"] for r in got.values())
 
 
+def test_learned_terms_may_be_misspelt(spark, frame):
+    """Through the learned lexicon: its stems are shorter than FUZZY and come first, and must not take the full terms with them."""
+    rows, labels = corpus()
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tx.fit(frame(rows), lab)
+    assert {("idio", True), ("idiot", False), ("moron", False), ("worthless", False)} <= set(model.entries)
+    lex = tx.Lexicon(model.entries)
+    assert [lex.kind(x) for x in ("idiot", "idiotic", "1diot", "m0ron", "w0rthless", "wrthless")] == [tx.EXACT, tx.STEM, *[tx.MISSPELT] * 4]
+    assert [lex.kind(x) for x in ("scum", "scumbag", "5cum", "clean")] == [tx.STEM, tx.STEM, 0, 0]
+
+
+def test_no_term_is_crowded_out(spark):
+    """Terms beside a stem do not count against the number of entries."""
+    rows = spark.createDataFrame([(f"{w} idiot moron", 1.0) for w in ["scum"] * 12] + [("clean words", 0.0)] * 200, "text string, label double")
+    got = tx.learn_lexicon(rows, 3, 8, 5.0)
+    assert set(got) == {("idio", True), ("idiot", False), ("moro", True), ("moron", False), ("scum", False)}
+
+
 def test_held_out_labels_are_not_seen(spark, frame):
     rows, labels = corpus(300)
     held = {r[0] for r in spark.range(300).where(tx.held_out(F.col("id"))).collect()}
