@@ -24,7 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -178,27 +178,43 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def meet(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs (left, right) within ``distance`` and not equal, nearest pairs first."""
+def meet(left: np.ndarray, right: np.ndarray, distance: int, whole: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A spanning forest of the pairs (left, right) within ``distance`` and not equal, nearest pairs first.
+
+    Up to ``whole`` pairs all of them are given instead; the last value says if pairs were left out.
+    """
     def thin(a, b):
         order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
         keep = order[forest(a[order], b[order])]
         return a[keep], b[keep]
 
-    found_a, found_b = [], []
+    found_a, found_b, thinned = [], [], False
     for at in range(0, len(left), 256):
         x = left[at:at + 256, None] ^ right[None, :]
         i, j = np.nonzero((np.bitwise_count(x) <= distance) & (x != 0))
         found_a.append(left[at + i])
         found_b.append(right[j])
-        if sum(map(len, found_a)) > 1 << 20:  # keep what is held small
+        if sum(map(len, found_a)) > max(1 << 20, whole):  # keep what is held small
             a, b = thin(np.concatenate(found_a), np.concatenate(found_b))
-            found_a, found_b = [a], [b]
-    return thin(np.concatenate(found_a), np.concatenate(found_b))
+            found_a, found_b, thinned = [a], [b], True
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    return (a, b, False) if len(a) <= whole and not thinned else (*thin(a, b), True)
 
 
-def links(fps: DataFrame, distance: int) -> DataFrame:
-    """Rows (a, b) of distinct fingerprints that connect all that lie within ``distance``. ``fps``: distinct fp."""
+def cross(left: np.ndarray, right: np.ndarray, of_left: np.ndarray, of_right: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in left, in right) of all pairs within ``distance`` whose labels differ, in pieces."""
+    for at in range(0, len(left), 256):
+        i, j = np.nonzero(np.bitwise_count(left[at:at + 256, None] ^ right[None, :]) <= distance)
+        other = of_left[at + i] != of_right[j]
+        yield at + i[other], j[other]
+
+
+def cells(fps: DataFrame, distance: int) -> DataFrame | None:
+    """Rows (fp, part, value, side, own, i, j): distinct fingerprints dealt to cells so that all within ``distance`` meet in one. None if there are none.
+
+    A cell (part, value, i, j) is a block of a bucket's probes beside a block of its
+    index (``side`` 1 and 0), or two blocks of an unprobed bucket (``side`` 2).
+    """
     n = fps.count()
     share = min(1.0, SAMPLE / max(n, 1))
     sample = np.array([r[0] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).collect()], np.int64)
@@ -211,7 +227,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
         if t:
             rows += [F.struct(F.lit(k), value.bitwiseXOR(F.lit(m)), F.lit(1)) for m in masks(bits, t)]
     if not rows:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+        return None
     keys = ["part", "value"]
     sig = stored(fps.select("fp", F.inline(F.array(*rows))), "signatures")
     size = sig.groupBy(*keys).agg(F.sum(1 - F.col("probe")).alias("n"), F.sum("probe").alias("p")).where("n > 1 OR (n > 0 AND p > 1)")
@@ -221,37 +237,101 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("probe") == 1, F.col("pb")).otherwise(F.col("nb"))).cast("int")
     # A probe block meets every index block; where nothing is probed, index blocks meet each other once.
     others = F.when(F.col("probe") == 1, F.col("nb")).otherwise(F.when(F.col("probed"), F.col("pb")).otherwise(F.col("nb")))
-    cells = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.when(F.col("probe") == 1, F.struct(own.alias("i"), o.alias("j"))).when(
+    blocks = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.when(F.col("probe") == 1, F.struct(own.alias("i"), o.alias("j"))).when(
         F.col("probed"), F.struct(o.alias("i"), own.alias("j"))).otherwise(F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
     # In an unprobed bucket a fingerprint says which of the two blocks it is of.
-    dealt = j.select("fp", *keys, F.when(F.col("probed"), F.col("probe")).otherwise(F.lit(2)).alias("side"), own.alias("own"), F.inline(cells))
+    return j.select("fp", *keys, F.when(F.col("probed"), F.col("probe")).otherwise(F.lit(2)).alias("side"), own.alias("own"), F.inline(blocks))
 
+
+CELL = ["part", "value", "i", "j"]
+
+
+def by_cell(dealt: DataFrame, close: Callable[[tuple, pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``close`` of each cell of more than one row, whole cells at a time."""
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
 
-        def close():
-            d = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            fp, side, own = d["fp"].to_numpy().view(U), d["side"].to_numpy(), d["own"].to_numpy()
-            if side[0] == 2:
-                a, b = (fp, fp) if key[2] == key[3] else (fp[own == key[2]], fp[own == key[3]])
-            else:
-                a, b = fp[side == 1], fp[side == 0]
-            a, b = meet(a, b, distance) if len(a) and len(b) else (fp[:0], fp[:0])
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        def whole():
+            if sum(map(len, held)) > 1:
+                yield from close(key, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0])
 
         for batch in batches:
-            for k, d in batch.groupby(["part", "value", "i", "j"], sort=False):
-                if k != key and held:
-                    if sum(map(len, held)) > 1:
-                        yield close()
+            for k, d in batch.groupby(CELL, sort=False):
+                if k != key:
+                    yield from whole()
                     held = []
                 key = k
                 held.append(d)
-        if held and sum(map(len, held)) > 1:
-            yield close()
+        yield from whole()
+
+    return dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(compare, schema)
+
+
+def sides(key: tuple, d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the rows of a cell that meet each other."""
+    side, own = d["side"].to_numpy(), d["own"].to_numpy()
+    return (own == key[2], own == key[3]) if side[0] == 2 else (side == 1, side == 0)
+
+
+def links(fps: DataFrame, distance: int) -> DataFrame:
+    """Rows (a, b) of distinct fingerprints that connect all that lie within ``distance``. ``fps``: distinct fp."""
+    dealt = cells(fps, distance)
+    if dealt is None:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+
+    def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fp = d["fp"].to_numpy().view(U)
+        x, y = sides(key, d)
+        if x.any() and y.any():
+            a, b, _ = meet(fp[x], fp[y], distance)
+            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return by_cell(dealt, close, "a long, b long")
+
+
+DENSE = 8  # pairs for each fingerprint of a cell, up to which all of them leave it at once
 
-    by = [*keys, "i", "j"]
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInPandas(compare, "a long, b long")
+
+def near_pairs(fps: DataFrame, distance: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (a, b, part, value, i, j) of distinct fingerprints within ``distance``, and the cells they met in (None: no fingerprints).
+
+    A cell of few pairs gives all of them. Of a dense one a spanning forest comes
+    first, with its name; ``cross_pairs`` gives what the forest leaves open.
+    """
+    dealt = cells(fps, distance)
+    schema = "a long, b long, part int, value long, i int, j int"
+    if dealt is None:
+        return fps.sparkSession.createDataFrame([], schema), None
+    dense = DENSE  # as set in the driver
+
+    def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fp = d["fp"].to_numpy().view(U)
+        x, y = sides(key, d)
+        if x.any() and y.any():
+            a, b, thinned = meet(fp[x], fp[y], distance, dense * len(fp))
+            out = pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+            for name, v, kind in zip(CELL, key, ("Int32", "Int64", "Int32", "Int32")):
+                out[name] = pd.array([v if thinned else None] * len(a), kind)
+            yield out
+
+    dealt = stored(dealt, "cells")
+    return stored(by_cell(dealt, close, schema), "near"), dealt
+
+
+def cross_pairs(dealt: DataFrame, dense: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
+    """Rows (a, a_label, b, b_label): all pairs within ``distance`` of other labels in the cells ``dense``. ``labels``: distinct fp, label."""
+    named = labels.select(F.col("fp").alias("_fp"), "label")
+    rows = dealt.join(dense, CELL, "left_semi")
+    rows = rows.join(named, rows["fp"] == named["_fp"]).drop("_fp")
+
+    def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fp, label = d["fp"].to_numpy(), d["label"].to_numpy()
+        x, y = sides(key, d)
+        a, of_a, b, of_b = fp[x], label[x], fp[y], label[y]
+        for i, j in cross(a.view(U), b.view(U), of_a, of_b, distance):
+            yield pd.DataFrame({"a": a[i], "a_label": of_a[i], "b": b[j], "b_label": of_b[j]})
+
+    return by_cell(rows, close, "a long, a_label long, b long, b_label long")
 
 
 def classes(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
@@ -292,11 +372,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
     """``docs`` less all but one document of each group of near copies: the one of the smallest doc_id stays.
 
     A text has ``TABLES`` fingerprints of differently seeded hashes, since one of
-    64 bits alone strays too far at this similarity. In each table candidates
-    are the least spanning forest of the fingerprints within ``distance`` (and
-    texts of equal fingerprints); a link holds if the exact Jaccard similarity
-    of the two texts' shingle sets is at least ``similarity``. Equal texts are
-    always one group. Rows equal in id and text leave one row.
+    64 bits alone strays too far at this similarity; they are of the distinct
+    shingles, as the similarity is. Candidates are the pairs of texts within
+    ``distance`` in some table; a link holds if the exact Jaccard similarity of
+    the two texts' shingle sets is at least ``similarity``. No candidate is
+    passed over: in a first round dense cells give a spanning forest and equal
+    fingerprints a star; once these are verified, a second round gives every
+    pair of texts that is not in one group yet. Equal texts are always one
+    group. Rows equal in id and text leave one row.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     names = [f"fp{t}" for t in range(TABLES)]
@@ -310,24 +393,57 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     d = stored(rows.mapInPandas(run, "doc_id long, digest string, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
     texts = stored(d.groupBy("digest").agg(*[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first")), "texts")
-    found = []
-    for n in names:
-        fps = stored(texts.groupBy(F.col(n).alias("fp")).agg(F.min("digest").alias("rep")), "distinct")
-        a, b = (fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-        found.append(links(fps.select("fp"), distance).join(a, "a").join(b, "b").select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")))
-        found.append(texts.join(fps, F.col(n) == F.col("fp")).where("digest <> rep").select(F.col("digest").alias("x"), F.col("rep").alias("y")))
-    pairs = reduce(DataFrame.unionByName, found)
-    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    asked = pairs.select(F.col("x").alias("_d")).union(pairs.select("y")).distinct()
-    # One text of each candidate, as its shingle set; copies of a text fall away before they are shuffled.
+    # One text of each digest, as its shingle set; copies of a text fall away before they are shuffled.
     once = rows.groupBy("digest").agg(F.first("text").alias("text"))
-    held = once.join(asked, once["digest"] == asked["_d"], "left_semi")
     as_set = F.pandas_udf(lambda t: shingle_set(t, words), "binary")
-    sets = stored(held.select("digest", as_set("text").alias("set")), "sets")
-    left, right = (sets.select(F.col("digest").alias(k), F.col("set").alias(f"set_{k}")) for k in "xy")
     alike = F.pandas_udf(lambda p, q: pd.Series([resemblance(i, j) for i, j in zip(p, q)]), "double")
-    good = pairs.join(left, "x").join(right, "y").where(alike("set_x", "set_y") >= similarity).select("x", "y")
+
+    def ordered(found: list[DataFrame]) -> DataFrame:
+        pairs = reduce(DataFrame.unionByName, found)
+        return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("x").alias("_d")).union(pairs.select("y")).distinct()
+        held = once.join(asked, once["digest"] == asked["_d"], "left_semi")
+        sets = stored(held.select("digest", as_set("text").alias("set")), "sets")
+        left, right = (sets.select(F.col("digest").alias(k), F.col("set").alias(f"set_{k}")) for k in "xy")
+        return stored(pairs.join(left, "x").join(right, "y").where(alike("set_x", "set_y") >= similarity).select("x", "y"), "alike")
+
+    found, near = [], []
+    for n in names:
+        fps = stored(texts.groupBy(F.col(n).alias("fp")).agg(F.min("digest").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
+        a, b = (fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
+        near.append((n, fps, *near_pairs(fps.select("fp"), distance)))
+        found.append(near[-1][2].select("a", "b").distinct().join(a, "a").join(b, "b").select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")))
+        found.append(texts.join(fps, F.col(n) == F.col("fp")).where("digest <> rep").select(F.col("digest").alias("x"), F.col("rep").alias("y")))
+    first = stored(ordered(found), "candidates")
+    good = verified(first)
     roots = components(good, "x", "y")
+
+    label = F.xxhash64(F.coalesce("root", "digest")).alias("label")
+    labelled = stored(texts.join(roots, texts["digest"] == roots["node"], "left").select("digest", *names, label), "labelled")
+    found = []
+    for n, fps, pairs, dealt in near:
+        side = {k: labelled.select(F.col("digest").alias(k), F.col(n).alias(f"{k}_fp"), F.col("label").alias(f"{k}_label")) for k in "xy"}
+        several = fps.where("n > 1").select(F.col("fp").alias("_fp"))
+        if not several.isEmpty():  # texts of one fingerprint, and those of sparse cells beside the texts compared for them
+            same = labelled.join(several, labelled[n] == several["_fp"], "left_semi")
+            x, y = (same.select(F.col("digest").alias(k), F.col(n).alias(f"{k}_fp"), F.col("label").alias(f"{k}_label")) for k in "xy")
+            found.append(x.join(y, (x["x_fp"] == y["y_fp"]) & (x["x"] < y["y"])).where("x_label <> y_label").select("x", "y"))
+            sparse = pairs.where("part IS NULL").select("a", "b").distinct()
+            many = several.withColumn("_many", F.lit(True))
+            sparse = sparse.join(many, sparse["a"] == many["_fp"], "left_semi").union(sparse.join(many, sparse["b"] == many["_fp"], "left_semi")).distinct()
+            found.append(sparse.join(side["x"], F.col("a") == F.col("x_fp")).join(side["y"], F.col("b") == F.col("y_fp")).where("x_label <> y_label").select("x", "y"))
+        dense = pairs.where("part IS NOT NULL").select(*CELL).distinct()
+        if not dense.isEmpty():
+            c = stored(cross_pairs(dealt, dense, labelled.select(F.col(n).alias("fp"), "label").distinct(), distance).where("a <> b").distinct(), "cross")
+            found.append(c.join(side["x"], (F.col("a") == F.col("x_fp")) & (F.col("a_label") == F.col("x_label")))
+                         .join(side["y"], (F.col("b") == F.col("y_fp")) & (F.col("b_label") == F.col("y_label"))).select("x", "y"))
+    if found:
+        left_open = ordered(found)
+        left_open = stored(left_open.join(first, ["x", "y"], "left_anti"), "open")
+        if not left_open.isEmpty():
+            roots = components(good.unionByName(verified(left_open)), "x", "y")
     rooted = texts.join(roots, texts["digest"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
     order = F.struct(F.col("first").isNull().alias("missing"), "first", "digest")
     stay = rooted.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.digest").alias("_digest"), F.col("s.first").alias("_first"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -111,6 +112,40 @@ def test_near_duplicates(frame):
     assert least <= set(got) and len(got) == len(set(got)) and len(set(got) - least) <= 1
 
 
+@pytest.mark.parametrize("dense,block", [(0, 4096), (0, 7), (2, 7), (8, 4096)])
+def test_pairs_are_all_there(spark, monkeypatch, dense, block):
+    """What sparse cells give, and what dense cells give across labels, are all pairs within the distance."""
+    monkeypatch.setattr(sh, "BLOCK", block)
+    monkeypatch.setattr(sh, "DENSE", dense)
+    rng = random.Random(dense + block)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    fps = np.array(list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for c in centres for _ in range(25)}), np.uint64)
+    label = {f: rng.randrange(3) for f in fps.view(np.int64).tolist()}
+    near, dealt = sh.near_pairs(spark.createDataFrame([(f,) for f in label], "fp long"), 6)
+    got = {frozenset((r["a"], r["b"])) for r in near.collect()}
+    cells = near.where("part IS NOT NULL").select(*sh.CELL).distinct()
+    got |= {frozenset((r["a"], r["b"])) for r in sh.cross_pairs(dealt, cells, spark.createDataFrame(list(label.items()), "fp long, label long"), 6).collect()}
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 6)
+    want = {frozenset((a, b)) for a, b in zip(fps.view(np.int64)[i].tolist(), fps.view(np.int64)[j].tolist()) if a != b}
+    assert got <= want and all(p in got for p in want if len({label[f] for f in p}) == 2)
+
+
+@pytest.mark.parametrize("bits", [{96: 0, 97: 0b111, 146: 0b1}, {96: 0, 97: 0, 146: 0}, {96: 0b1, 97: 0b1, 146: 0}])
+@pytest.mark.parametrize("dense", [0, 8])
+def test_a_stranger_between_copies(frame, monkeypatch, bits, dense):
+    """A text that is nearer to both copies by its bits, or stands for their fingerprint, does not hide them from each other."""
+    def fake(h):
+        return bits[len(h)]
+    monkeypatch.setattr(sh, "majority", fake)
+    monkeypatch.setattr(sh, "DENSE", dense)
+    a = " ".join(f"w{i}" for i in range(100))
+    c = a + " more"
+    least = min(hashlib.md5(x.encode()).hexdigest() for x in (a, c))
+    between = next(t for k in range(10_000) if hashlib.md5((t := " ".join(f"x{k}y{i}" for i in range(150))).encode()).hexdigest() < least)
+    got = sh.near_duplicates(frame([(1, a), (2, between), (3, c)])).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2]
+
+
 def plain_sets(sets, similarity):
     root = {i: i for i in sets}
 
