@@ -386,7 +386,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = [[majority(rehashed(h, t)) for t in range(TABLES)] for h in (shingle_hashes(x, words) for x in b["text"])]
+            fps = [[majority(rehashed(h, t)) for t in range(TABLES)] for h in (np.unique(shingle_hashes(x, words)) for x in b["text"])]
             fps = np.array(fps, U).view(np.int64).reshape(-1, TABLES)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], **{n: fps[:, t] for t, n in enumerate(names)}})
 

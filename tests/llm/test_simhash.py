@@ -146,6 +146,12 @@ def test_a_stranger_between_copies(frame, monkeypatch, bits, dense):
     assert sorted(r["doc_id"] for r in got) == [1, 2]
 
 
+def test_a_repeated_phrase_does_not_hide_a_copy(frame):
+    words = " ".join(f"w{i}" for i in range(100))
+    got = sh.near_duplicates(frame([(1, words), (2, words + " ha" * 300)])).collect()
+    assert [r["doc_id"] for r in got] == [1]
+
+
 def plain_sets(sets, similarity):
     root = {i: i for i in sets}
 
