@@ -22,8 +22,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines are cut out of the texts; ``n_chars`` follows. Every row stays."""
-    d = linededup.dedup(docs, min_lines=2)
+    """Later copies of runs of two or more lines, and of single lines of over 50 words, are cut out of the texts; ``n_chars`` follows. Every row stays."""
+    d = linededup.dedup(docs, min_lines=2, long_words=50)
     changed = {"text": F.col("_kept"), "n_chars": F.when(F.col("_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
     return d.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 

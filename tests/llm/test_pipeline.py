@@ -59,6 +59,12 @@ def test_stages(spark, frame, tmp_path):
     check_packing(cp.STAGES[-1][1](spark, docs, str(tmp_path)).collect(), [r[1] for r in mixed])
 
 
+def test_long_lines_of_two_documents(spark, frame):
+    long = " ".join(f"a{i}" for i in range(60))
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.drop_repeated_lines(spark, frame([(1, f"x\n{long}\ny"), (2, f"z\n{long}\nw"), (3, f"v\n{long}")]), "").collect()}
+    assert out == {1: (f"x\n{long}\ny", len(long) + 4), 2: ("z\nw", 3), 3: ("v", 1)}
+
+
 def test_run(spark, sf):
     rows = cp.run(spark, sf).collect()
     by = {}
