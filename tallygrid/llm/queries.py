@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, linededup, mixing, packing, rollups, simhash, substrings, token_files, topk, toxicity
+from . import chat, fingerprints, linededup, mixing, packing, rollups, simhash, substrings, termscan, token_files, topk, toxicity, variants
 from .common import fresh_path, stored
 from .tokens import vocabulary_path
 
@@ -146,3 +146,76 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=20)
     return d.select("doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+_INSIDE = r"([\[<])(\\*(?:" + "|".join(w.replace("]", r"\]") for w in chat.WORDS) + "))"
+_ESCAPE = f"regexp_replace({{}}, '{_INSIDE}', '\\1\\\\\\2', 'g')"
+
+
+@query("op11_chat_format", f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(length({_ESCAPE.format('text')})
+    + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE 20 + length({_ESCAPE.format('role')}) END) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as reply chains, and one whose texts look like the template."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = fresh_path(spark, "chat")
+    chat.write(chat.chained(rows), path)
+    return chat.read(spark, path).withColumnRenamed("tree", "conv_id").drop("path")
+
+
+@query("op12_spelling_variants", """
+WITH RECURSIVE step(b, k, c) AS (SELECT b::UBIGINT, 0, b::UBIGINT FROM range(256) r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END FROM step WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents),
+r AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM d GROUP BY ALL),
+x AS (SELECT run, n, hex(encode(id || ':' || run)) AS hx FROM r WHERE length(run) >= 6),
+y AS (SELECT run, n, list_transform(range(length(hx) // 2), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS UBIGINT)) AS bytes FROM x),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda a, b: xor(a // 256, t[CAST(xor(a, b) % 256 AS BIGINT) + 1])), 4294967295::UBIGINT) AS h FROM y, crc),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+s AS (SELECT word, n, unnest(range(length(word))) AS p FROM v),
+w AS MATERIALIZED (SELECT word, n, p, substr(word, 1, CAST(p AS INTEGER)) AS f, substr(word, CAST(p AS INTEGER) + 2) AS b FROM s),
+g AS (SELECT DISTINCT w.word AS long, v.word AS short FROM w JOIN v ON v.word = w.f || w.b),
+near AS (SELECT a.word, b.word AS o FROM w a JOIN w b ON a.p = b.p AND a.f = b.f AND a.b = b.b AND a.word <> b.word
+  UNION ALL SELECT long, short FROM g UNION ALL SELECT short, long FROM g),
+k AS (SELECT near.word, count(*) AS n_near, max(v.n) AS m FROM near JOIN v ON v.word = near.o GROUP BY near.word),
+o AS (SELECT k.word, any_value(k.n_near) AS n_near, any_value(k.m) AS m, min(near.o) AS best FROM k JOIN near ON near.word = k.word JOIN v ON v.word = near.o AND v.n = k.m GROUP BY k.word),
+j AS MATERIALIZED (SELECT v.word, v.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN o.m >= 5 * v.n THEN o.best END AS form, CASE WHEN o.m >= 5 * v.n THEN o.m END AS form_n
+  FROM v LEFT JOIN o ON o.word = v.word),
+follow(word, root) AS (SELECT word, word FROM j UNION ALL SELECT follow.word, j.form FROM follow JOIN j ON j.word = follow.root WHERE j.form IS NOT NULL),
+last AS (SELECT follow.word, arg_max(root, j.n) AS root FROM follow JOIN j ON j.word = follow.root GROUP BY follow.word)
+SELECT j.word, j.form, last.root, j.n, j.n_near, j.form_n FROM j JOIN last ON last.word = j.word""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.groups(table(spark, sf_dir, "documents"), min_chars=6, min_count=5, typo_every=199, times=5)
+
+
+_TERMS = f"unnest(regexp_extract_all(coalesce(text, ''), '{termscan.TERM}'))"
+_LOWER = f"translate(term, '{termscan.UPPER}', '{termscan.LOWER}')"
+
+
+@query("op13_term_scan", f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+a AS (SELECT row, doc_id, {_TERMS} AS term FROM d),
+t AS (SELECT row, doc_id, {_LOWER} AS term, count(*) AS tf FROM a GROUP BY ALL),
+l AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY row),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM l),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+i AS (SELECT item_id, {_TERMS} AS term FROM benchmark),
+q AS (SELECT item_id, {_LOWER} AS term, count(*) AS times FROM i GROUP BY ALL),
+w AS (SELECT q.item_id, q.term, times * CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM q JOIN f ON f.term = q.term, c),
+s AS (SELECT w.item_id, t.row, any_value(t.doc_id) AS doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * (75 + (25 * l.n * c.docs) // c.terms)))) AS BIGINT) AS score
+  FROM w JOIN t ON t.term = w.term JOIN l ON l.row = t.row, c GROUP BY w.item_id, t.row),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termscan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
