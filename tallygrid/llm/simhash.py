@@ -24,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -31,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import components, stored, with_text
@@ -178,46 +179,36 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def meet(left: np.ndarray, right: np.ndarray, distance: int, whole: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
-    """A spanning forest of the pairs (left, right) within ``distance`` and not equal, nearest pairs first.
-
-    Up to ``whole`` pairs all of them are given instead; the last value says if pairs were left out.
-    """
+def meet(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs (left, right) within ``distance`` and not equal, nearest pairs first."""
     def thin(a, b):
         order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
         keep = order[forest(a[order], b[order])]
         return a[keep], b[keep]
 
-    found_a, found_b, thinned = [], [], False
+    found_a, found_b = [], []
     for at in range(0, len(left), 256):
         x = left[at:at + 256, None] ^ right[None, :]
         i, j = np.nonzero((np.bitwise_count(x) <= distance) & (x != 0))
         found_a.append(left[at + i])
         found_b.append(right[j])
-        if sum(map(len, found_a)) > max(1 << 20, whole):  # keep what is held small
+        if sum(map(len, found_a)) > 1 << 20:  # keep what is held small
             a, b = thin(np.concatenate(found_a), np.concatenate(found_b))
-            found_a, found_b, thinned = [a], [b], True
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return (a, b, False) if len(a) <= whole and not thinned else (*thin(a, b), True)
+            found_a, found_b = [a], [b]
+    return thin(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def cross(left: np.ndarray, right: np.ndarray, of_left: np.ndarray, of_right: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in left, in right) of all pairs within ``distance`` whose labels differ, in pieces."""
-    for at in range(0, len(left), 256):
-        i, j = np.nonzero(np.bitwise_count(left[at:at + 256, None] ^ right[None, :]) <= distance)
-        other = of_left[at + i] != of_right[j]
-        yield at + i[other], j[other]
+def cells(fps: DataFrame, distance: int, unit: str = "fp") -> tuple[DataFrame | None, list[tuple[list[int], int]]]:
+    """Rows (unit, fp, part, value, side, own, i, j): fingerprints dealt to cells so that all within ``distance`` meet in one; None if there are none. And the parts.
 
-
-def cells(fps: DataFrame, distance: int) -> DataFrame | None:
-    """Rows (fp, part, value, side, own, i, j): distinct fingerprints dealt to cells so that all within ``distance`` meet in one. None if there are none.
+    ``unit`` names the column that tells rows apart.
 
     A cell (part, value, i, j) is a block of a bucket's probes beside a block of its
     index (``side`` 1 and 0), or two blocks of an unprobed bucket (``side`` 2).
     """
     n = fps.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = np.array([r[0] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).collect()], np.int64)
+    sample = np.array([r["fp"] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).collect()], np.int64)
     parts = plan(sample.view(U), n, distance) if n else []
     rows = []
     for k, (bits, t) in enumerate(parts):
@@ -227,26 +218,26 @@ def cells(fps: DataFrame, distance: int) -> DataFrame | None:
         if t:
             rows += [F.struct(F.lit(k), value.bitwiseXOR(F.lit(m)), F.lit(1)) for m in masks(bits, t)]
     if not rows:
-        return None
-    keys = ["part", "value"]
-    sig = stored(fps.select("fp", F.inline(F.array(*rows))), "signatures")
+        return None, parts
+    keys, names = ["part", "value"], list(dict.fromkeys([unit, "fp"]))
+    sig = stored(fps.select(*names, F.inline(F.array(*rows))), "signatures")
     size = sig.groupBy(*keys).agg(F.sum(1 - F.col("probe")).alias("n"), F.sum("probe").alias("p")).where("n > 1 OR (n > 0 AND p > 1)")
     size = size.select(F.col("part").alias("_part"), F.col("value").alias("_value"),
                        F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.greatest("p", F.lit(1)) / BLOCK).cast("int").alias("pb"), (F.col("p") > 0).alias("probed"))
     j = sig.join(size, (F.col("part") == F.col("_part")) & (F.col("value") == F.col("_value")))
-    own = F.pmod(F.xxhash64("fp"), F.when(F.col("probe") == 1, F.col("pb")).otherwise(F.col("nb"))).cast("int")
+    own = F.pmod(F.xxhash64(unit), F.when(F.col("probe") == 1, F.col("pb")).otherwise(F.col("nb"))).cast("int")
     # A probe block meets every index block; where nothing is probed, index blocks meet each other once.
     others = F.when(F.col("probe") == 1, F.col("nb")).otherwise(F.when(F.col("probed"), F.col("pb")).otherwise(F.col("nb")))
     blocks = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.when(F.col("probe") == 1, F.struct(own.alias("i"), o.alias("j"))).when(
         F.col("probed"), F.struct(o.alias("i"), own.alias("j"))).otherwise(F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
     # In an unprobed bucket a fingerprint says which of the two blocks it is of.
-    return j.select("fp", *keys, F.when(F.col("probed"), F.col("probe")).otherwise(F.lit(2)).alias("side"), own.alias("own"), F.inline(blocks))
+    return j.select(*names, *keys, F.when(F.col("probed"), F.col("probe")).otherwise(F.lit(2)).alias("side"), own.alias("own"), F.inline(blocks)), parts
 
 
 CELL = ["part", "value", "i", "j"]
 
 
-def by_cell(dealt: DataFrame, close: Callable[[tuple, pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+def by_cell(dealt: DataFrame, close: Callable[[tuple, pd.DataFrame], Iterator[pd.DataFrame]], schema: str, by: list[str] = CELL) -> DataFrame:
     """``close`` of each cell of more than one row, whole cells at a time."""
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
@@ -256,7 +247,7 @@ def by_cell(dealt: DataFrame, close: Callable[[tuple, pd.DataFrame], Iterator[pd
                 yield from close(key, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0])
 
         for batch in batches:
-            for k, d in batch.groupby(CELL, sort=False):
+            for k, d in batch.groupby(by, sort=False):
                 if k != key:
                     yield from whole()
                     held = []
@@ -264,7 +255,7 @@ def by_cell(dealt: DataFrame, close: Callable[[tuple, pd.DataFrame], Iterator[pd
                 held.append(d)
         yield from whole()
 
-    return dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(compare, schema)
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInPandas(compare, schema)
 
 
 def sides(key: tuple, d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +266,7 @@ def sides(key: tuple, d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """Rows (a, b) of distinct fingerprints that connect all that lie within ``distance``. ``fps``: distinct fp."""
-    dealt = cells(fps, distance)
+    dealt, _ = cells(fps, distance)
     if dealt is None:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
@@ -283,55 +274,151 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
         fp = d["fp"].to_numpy().view(U)
         x, y = sides(key, d)
         if x.any() and y.any():
-            a, b, _ = meet(fp[x], fp[y], distance)
+            a, b = meet(fp[x], fp[y], distance)
             yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return by_cell(dealt, close, "a long, b long")
 
 
-DENSE = 8  # pairs for each fingerprint of a cell, up to which all of them leave it at once
+class Trees:
+    """Union-find over 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def own_pairs(x: np.ndarray, part: int, parts: list[tuple[list[int], int]]) -> np.ndarray:
+    """Which of the differences belong to a cell of ``part``: those that no part before it lets meet."""
+    out = np.ones(len(x), bool)
+    for bits, t in parts[:part]:
+        out &= np.bitwise_count(x & U(sum(1 << b for b in bits))) > t
+    return out
 
 
-def near_pairs(fps: DataFrame, distance: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (a, b, part, value, i, j) of distinct fingerprints within ``distance``, and the cells they met in (None: no fingerprints).
+def near_pairs(fps: DataFrame, distance: int, unit: str) -> tuple[DataFrame, list[tuple[list[int], int]]]:
+    """Rows (a, b, a_fp, b_fp, part, value, i, j, tree) of units whose fingerprints lie within ``distance``, and the parts they met by.
 
-    A cell of few pairs gives all of them. Of a dense one a spanning forest comes
-    first, with its name; ``cross_pairs`` gives what the forest leaves open.
+    Each pair belongs to one cell, and a cell gives a spanning forest of its
+    pairs, nearest first: at most a row for each member. ``tree`` is null where
+    the forest holds all pairs of its tree; elsewhere pairs are left to
+    ``open_members``.
     """
-    dealt = cells(fps, distance)
-    schema = "a long, b long, part int, value long, i int, j int"
+    dealt, parts = cells(fps, distance, unit)
+    schema = "a string, b string, a_fp long, b_fp long, part int, value long, i int, j int, tree int"
     if dealt is None:
-        return fps.sparkSession.createDataFrame([], schema), None
-    dense = DENSE  # as set in the driver
+        return fps.sparkSession.createDataFrame([], schema), parts
 
     def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        fp = d["fp"].to_numpy().view(U)
-        x, y = sides(key, d)
-        if x.any() and y.any():
-            a, b, thinned = meet(fp[x], fp[y], distance, dense * len(fp))
-            out = pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-            for name, v, kind in zip(CELL, key, ("Int32", "Int64", "Int32", "Int32")):
-                out[name] = pd.array([v if thinned else None] * len(a), kind)
+        fp, name = d["fp"].to_numpy().view(U), d[unit].to_numpy(object)
+        rank = np.unique(name, return_inverse=True)[1]
+        left, right = map(np.flatnonzero, sides(key, d))
+        # Two blocks of one bucket meet once; elsewhere a pair is seen from both of its ends.
+        once = d["side"].iloc[0] == 2 and key[2] != key[3]
+        held, left_out = [], set()
+
+        def thin():
+            a, b, far = (np.concatenate(x) for x in zip(*held))
+            trees, keep = Trees(len(rank)), []
+            order = np.argsort(far, kind="stable")
+            for k, x, y in zip(order.tolist(), rank[a[order]].tolist(), rank[b[order]].tolist()):
+                if trees.join(x, y):
+                    keep.append(k)
+                else:
+                    left_out.add(x)
+            held[:] = [(a[keep], b[keep], far[keep])]
+            return trees
+
+        for at in range(0, len(left), 256):
+            l = left[at:at + 256]
+            x = fp[l, None] ^ fp[None, right]
+            i, j = np.nonzero((np.bitwise_count(x) <= distance) & (rank[l, None] != rank[None, right] if once else rank[l, None] < rank[None, right]))
+            mine = own_pairs(x[i, j], key[0], parts)
+            i, j = i[mine], j[mine]
+            held.append((l[i], right[j], np.bitwise_count(x[i, j])))
+            if sum(len(h[0]) for h in held) > 1 << 20:  # keep what is held small
+                thin()
+        if held and any(len(h[0]) for h in held):
+            trees = thin()
+            a, b, _ = held[0]
+            dense = {trees.find(x) for x in left_out}
+            tree = [t if t in dense else None for t in map(trees.find, rank[a].tolist())]
+            out = pd.DataFrame({"a": pd.Series(name[a], dtype=object), "b": pd.Series(name[b], dtype=object), "a_fp": fp[a].view(np.int64), "b_fp": fp[b].view(np.int64)})
+            for column, v in zip(CELL, key):
+                out[column] = v
+            out["tree"] = pd.array(tree, "Int32")
             yield out
 
-    dealt = stored(dealt, "cells")
-    return stored(by_cell(dealt, close, schema), "near"), dealt
+    return stored(by_cell(dealt, close, schema), "near"), parts
 
 
-def cross_pairs(dealt: DataFrame, dense: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
-    """Rows (a, a_label, b, b_label): all pairs within ``distance`` of other labels in the cells ``dense``. ``labels``: distinct fp, label."""
-    named = labels.select(F.col("fp").alias("_fp"), "label")
-    rows = dealt.join(dense, CELL, "left_semi")
-    rows = rows.join(named, rows["fp"] == named["_fp"]).drop("_fp")
+TREE = ["table", *CELL, "tree"]
+SET_BYTES = 32 << 20  # of shingle sets in one block of a tree; a task holds two blocks
 
+
+def open_members(members: DataFrame, parts: list, distance: int) -> DataFrame:
+    """Those rows (table, part, value, i, j, tree, unit, fp, label) that lie within ``distance`` of another label in their tree."""
     def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        fp, label = d["fp"].to_numpy(), d["label"].to_numpy()
-        x, y = sides(key, d)
-        a, of_a, b, of_b = fp[x], label[x], fp[y], label[y]
-        for i, j in cross(a.view(U), b.view(U), of_a, of_b, distance):
-            yield pd.DataFrame({"a": a[i], "a_label": of_a[i], "b": b[j], "b_label": of_b[j]})
+        fp, label = d["fp"].to_numpy().view(U), np.unique(d["label"].to_numpy(object), return_inverse=True)[1]
+        hit = np.zeros(len(d), bool)
+        for at in range(0, len(d), 256):
+            x = fp[at:at + 256, None] ^ fp[None, :]
+            i, j = np.nonzero((np.bitwise_count(x) <= distance) & (label[at:at + 256, None] != label[None, :]))
+            mine = own_pairs(x[i, j], key[1], parts[key[0]])
+            hit[at + i[mine]] = True
+            hit[j[mine]] = True
+        if hit.any():
+            yield d[hit]
+
+    labels = members.groupBy(*TREE).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(*TREE)
+    return by_cell(members.join(labels, TREE, "left_semi"), close, members.schema.simpleString()[7:-1].replace(":", " "), TREE)
+
+
+def alike_links(members: DataFrame, sets: DataFrame, parts: list, distance: int, similarity: float) -> DataFrame:
+    """Rows (x, y): a spanning forest, in each tree, of the links between labels that the exact similarity of shingle sets bears out.
+
+    Sets travel to their trees, in blocks of bounded size of which each two meet
+    once, and pairs are compared where they meet: what leaves a task is at most
+    one link for each label.
+    """
+    size = sets.select("unit", F.octet_length("set").cast("long").alias("size"))
+    seen = F.sum("size").over(W.partitionBy(*TREE).orderBy("unit").rowsBetween(W.unboundedPreceding, 0))
+    m = members.join(size, "unit").withColumn("own", F.floor(seen / SET_BYTES).cast("int"))
+    m = m.withColumn("last", F.max("own").over(W.partitionBy(*TREE)))
+    meets = F.transform(F.sequence(F.lit(0), "last"), lambda o: F.struct(F.least("own", o).alias("bi"), F.greatest("own", o).alias("bj")))
+    m = m.select(*TREE, "unit", "fp", "label", "own", F.inline(meets))
 
-    return by_cell(rows, close, "a long, a_label long, b long, b_label long")
+    def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fp, label, own = d["fp"].to_numpy().view(U), np.unique(d["label"].to_numpy(object), return_inverse=True)[1], d["own"].to_numpy()
+        unit, held = d["unit"].to_numpy(object), d["set"].to_numpy(object)
+        left, right = np.flatnonzero(own == key[-2]), np.flatnonzero(own == key[-1])
+        trees, out = Trees(len(d)), []
+        for at in range(0, len(left), 256):
+            l = left[at:at + 256]
+            x = fp[l, None] ^ fp[None, right]
+            i, j = np.nonzero((np.bitwise_count(x) <= distance) & (label[l, None] != label[None, right]) & ((l[:, None] < right[None, :]) | (key[-2] != key[-1])))
+            mine = own_pairs(x[i, j], key[1], parts[key[0]])
+            i, j = i[mine], j[mine]
+            near = np.argsort(np.bitwise_count(x[i, j]), kind="stable")
+            for a, b in zip(l[i[near]].tolist(), right[j[near]].tolist()):
+                if trees.find(label[a]) != trees.find(label[b]) and resemblance(held[a], held[b]) >= similarity:
+                    trees.join(label[a], label[b])
+                    out.append((unit[a], unit[b]))
+        if out:
+            yield pd.DataFrame(out, columns=["x", "y"], dtype=object)
+
+    return by_cell(m.join(sets, "unit"), close, "x string, y string", [*TREE, "bi", "bj"])
 
 
 def classes(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
@@ -371,83 +458,61 @@ def rehashed(h: np.ndarray, table: int) -> np.ndarray:
 def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similarity: float = 0.8) -> DataFrame:
     """``docs`` less all but one document of each group of near copies: the one of the smallest doc_id stays.
 
-    A text has ``TABLES`` fingerprints of differently seeded hashes, since one of
-    64 bits alone strays too far at this similarity; they are of the distinct
-    shingles, as the similarity is. Candidates are the pairs of texts within
-    ``distance`` in some table; a link holds if the exact Jaccard similarity of
-    the two texts' shingle sets is at least ``similarity``. No candidate is
-    passed over: in a first round dense cells give a spanning forest and equal
-    fingerprints a star; once these are verified, a second round gives every
-    pair of texts that is not in one group yet. Equal texts are always one
-    group. Rows equal in id and text leave one row.
+    Texts of one shingle set are one unit. A unit has ``TABLES`` fingerprints of
+    differently seeded hashes, since one of 64 bits alone strays too far at this
+    similarity; they are of the distinct shingles, as the similarity is.
+    Candidates are the pairs of units within ``distance`` in some table; a link
+    holds if the exact Jaccard similarity of the two sets is at least
+    ``similarity``. No candidate is passed over: a first round verifies the
+    forests that cells give; where a forest left pairs out and verified links
+    have not made its tree one group, the members that still lie near another
+    group get their sets sent to the tree and are compared there. Equal texts are
+    always one group. Rows equal in id and text leave one row.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     names = [f"fp{t}" for t in range(TABLES)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = [[majority(rehashed(h, t)) for t in range(TABLES)] for h in (np.unique(shingle_hashes(x, words)) for x in b["text"])]
-            fps = np.array(fps, U).view(np.int64).reshape(-1, TABLES)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], **{n: fps[:, t] for t, n in enumerate(names)}})
+            sets = [np.unique(shingle_hashes(x, words)) for x in b["text"]]
+            fps = np.array([[majority(rehashed(h, t)) for t in range(TABLES)] for h in sets], U).view(np.int64).reshape(-1, TABLES)
+            unit = pd.Series([hashlib.md5(h.tobytes()).hexdigest() for h in sets], index=b.index, dtype=object)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "unit": unit, **{n: fps[:, t] for t, n in enumerate(names)}})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = stored(rows.mapInPandas(run, "doc_id long, digest string, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
-    texts = stored(d.groupBy("digest").agg(*[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first")), "texts")
-    # One text of each digest, as its shingle set; copies of a text fall away before they are shuffled.
+    d = stored(rows.mapInPandas(run, "doc_id long, digest string, unit string, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    texts = stored(d.groupBy("digest").agg(F.min("unit").alias("unit"), *[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first")), "texts")
+    units = stored(texts.groupBy("unit").agg(F.min("digest").alias("digest"), *[F.min(n).alias(n) for n in names]), "units")
+    # One text of each digest; copies of a text fall away before they are shuffled.
     once = rows.groupBy("digest").agg(F.first("text").alias("text"))
     as_set = F.pandas_udf(lambda t: shingle_set(t, words), "binary")
     alike = F.pandas_udf(lambda p, q: pd.Series([resemblance(i, j) for i, j in zip(p, q)]), "double")
 
-    def ordered(found: list[DataFrame]) -> DataFrame:
-        pairs = reduce(DataFrame.unionByName, found)
-        return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("x").alias("_d")).union(pairs.select("y")).distinct()
-        held = once.join(asked, once["digest"] == asked["_d"], "left_semi")
-        sets = stored(held.select("digest", as_set("text").alias("set")), "sets")
-        left, right = (sets.select(F.col("digest").alias(k), F.col("set").alias(f"set_{k}")) for k in "xy")
-        return stored(pairs.join(left, "x").join(right, "y").where(alike("set_x", "set_y") >= similarity).select("x", "y"), "alike")
-
-    found, near = [], []
-    for n in names:
-        fps = stored(texts.groupBy(F.col(n).alias("fp")).agg(F.min("digest").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
-        a, b = (fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-        near.append((n, fps, *near_pairs(fps.select("fp"), distance)))
-        found.append(near[-1][2].select("a", "b").distinct().join(a, "a").join(b, "b").select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")))
-        found.append(texts.join(fps, F.col(n) == F.col("fp")).where("digest <> rep").select(F.col("digest").alias("x"), F.col("rep").alias("y")))
-    first = stored(ordered(found), "candidates")
-    good = verified(first)
+    def sets_of(asked: DataFrame) -> DataFrame:
+        wanted = units.join(asked.distinct(), "unit").select("unit", "digest")
+        return stored(once.join(wanted, "digest").select("unit", as_set("text").alias("set")), "sets")
+
+    near = [near_pairs(units.select("unit", F.col(n).alias("fp")), distance, "unit") for n in names]
+    parts = [p for _, p in near]
+    pairs = reduce(DataFrame.unionByName, [f.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")) for f, _ in near])
+    pairs = stored(pairs.distinct(), "candidates")
+    sets = sets_of(pairs.select(F.col("x").alias("unit")).union(pairs.select("y")))
+    left, right = (sets.select(F.col("unit").alias(k), F.col("set").alias(f"set_{k}")) for k in "xy")
+    good = stored(pairs.join(left, "x").join(right, "y").where(alike("set_x", "set_y") >= similarity).select("x", "y"), "alike")
     roots = components(good, "x", "y")
 
-    label = F.xxhash64(F.coalesce("root", "digest")).alias("label")
-    labelled = stored(texts.join(roots, texts["digest"] == roots["node"], "left").select("digest", *names, label), "labelled")
-    found = []
-    for n, fps, pairs, dealt in near:
-        side = {k: labelled.select(F.col("digest").alias(k), F.col(n).alias(f"{k}_fp"), F.col("label").alias(f"{k}_label")) for k in "xy"}
-        several = fps.where("n > 1").select(F.col("fp").alias("_fp"))
-        if not several.isEmpty():  # texts of one fingerprint, and those of sparse cells beside the texts compared for them
-            same = labelled.join(several, labelled[n] == several["_fp"], "left_semi")
-            x, y = (same.select(F.col("digest").alias(k), F.col(n).alias(f"{k}_fp"), F.col("label").alias(f"{k}_label")) for k in "xy")
-            found.append(x.join(y, (x["x_fp"] == y["y_fp"]) & (x["x"] < y["y"])).where("x_label <> y_label").select("x", "y"))
-            sparse = pairs.where("part IS NULL").select("a", "b").distinct()
-            many = several.withColumn("_many", F.lit(True))
-            sparse = sparse.join(many, sparse["a"] == many["_fp"], "left_semi").union(sparse.join(many, sparse["b"] == many["_fp"], "left_semi")).distinct()
-            found.append(sparse.join(side["x"], F.col("a") == F.col("x_fp")).join(side["y"], F.col("b") == F.col("y_fp")).where("x_label <> y_label").select("x", "y"))
-        dense = pairs.where("part IS NOT NULL").select(*CELL).distinct()
-        if not dense.isEmpty():
-            c = stored(cross_pairs(dealt, dense, labelled.select(F.col(n).alias("fp"), "label").distinct(), distance).where("a <> b").distinct(), "cross")
-            found.append(c.join(side["x"], (F.col("a") == F.col("x_fp")) & (F.col("a_label") == F.col("x_label")))
-                         .join(side["y"], (F.col("b") == F.col("y_fp")) & (F.col("b_label") == F.col("y_label"))).select("x", "y"))
-    if found:
-        left_open = ordered(found)
-        left_open = stored(left_open.join(first, ["x", "y"], "left_anti"), "open")
-        if not left_open.isEmpty():
-            roots = components(good.unionByName(verified(left_open)), "x", "y")
-    rooted = texts.join(roots, texts["digest"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
+    ends = [f.where("tree IS NOT NULL").select(F.lit(t).alias("table"), *CELL, "tree", F.col(e).alias("unit"), F.col(f"{e}_fp").alias("fp")) for t, (f, _) in enumerate(near) for e in "ab"]
+    dense = reduce(DataFrame.unionByName, ends).distinct()
+    named = dense.join(roots, dense["unit"] == roots["node"], "left").select(*dense.columns, F.coalesce("root", "unit").alias("label"))
+    left_open = stored(open_members(stored(named, "named"), parts, distance), "open")
+    if not left_open.isEmpty():
+        more = alike_links(left_open, sets_of(left_open.select("unit")), parts, distance, similarity)
+        roots = components(good.unionByName(stored(more, "alike")), "x", "y")
+    rooted = texts.join(roots, texts["unit"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "unit").alias("root"))
     order = F.struct(F.col("first").isNull().alias("missing"), "first", "digest")
-    stay = rooted.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.digest").alias("_digest"), F.col("s.first").alias("_first"))
-    kept = docs.withColumn("_md5", digest).join(stay, (F.col("_md5") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
+    stay = rooted.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.digest").alias("stays"), F.col("s.first").alias("first"))
+    carried = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), digest.alias("digest"), F.col("doc_id").cast("long").alias("id"))
+    kept = carried.join(stay, (F.col("digest") == F.col("stays")) & F.col("id").eqNullSafe(F.col("first")))
     if d.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():  # rows equal in id and text
-        kept = kept.dropDuplicates(["_digest"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["stays"])
+    return kept.select("row.*")

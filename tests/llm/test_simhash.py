@@ -103,7 +103,9 @@ def test_near_duplicates(frame):
     sets = {i: {hash(tuple(t.split()[k:k + 5])) for k in range(len(t.split()) - 4)} for i, t in rows}
     alike = plain_sets(sets, 0.8)
     odd = [(900, None), (901, ""), (902, " \n"), (903, "one"), (903, "one"), (904, "one"), (None, "one"), (None, "null id alone")]
-    d = frame(rows + odd).withColumn("root", F.lit(1)).withColumn("fp", F.lit("x"))
+    d = frame(rows + odd)
+    for c in ("root", "fp", "unit", "digest", "id", "row", "stays", "first", "_md5", "set", "label"):
+        d = d.withColumn(c, F.lit("mine"))
     out = sh.near_duplicates(d)
     assert out.columns == d.columns
     got = sorted((r["doc_id"] for r in out.collect()), key=lambda i: (i is None, i or 0))
@@ -112,32 +114,68 @@ def test_near_duplicates(frame):
     assert least <= set(got) and len(got) == len(set(got)) and len(set(got) - least) <= 1
 
 
-@pytest.mark.parametrize("dense,block", [(0, 4096), (0, 7), (2, 7), (8, 4096)])
-def test_pairs_are_all_there(spark, monkeypatch, dense, block):
-    """What sparse cells give, and what dense cells give across labels, are all pairs within the distance."""
-    monkeypatch.setattr(sh, "BLOCK", block)
-    monkeypatch.setattr(sh, "DENSE", dense)
-    rng = random.Random(dense + block)
+def clusters(seed, near=6):
+    rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(6)]
-    fps = np.array(list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for c in centres for _ in range(25)}), np.uint64)
-    label = {f: rng.randrange(3) for f in fps.view(np.int64).tolist()}
-    near, dealt = sh.near_pairs(spark.createDataFrame([(f,) for f in label], "fp long"), 6)
-    got = {frozenset((r["a"], r["b"])) for r in near.collect()}
-    cells = near.where("part IS NOT NULL").select(*sh.CELL).distinct()
-    got |= {frozenset((r["a"], r["b"])) for r in sh.cross_pairs(dealt, cells, spark.createDataFrame(list(label.items()), "fp long, label long"), 6).collect()}
-    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 6)
-    want = {frozenset((a, b)) for a, b in zip(fps.view(np.int64)[i].tolist(), fps.view(np.int64)[j].tolist()) if a != b}
-    assert got <= want and all(p in got for p in want if len({label[f] for f in p}) == 2)
+    fps = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, near))) for c in centres for _ in range(25)]
+    return np.array(fps + fps[:30], np.uint64), [f"u{k:03}" for k in range(len(fps) + 30)], rng
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_pairs_are_all_there(spark, monkeypatch, block):
+    """Forests and the members left open hold all pairs of different labels; no cell gives more rows than it has members."""
+    monkeypatch.setattr(sh, "BLOCK", block)
+    fps, names, rng = clusters(block)
+    label = {n: str(rng.randrange(3)) for n in names}
+    of = dict(zip(names, fps.view(np.int64).tolist()))
+    near, parts = sh.near_pairs(spark.createDataFrame(list(of.items()), "unit string, fp long"), 6, "unit")
+    rows = near.collect()
+    got = {frozenset((r["a"], r["b"])) for r in rows}
+    members, trees = set(), {}
+    for r in rows:
+        key = (0, r["part"], r["value"], r["i"], r["j"])
+        trees.setdefault(key, []).append({r["a"], r["b"]})
+        if r["tree"] is not None:
+            members |= {(*key, r["tree"], u, of[u], label[u]) for u in (r["a"], r["b"])}
+    assert all(len(x) < len(set().union(*x)) for x in trees.values())
+    schema = "table int, part int, value long, i int, j int, tree int, unit string, fp long, label string"
+    left = sh.open_members(spark.createDataFrame(list(members), schema), [parts], 6).collect()
+    cells = {}
+    for r in left:
+        cells.setdefault(tuple(r)[:6], []).append(r["unit"])
+    got |= {frozenset((a, b)) for x in cells.values() for a in x for b in x if a != b}
+    want = {frozenset((a, b)) for a in names for b in names if a < b and bin((of[a] ^ of[b]) & (1 << 64) - 1).count("1") <= 6}
+    assert all(p in got for p in want if len({label[u] for u in p}) == 2)
+
+
+@pytest.mark.parametrize("room", [1 << 20, 200])
+def test_open_members_are_compared_in_blocks(spark, monkeypatch, room):
+    """Links between labels connect what all pairs of alike sets connect, and are a forest in each pair of blocks."""
+    monkeypatch.setattr(sh, "SET_BYTES", room)
+    rng = random.Random(room)
+    sets = {f"u{i:03}": np.unique(np.array([rng.choice(range(k * 40, k * 40 + 12)) for _ in range(30)], np.uint64)) for i in range(60) for k in [i % 5]}
+    schema = "table int, part int, value long, i int, j int, tree int, unit string, fp long, label string"
+    m = spark.createDataFrame([(0, 0, 1, 0, 0, i % 2, u, 5, f"l{i // 2}") for i, u in enumerate(sets)], schema)
+    got = sh.alike_links(m, spark.createDataFrame([(u, bytearray(x.tobytes())) for u, x in sets.items()], "unit string, set binary"), [[(list(range(64)), 3)]], 3, 0.8).collect()
+    tree, label = ({u: f(i) for i, u in enumerate(sets)} for f in (lambda i: i % 2, lambda i: f"l{i // 2}"))
+    plain, mine = (sh.Trees(60) for _ in range(2))
+    at = {u: int(label[u][1:]) for u in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and tree[a] == tree[b] and sh.resemblance(sets[a].tobytes(), sets[b].tobytes()) >= 0.8:
+                plain.join(at[a], at[b])
+    for r in got:
+        assert tree[r["x"]] == tree[r["y"]] and sh.resemblance(sets[r["x"]].tobytes(), sets[r["y"]].tobytes()) >= 0.8
+        mine.join(at[r["x"]], at[r["y"]])
+    assert [plain.find(i) for i in range(30)] == [mine.find(i) for i in range(30)] and len(got) > 5
 
 
 @pytest.mark.parametrize("bits", [{96: 0, 97: 0b111, 146: 0b1}, {96: 0, 97: 0, 146: 0}, {96: 0b1, 97: 0b1, 146: 0}])
-@pytest.mark.parametrize("dense", [0, 8])
-def test_a_stranger_between_copies(frame, monkeypatch, bits, dense):
+def test_a_stranger_between_copies(frame, monkeypatch, bits):
     """A text that is nearer to both copies by its bits, or stands for their fingerprint, does not hide them from each other."""
     def fake(h):
         return bits[len(h)]
     monkeypatch.setattr(sh, "majority", fake)
-    monkeypatch.setattr(sh, "DENSE", dense)
     a = " ".join(f"w{i}" for i in range(100))
     c = a + " more"
     least = min(hashlib.md5(x.encode()).hexdigest() for x in (a, c))
