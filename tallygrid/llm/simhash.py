@@ -316,12 +316,12 @@ def near_pairs(fps: DataFrame, distance: int, unit: str) -> tuple[DataFrame, lis
     ``open_members``.
     """
     dealt, parts = cells(fps, distance, unit)
-    schema = "a string, b string, a_fp long, b_fp long, part int, value long, i int, j int, tree int"
+    schema = "a long, b long, a_fp long, b_fp long, part int, value long, i int, j int, tree int"
     if dealt is None:
         return fps.sparkSession.createDataFrame([], schema), parts
 
     def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        fp, name = d["fp"].to_numpy().view(U), d[unit].to_numpy(object)
+        fp, name = d["fp"].to_numpy().view(U), d[unit].to_numpy()
         rank = np.unique(name, return_inverse=True)[1]
         left, right = map(np.flatnonzero, sides(key, d))
         # Two blocks of one bucket meet once; elsewhere a pair is seen from both of its ends.
@@ -354,7 +354,7 @@ def near_pairs(fps: DataFrame, distance: int, unit: str) -> tuple[DataFrame, lis
             a, b, _ = held[0]
             dense = {trees.find(x) for x in left_out}
             tree = [t if t in dense else None for t in map(trees.find, rank[a].tolist())]
-            out = pd.DataFrame({"a": pd.Series(name[a], dtype=object), "b": pd.Series(name[b], dtype=object), "a_fp": fp[a].view(np.int64), "b_fp": fp[b].view(np.int64)})
+            out = pd.DataFrame({"a": name[a], "b": name[b], "a_fp": fp[a].view(np.int64), "b_fp": fp[b].view(np.int64)})
             for column, v in zip(CELL, key):
                 out[column] = v
             out["tree"] = pd.array(tree, "Int32")
@@ -370,7 +370,7 @@ SET_BYTES = 32 << 20  # of shingle sets in one block of a tree; a task holds two
 def open_members(members: DataFrame, parts: list, distance: int) -> DataFrame:
     """Those rows (table, part, value, i, j, tree, unit, fp, label) that lie within ``distance`` of another label in their tree."""
     def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        fp, label = d["fp"].to_numpy().view(U), np.unique(d["label"].to_numpy(object), return_inverse=True)[1]
+        fp, label = d["fp"].to_numpy().view(U), np.unique(d["label"].to_numpy(), return_inverse=True)[1]
         hit = np.zeros(len(d), bool)
         for at in range(0, len(d), 256):
             x = fp[at:at + 256, None] ^ fp[None, :]
@@ -400,8 +400,8 @@ def alike_links(members: DataFrame, sets: DataFrame, parts: list, distance: int,
     m = m.select(*TREE, "unit", "fp", "label", "own", F.inline(meets))
 
     def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        fp, label, own = d["fp"].to_numpy().view(U), np.unique(d["label"].to_numpy(object), return_inverse=True)[1], d["own"].to_numpy()
-        unit, held = d["unit"].to_numpy(object), d["set"].to_numpy(object)
+        fp, label, own = d["fp"].to_numpy().view(U), np.unique(d["label"].to_numpy(), return_inverse=True)[1], d["own"].to_numpy()
+        unit, held = d["unit"].to_numpy(), d["set"].to_numpy(object)
         left, right = np.flatnonzero(own == key[-2]), np.flatnonzero(own == key[-1])
         trees, out = Trees(len(d)), []
         for at in range(0, len(left), 256):
@@ -416,9 +416,9 @@ def alike_links(members: DataFrame, sets: DataFrame, parts: list, distance: int,
                     trees.join(label[a], label[b])
                     out.append((unit[a], unit[b]))
         if out:
-            yield pd.DataFrame(out, columns=["x", "y"], dtype=object)
+            yield pd.DataFrame(out, columns=["x", "y"])
 
-    return by_cell(m.join(sets, "unit"), close, "x string, y string", [*TREE, "bi", "bj"])
+    return by_cell(m.join(sets, "unit"), close, "x long, y long", [*TREE, "bi", "bj"])
 
 
 def classes(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
@@ -476,13 +476,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
         for b in batches:
             sets = [np.unique(shingle_hashes(x, words)) for x in b["text"]]
             fps = np.array([[majority(rehashed(h, t)) for t in range(TABLES)] for h in sets], U).view(np.int64).reshape(-1, TABLES)
-            unit = pd.Series([hashlib.md5(h.tobytes()).hexdigest() for h in sets], index=b.index, dtype=object)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "unit": unit, **{n: fps[:, t] for t, n in enumerate(names)}})
+            same = pd.Series([hashlib.md5(h.tobytes()).hexdigest() for h in sets], index=b.index, dtype=object)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "same": same, **{n: fps[:, t] for t, n in enumerate(names)}})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = stored(rows.mapInPandas(run, "doc_id long, digest string, unit string, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
-    texts = stored(d.groupBy("digest").agg(F.min("unit").alias("unit"), *[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first")), "texts")
-    units = stored(texts.groupBy("unit").agg(F.min("digest").alias("digest"), *[F.min(n).alias(n) for n in names]), "units")
+    d = stored(rows.mapInPandas(run, "doc_id long, digest string, same string, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    texts = stored(d.groupBy("digest").agg(F.min("same").alias("same"), *[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first")), "texts")
+    units = texts.groupBy("same").agg(F.min("digest").alias("digest"), *[F.min(n).alias(n) for n in names])
+    units = stored(units.withColumn("unit", F.monotonically_increasing_id()), "units")
     # One text of each digest; copies of a text fall away before they are shuffled.
     once = rows.groupBy("digest").agg(F.first("text").alias("text"))
     as_set = F.pandas_udf(lambda t: shingle_set(t, words), "binary")
@@ -508,7 +509,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
     if not left_open.isEmpty():
         more = alike_links(left_open, sets_of(left_open.select("unit")), parts, distance, similarity)
         roots = components(good.unionByName(stored(more, "alike")), "x", "y")
-    rooted = texts.join(roots, texts["unit"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "unit").alias("root"))
+    rooted = units.select("same", "unit").join(roots, F.col("unit") == F.col("node"), "left").select("same", F.coalesce("root", "unit").alias("root"))
+    rooted = texts.join(rooted, "same").select("digest", "first", "root")
     order = F.struct(F.col("first").isNull().alias("missing"), "first", "digest")
     stay = rooted.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.digest").alias("stays"), F.col("s.first").alias("first"))
     carried = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), digest.alias("digest"), F.col("doc_id").cast("long").alias("id"))

@@ -104,7 +104,7 @@ def test_near_duplicates(frame):
     alike = plain_sets(sets, 0.8)
     odd = [(900, None), (901, ""), (902, " \n"), (903, "one"), (903, "one"), (904, "one"), (None, "one"), (None, "null id alone")]
     d = frame(rows + odd)
-    for c in ("root", "fp", "unit", "digest", "id", "row", "stays", "first", "_md5", "set", "label"):
+    for c in ("root", "fp", "unit", "digest", "id", "row", "stays", "first", "same", "_md5", "set", "label"):
         d = d.withColumn(c, F.lit("mine"))
     out = sh.near_duplicates(d)
     assert out.columns == d.columns
@@ -118,7 +118,7 @@ def clusters(seed, near=6):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(6)]
     fps = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, near))) for c in centres for _ in range(25)]
-    return np.array(fps + fps[:30], np.uint64), [f"u{k:03}" for k in range(len(fps) + 30)], rng
+    return np.array(fps + fps[:30], np.uint64), list(range(len(fps) + 30)), rng
 
 
 @pytest.mark.parametrize("block", [4096, 7])
@@ -126,9 +126,9 @@ def test_pairs_are_all_there(spark, monkeypatch, block):
     """Forests and the members left open hold all pairs of different labels; no cell gives more rows than it has members."""
     monkeypatch.setattr(sh, "BLOCK", block)
     fps, names, rng = clusters(block)
-    label = {n: str(rng.randrange(3)) for n in names}
+    label = {n: rng.randrange(3) for n in names}
     of = dict(zip(names, fps.view(np.int64).tolist()))
-    near, parts = sh.near_pairs(spark.createDataFrame(list(of.items()), "unit string, fp long"), 6, "unit")
+    near, parts = sh.near_pairs(spark.createDataFrame(list(of.items()), "unit long, fp long"), 6, "unit")
     rows = near.collect()
     got = {frozenset((r["a"], r["b"])) for r in rows}
     members, trees = set(), {}
@@ -138,7 +138,7 @@ def test_pairs_are_all_there(spark, monkeypatch, block):
         if r["tree"] is not None:
             members |= {(*key, r["tree"], u, of[u], label[u]) for u in (r["a"], r["b"])}
     assert all(len(x) < len(set().union(*x)) for x in trees.values())
-    schema = "table int, part int, value long, i int, j int, tree int, unit string, fp long, label string"
+    schema = "table int, part int, value long, i int, j int, tree int, unit long, fp long, label long"
     left = sh.open_members(spark.createDataFrame(list(members), schema), [parts], 6).collect()
     cells = {}
     for r in left:
@@ -153,13 +153,13 @@ def test_open_members_are_compared_in_blocks(spark, monkeypatch, room):
     """Links between labels connect what all pairs of alike sets connect, and are a forest in each pair of blocks."""
     monkeypatch.setattr(sh, "SET_BYTES", room)
     rng = random.Random(room)
-    sets = {f"u{i:03}": np.unique(np.array([rng.choice(range(k * 40, k * 40 + 12)) for _ in range(30)], np.uint64)) for i in range(60) for k in [i % 5]}
-    schema = "table int, part int, value long, i int, j int, tree int, unit string, fp long, label string"
-    m = spark.createDataFrame([(0, 0, 1, 0, 0, i % 2, u, 5, f"l{i // 2}") for i, u in enumerate(sets)], schema)
-    got = sh.alike_links(m, spark.createDataFrame([(u, bytearray(x.tobytes())) for u, x in sets.items()], "unit string, set binary"), [[(list(range(64)), 3)]], 3, 0.8).collect()
-    tree, label = ({u: f(i) for i, u in enumerate(sets)} for f in (lambda i: i % 2, lambda i: f"l{i // 2}"))
+    sets = {i: np.unique(np.array([rng.choice(range(k * 40, k * 40 + 12)) for _ in range(30)], np.uint64)) for i in range(60) for k in [i % 5]}
+    schema = "table int, part int, value long, i int, j int, tree int, unit long, fp long, label long"
+    m = spark.createDataFrame([(0, 0, 1, 0, 0, i % 2, u, 5, i // 2) for i, u in enumerate(sets)], schema)
+    got = sh.alike_links(m, spark.createDataFrame([(u, bytearray(x.tobytes())) for u, x in sets.items()], "unit long, set binary"), [[(list(range(64)), 3)]], 3, 0.8).collect()
+    tree, label = ({u: f(u) for u in sets} for f in (lambda i: i % 2, lambda i: i // 2))
     plain, mine = (sh.Trees(60) for _ in range(2))
-    at = {u: int(label[u][1:]) for u in sets}
+    at = label
     for a in sets:
         for b in sets:
             if a < b and tree[a] == tree[b] and sh.resemblance(sets[a].tobytes(), sets[b].tobytes()) >= 0.8:
