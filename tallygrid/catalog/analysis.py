@@ -349,6 +349,18 @@ def l07(spark, sf):
     return d.select("event_type", F.date_format("date", "yyyy-MM-dd").alias("date"), r("predicted", 4))
 
 
+@query("L07_forecast_lags", """WITH RECURSIVE a AS (SELECT event_type, date_trunc('day', ts)::DATE AS p, sum(value) AS v FROM events GROUP BY 1, 2), c AS (SELECT event_type, unnest(generate_series(min(p), max(p), INTERVAL 1 DAY))::DATE AS p FROM a GROUP BY 1),
+ d AS (SELECT event_type, p, coalesce(v, 0) AS y FROM c LEFT JOIN a USING (event_type, p)), l AS (SELECT *, lag(y, 1) OVER w AS a, lag(y, 7) OVER w AS b, row_number() OVER (PARTITION BY event_type ORDER BY p DESC) AS back FROM d WINDOW w AS (PARTITION BY event_type ORDER BY p)),
+ m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM l WHERE b IS NOT NULL),
+ k AS (SELECT (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ka, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS kb, ma, mb, my FROM m), q AS (SELECT ka, kb, my - ka * ma - kb * mb AS k0 FROM k),
+ t AS (SELECT event_type, max(p) AS last, list(y ORDER BY p)::DOUBLE[] AS s FROM l WHERE back <= 7 GROUP BY 1),
+ f AS (SELECT event_type, last, 0 AS h, s, NULL::DOUBLE AS predicted FROM t UNION ALL SELECT event_type, last, h + 1, list_append(s[2:], k0 + ka * s[7] + kb * s[1]), k0 + ka * s[7] + kb * s[1] FROM f, q WHERE h < 30)
+SELECT event_type, strftime(last + h::INT, '%Y-%m-%d') AS date, round(predicted, 4) AS predicted FROM f WHERE h > 0""")
+def l07_lags(spark, sf):
+    d = L.forecast_lags(table(spark, sf, "events"), "ts", "value", 30, ["event_type"], (1, 7))
+    return d.select("event_type", F.date_format("date", "yyyy-MM-dd").alias("date"), r("predicted", 4))
+
+
 @query("S09_forecast_file", "SELECT 30::BIGINT AS \"rows\", strftime(max(ts)::DATE + 1, '%Y-%m-%d') AS first, strftime(max(ts)::DATE + 30, '%Y-%m-%d') AS last FROM events")
 def s09(spark, sf):
     from ..sources.writers import export_csv
@@ -480,6 +492,13 @@ def u02(spark, sf):
 
 @query("U03_aggregate_function", "SELECT p_brand, round(max(p_retailprice) - min(p_retailprice), 4) AS spread FROM part GROUP BY 1")
 def u03(spark, sf):
+    d = U.aggregate(table(spark, sf, "part"), ["p_brand"], ["p_retailprice"], lambda v: (v["p_retailprice"].min(), v["p_retailprice"].max()),
+                    lambda s: (s["lo"].min(), s["hi"].max()), lambda s: s["hi"] - s["lo"], "lo double, hi double", "double", "spread")
+    return d.select("p_brand", r("spread", 4))
+
+
+@query("U03_aggregate_in_sql", "SELECT p_brand, round(max(p_retailprice) - min(p_retailprice), 4) AS spread FROM part GROUP BY 1")
+def u03_sql(spark, sf):
     def spread(v: pd.Series) -> float:
         return float(v.max() - v.min())
     U.register_udaf(spark, "value_spread", spread, "double")

@@ -166,7 +166,19 @@ BANDS = "SELECT n_nationkey::BIGINT AS band, n_nationkey * 20000.0 AS lo, n_nati
 def r06(spark, sf):
     b = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("band"), (F.col("n_nationkey") * 20000.0).alias("lo"),
                                           (F.col("n_nationkey") * 20000.0 + 25000.0).alias("hi"))
-    return R.range_join(table(spark, sf, "orders"), b, "o_totalprice", "lo", "hi", 20000.0).select("o_orderkey", "band")
+    return R.range_join(table(spark, sf, "orders"), b, "o_totalprice", "lo", "hi").select("o_orderkey", "band")
+
+
+@query("R06_range_join_mixed_lengths", """WITH b AS (SELECT s_suppkey, TIMESTAMP '1995-01-01' + to_days(CAST(s_suppkey * 37 % 2000 AS INTEGER)) AS lo FROM supplier),
+ c AS (SELECT s_suppkey, lo, lo + to_days(CAST(power(2, s_suppkey % 13) AS INTEGER)) AS hi FROM b)
+SELECT s_suppkey, count(*) AS n, min(o_orderkey) AS least FROM orders JOIN c ON o_orderdate >= lo AND o_orderdate < hi GROUP BY s_suppkey""")
+def r06_mixed(spark, sf):
+    """Orders within a span of 1 to 4096 days of each supplier."""
+    days = lambda n, at: F.timestamp_add("DAY", n.cast("int"), at)
+    b = table(spark, sf, "supplier").select("s_suppkey", days(F.col("s_suppkey") * 37 % 2000, F.lit("1995-01-01").cast("timestamp_ntz")).alias("lo"))
+    b = b.withColumn("hi", days(F.pow(F.lit(2), F.col("s_suppkey") % 13), F.col("lo")))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return R.range_join(o, b, "o_orderdate", "lo", "hi").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))
 
 
 @query("R07_asof_join", """SELECT a.event_id, b.event_id AS last_purchase, b.value AS purchase_value FROM (SELECT * FROM events WHERE event_type = 'error') a
@@ -234,11 +246,18 @@ def r10b(spark, sf):
  round(percent_rank() OVER w, 6) AS pct, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS next_key
  FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal DESC)""")
 def r11(spark, sf):
-    w = W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"))
-    u = W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
-    return table(spark, sf, "supplier").select(
-        "s_suppkey", F.rank().over(w).cast("bigint").alias("rnk"), F.dense_rank().over(w).cast("bigint").alias("dense"),
-        F.row_number().over(u).cast("bigint").alias("rn"), F.round(F.percent_rank().over(w), 6).alias("pct"), F.lead("s_suppkey").over(u).alias("next_key"))
+    d = R.ranking(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", ["s_suppkey"], descending=True, lead="s_suppkey")
+    return d.select("s_suppkey", F.col("rank").cast("bigint").alias("rnk"), F.col("dense_rank").cast("bigint").alias("dense"),
+                    F.col("row_number").cast("bigint").alias("rn"), F.round("percent_rank", 6).alias("pct"), F.col("next_s_suppkey").alias("next_key"))
+
+
+@query("R11_ranking_lineitem", """SELECT l_orderkey, l_linenumber, rank() OVER w AS rnk, dense_rank() OVER w AS dense, round(percent_rank() OVER w, 6) AS pct,
+ row_number() OVER u AS rn, lead(l_orderkey) OVER u AS next_key
+ FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice), u AS (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber)""")
+def r11_lineitem(spark, sf):
+    d = R.ranking(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", ["l_orderkey", "l_linenumber"], lead="l_orderkey")
+    return d.select("l_orderkey", "l_linenumber", F.col("rank").cast("bigint").alias("rnk"), F.col("dense_rank").cast("bigint").alias("dense"),
+                    F.round("percent_rank", 6).alias("pct"), F.col("row_number").cast("bigint").alias("rn"), F.col("next_l_orderkey").alias("next_key"))
 
 
 @query("R11_running_total", """SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running FROM orders""")

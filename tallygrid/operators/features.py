@@ -54,6 +54,39 @@ def rolling(df: DataFrame, col: str, by: list[str], order_by: list[str], n: int,
     return body(d.withColumns({f"{col}_rolling_{k}_{n}": F.when(enough, f[k](quoted(col)).over(w)) for k in fns}))
 
 
+def chunk_spans(whole: DataFrame, spans: DataFrame, by: list[str], merge: dict) -> DataFrame:
+    """Rows (by.., chunk, _c0, _mid_*): aggregates of each entity's chunks strictly between ``_c0`` and the chunk.
+
+    ``whole`` has one row per (entity, chunk). Each of its rows knows the
+    aggregates of the 1, 2, 4, .. chunks from it on; a span is put together from
+    one of them per binary digit of its length, without overlap.
+    """
+    line = W.partitionBy(*by).orderBy(CHUNK)
+    w = whole.withColumn("_i", F.row_number().over(line))
+    longest = w.agg(F.max("_i")).first()[0] or 1
+    rows = {n: F.col(n) for n in merge}
+    levels = []
+    for k in range(longest.bit_length()):
+        w = w.withColumns({f"_{n}{k}": c for n, c in rows.items()})
+        levels.append(F.struct(F.lit(k).alias("_k"), *[F.col(f"_{n}{k}").alias(f"_mid_{n}") for n in merge]))
+        ahead = {n: F.lead(f"_{n}{k}", 1 << k).over(line) for n in merge}
+        two = {"s": lambda a, b: a + b, "c": lambda a, b: a + b, "hi": F.greatest, "lo": F.least}
+        # Past an entity's last chunk there is nothing to add; such entries are never asked for.
+        rows = {n: F.coalesce(two[n](F.col(f"_{n}{k}"), ahead[n]), F.col(f"_{n}{k}"), ahead[n]) for n in merge}
+    table = w.select(*by, "_i", F.inline(F.array(*levels)))
+    at = w.select(*by, F.col(CHUNK), "_i")
+    s = null_safe_join(spans, at, [*by, CHUNK])
+    # The entity's last chunk up to _c0, which need not have rows of it.
+    lower = asof_join(spans.select(*by, "_c0").distinct(), at.select(*by, F.col(CHUNK).alias("_c0"), F.col("_i").alias("_i0")), "_c0", by)
+    s = null_safe_join(s, lower, [*by, "_c0"]).withColumn("_i0", F.coalesce("_i0", F.lit(0)))
+    n = F.col("_i") - 1 - F.col("_i0")
+    # Digits from the highest: a piece begins after those of all higher digits.
+    s = s.withColumn("_n", n).where("_n > 0")
+    piece = [F.struct(F.lit(k).alias("_k"), (F.col("_i0") + 1 + F.shiftleft(F.shiftright("_n", k + 1), k + 1)).alias("_i")) for k in range(longest.bit_length())]
+    s = s.select(*by, CHUNK, "_c0", "_n", F.inline(F.array(*piece))).where(F.expr("shiftright(_n, _k) & 1 = 1"))
+    return null_safe_join(s, table, [*by, "_i", "_k"]).groupBy(*by, CHUNK, "_c0").agg(*[f(f"_mid_{n}").alias(f"_mid_{n}") for n, f in merge.items()])
+
+
 def rolling_time(df: DataFrame, col: str, by: list[str], ts: str, days: int, fns: list[str] = ("sum",)) -> DataFrame:
     """sum, mean, count, max or min over the last ``days`` days up to and including the row, per entity.
 
@@ -81,11 +114,8 @@ def rolling_time(df: DataFrame, col: str, by: list[str], ts: str, days: int, fns
     ends = asof_join(asked, ends, "_us", [*by, "_c0"], "forward").withColumn("_us", F.col("_us") + width - 1)
 
     whole = moments.groupBy(*by, CHUNK).agg(*[f(n).alias(n) for n, f in merge.items()])
-    earlier = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    lists = whole.select(*by, CHUNK, F.collect_list(F.struct(F.col(CHUNK).alias("k"), *merge)).over(earlier).alias("_l"))
     spans = d.where(F.col("_c0") < F.col(CHUNK)).select(*by, CHUNK, "_c0").distinct()
-    mids = (null_safe_join(spans, lists, [*by, CHUNK]).withColumn("_x", F.explode("_l")).where(F.col("_x.k") > F.col("_c0"))
-            .groupBy(*by, CHUNK, "_c0").agg(*[f(f"_x.{n}").alias(f"_mid_{n}") for n, f in merge.items()]))
+    mids = chunk_spans(whole, spans, by, merge)
 
     j = null_safe_join(null_safe_join(d, mids, [*by, CHUNK, "_c0"]), ends, [*by, "_c0", "_us"])
     three = lambda n: [F.col(f"_own_{n}"), F.col(f"_mid_{n}"), F.col(f"_end_{n}")]

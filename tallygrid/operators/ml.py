@@ -5,21 +5,22 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinds import NAME_NOT_FEATURE, as_double, name_matches, numeric_columns, quoted, string_columns
-from ..functions.ordering import micros
+from ..functions.ordering import micros, null_safe_join
 from ..functions.quantiles import exact_quantiles, one_row
 from ..session import cut_lineage
 from .clean import resample
-from .features import fold_of
+from .features import fold_of, lags as lagged
 from .temporal import time_split
 
 # --- Fixed values: default sizes of the model families --------------------------------------
@@ -310,8 +311,7 @@ def oversample(train: DataFrame, y: str, key: list[str], seed: int = 42) -> Data
 def forecast(df: DataFrame, ts: str, value: str, periods: int = 30, by: list[str] = (), agg: str = "sum") -> DataFrame:
     """Rows (by.., date, predicted): linear trend plus weekday effect of each daily series, ``periods`` days ahead."""
     by = list(by)
-    fn = {"sum": F.sum, "mean": F.avg, "count": F.count}[agg]
-    d = resample(df, ts, "day", by, {"y": fn(quoted(value))}).na.fill(0.0, ["y"])
+    d = _daily(df, ts, value, by, agg)
     d = d.withColumn("t", F.unix_date(F.col("period").cast("date")).cast("double")).withColumn("wd", F.weekday("period"))
     # Days are counted from the first day of the series: the fit then has no large offsets.
     d = d.join(d.groupBy(*by).agg(F.min("t").alias("t0"), F.max("t").alias("t1")), by) if by else d.crossJoin(
@@ -328,6 +328,72 @@ def forecast(df: DataFrame, ts: str, value: str, periods: int = 30, by: list[str
                                     + F.coalesce("effect", F.lit(0.0))).alias("predicted"))
 
 
+def _daily(df: DataFrame, ts: str, value: str, by: list[str], agg: str) -> DataFrame:
+    """Rows (by.., period, y): each series by day, from its first day to its last, days without rows at 0."""
+    fn = {"sum": F.sum, "mean": F.avg, "count": F.count}[agg]
+    return resample(df, ts, "day", by, {"y": fn(quoted(value))}).na.fill(0.0, ["y"])
+
+
+def _least_squares(train: DataFrame, names: list[str]) -> tuple[float, list[float]]:
+    """Intercept and slopes of ``y`` from one row of moments; the least solution where lags are collinear."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in [*names[i:], "y"]]
+    m = train.agg(*[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs], *[F.avg(c).alias(c) for c in [*names, "y"]]).first().asDict()
+    if m["y"] is None:
+        return 0.0, [0.0] * len(names)
+    cov = np.array([[m.get(f"{a}|{b}", m.get(f"{b}|{a}")) for b in names] for a in names])
+    slopes = np.linalg.lstsq(cov, np.array([m[f"{a}|y"] for a in names]), rcond=1e-12)[0]
+    return float(m["y"] - slopes @ np.array([m[a] for a in names])), slopes.tolist()
+
+
+def forecast_lags(df: DataFrame, ts: str, value: str, periods: int = 30, by: list[str] = (), lags: tuple[int, ...] = (1, 7),
+                  agg: str = "sum", estimator=None) -> DataFrame:
+    """Rows (by.., date, predicted): daily series carried ``periods`` days ahead by a model of their own earlier values.
+
+    One model is fitted over the days of all series that have all ``lags``
+    before them. A prediction then joins the values the next one looks back on.
+    A series enters the recursion as one row with its last ``max(lags)`` values,
+    which count 0 before its first day, as missing days do; it is never gathered.
+
+    Without an ``estimator`` the model is least squares and the whole horizon is
+    one expression over an array. A Spark ML regressor (of ``__x`` and ``__y``)
+    is asked once for each day ahead, with every series as one row.
+    """
+    by, most = list(by), max(lags)
+    names = [f"y_lag_{n}" for n in lags]
+    d = cut_lineage(_daily(df, ts, value, by, agg))
+    train = lagged(d, "y", by, ["period"], list(lags)).where(F.col(f"y_lag_{most}").isNotNull())
+    day = F.unix_date(F.col("period").cast("date"))
+    ends = d.groupBy(*by).agg(F.max(day).alias("last"))
+    tail = null_safe_join(d.withColumn("t", day), ends, by) if by else d.withColumn("t", day).crossJoin(F.broadcast(ends))
+    tail = tail.where(F.col("t") > F.col("last") - most).groupBy(*by).agg(  # at most ``most`` rows of each series
+        F.max("last").alias("last"), F.sort_array(F.collect_list(F.struct("t", "y"))).alias("seen"))
+    # Oldest first, padded in front.
+    state = F.concat(F.array_repeat(F.lit(0.0), most - F.size("seen")), F.transform("seen", lambda x: x["y"].cast("double")))
+    series = tail.select(*by, "last", state.alias("state"))
+    if estimator is None:
+        base, slopes = _least_squares(train, names)
+
+        def step(acc: Column, _: Column) -> Column:
+            nxt = sum((F.lit(b) * acc["state"][most - n] for b, n in zip(slopes, lags)), F.lit(base))
+            return F.struct(F.concat(F.slice(acc["state"], 2, most - 1), F.array(nxt)).alias("state"), F.concat(acc["out"], F.array(nxt)).alias("out"))
+
+        start = F.struct(F.col("state"), F.expr("CAST(array() AS array<double>)").alias("out"))
+        run = F.aggregate(F.sequence(F.lit(1), F.lit(periods)), start, step)["out"]
+    else:
+        x = VectorAssembler(inputCols=names, outputCol="__x")
+        model = estimator.fit(x.transform(train.withColumn("__y", F.col("y"))))
+        series = series.withColumn("out", F.expr("CAST(array() AS array<double>)"))
+        for i in range(periods):
+            asked = series.withColumns({c: F.element_at("state", most - n + 1) for c, n in zip(names, lags)})
+            series = model.transform(x.transform(asked)).select(
+                *by, "last", F.concat(F.slice("state", 2, most - 1), F.array("prediction")).alias("state"), F.concat("out", F.array("prediction")).alias("out"))
+            if i % 10 == 9:
+                series = cut_lineage(series)
+        run = F.col("out")
+    out = series.select(*by, "last", F.posexplode(run).alias("h", "predicted"))
+    return out.select(*by, F.date_from_unix_date(F.col("last") + F.col("h") + 1).alias("date"), "predicted")
+
+
 def train_per_group(df: DataFrame, by: list[str], fn, schema: str) -> DataFrame:
     """A user's model per series: pandas frame in, pandas frame out.
 

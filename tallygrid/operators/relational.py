@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kinds import quoted, type_name
-from ..functions.ordering import carry, null_safe_join
+from ..functions.ordering import CHUNK, carry, cut_points, null_safe_join, order_number, with_chunk
 from ..functions.wide import column_stats, distinct_counts
 
 
+OPEN_LEVEL = 5000  # of ranges without an end; above the exponent of any double
+
+
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None,
             limit: int | None = None) -> DataFrame:
     """Spark SQL over the given tables: all rows, or the first ``limit``."""
@@ -36,19 +39,35 @@ def join_tables(a: DataFrame, b: DataFrame, on: list[str], how: str = "outer",
     return a.join(b, on, how)
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float,
-               by: list[str] = ()) -> DataFrame:
-    """Rows with ``low <= point < high``, joined on buckets of the given width.
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, by: list[str] = ()) -> DataFrame:
+    """Rows with ``low <= point < high``, joined on cells that fit each range's own length.
 
-    A range is listed once per bucket it touches, so ``width`` should be about
-    a typical range. ``by`` adds equality keys to the bucket.
+    A range of length up to ``2**k`` is of level ``k`` and touches at most two
+    cells of that width; a point asks one cell of each level in use. So there is
+    no width to guess, and a mix of short and long ranges lists each range twice
+    at most. Numbers and times; a missing bound matches nothing, and ranges that
+    have no end or no beginning share one cell that every point asks. ``by``
+    adds equality keys.
     """
     by = list(by)
-    p = points.withColumn("_cell", F.floor(quoted(point).cast("double") / width))
-    r = ranges.withColumn("_cell", F.explode(F.sequence(
-        F.floor(quoted(low).cast("double") / width), F.floor(quoted(high).cast("double") / width))))
-    return (p.join(r, [*by, "_cell"]).where((quoted(point) >= quoted(low)) & (quoted(point) < quoted(high)))
-            .drop("_cell"))
+
+    def cell(x: Column, level: Column) -> Column:
+        # Division by a power of two is exact; beyond 2**52 cells a double is a whole number of them.
+        q = x / F.pow(F.lit(2.0), level)
+        return F.when(level == OPEN_LEVEL, 0.0).otherwise(F.when(F.abs(q) >= float(1 << 52), q).otherwise(F.floor(q).cast("double")))
+
+    lo, hi = order_number(ranges, low), order_number(ranges, high)
+    length = hi - lo
+    rough = F.ceil(F.log2(length)).cast("int")  # may be one short by rounding
+    level = F.when(length <= 0, 0).when(F.abs(length) == float("inf"), OPEN_LEVEL).otherwise(
+        rough + (F.pow(F.lit(2.0), rough) < length).cast("int"))
+    r = ranges.where(quoted(low) < quoted(high)).withColumn("_level", level)
+    levels = [x["_level"] for x in r.select("_level").distinct().collect()]  # one row per level: the exponents of doubles bound them
+    r = r.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(lo, F.col("_level")), cell(hi, F.col("_level"))))))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.expr("CAST(array() AS array<int>)")))
+    p = p.withColumn("_cell", cell(order_number(points, point), F.col("_level")))
+    return (p.join(r, [*by, "_level", "_cell"]).where((quoted(point) >= quoted(low)) & (quoted(point) < quoted(high)))
+            .drop("_level", "_cell"))
 
 
 def asof_join(a: DataFrame, b: DataFrame, on: str, by: list[str], direction: str = "backward") -> DataFrame:
@@ -114,7 +133,6 @@ def pivot_table(df: DataFrame, by: list[str], on: str, values: list, agg: Column
 
 def running_total(df: DataFrame, by: list[str], order: list[str], col: str, out: str) -> DataFrame:
     """Cumulative sum per key, in chunks so that a hot key is spread; missing only before the first value."""
-    from ..functions.ordering import CHUNK, cut_points, order_number, with_chunk
     number = order_number(df, order[0])
     d = with_chunk(df, number, cut_points(df, number))
     inner = W.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -126,6 +144,40 @@ def running_total(df: DataFrame, by: list[str], order: list[str], col: str, out:
         out, F.when(F.count(col).over(inner) + F.col("_seen") > 0, total)).drop(CHUNK, "_off", "_seen")
 
 
+def ranking(df: DataFrame, by: list[str], order: str, then: list[str] = (), descending: bool = False, lead: str | None = None) -> DataFrame:
+    """Adds rank, dense_rank, percent_rank (by ``order``), row_number (ties by ``then``) and, if asked, next_<lead>, per key.
+
+    The order is cut into chunks; ranks within a chunk are raised by the rows,
+    or the distinct values, of the chunks before, and the last row of a chunk
+    looks at the first one of the next. Equal values share a chunk, so ranks are
+    those of one window. A busy key is spread over its chunks. Missing values
+    come last.
+    """
+    by, then = list(by), list(then)
+    number = order_number(df, order) * (-1 if descending else 1)
+    d = with_chunk(df, F.coalesce(number, F.lit(float("inf"))), cut_points(df, number))
+    first = (F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last())
+    inner, lined = (W.partitionBy(*by, CHUNK).orderBy(first, *x) for x in ([], then))
+    steps = {"rank": F.rank().over(inner), "dense_rank": F.dense_rank().over(inner), "row_number": F.row_number().over(lined)}
+    if lead:
+        steps[f"next_{lead}"] = F.lead(quoted(lead)).over(lined)
+    d = d.withColumns(steps)
+    chunks = d.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n"), F.max("dense_rank").alias("_values"),
+                                       *([F.max(F.when(F.col("row_number") == 1, F.struct(quoted(lead).alias("v")))).alias("_head")] if lead else []))
+    # One row per (key, chunk).
+    line = W.partitionBy(*by).orderBy(CHUNK)
+    before = lambda c: F.coalesce(F.sum(c).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    chunks = chunks.select(*by, CHUNK, before("_n").alias("_rows"), before("_values").alias("_seen"), F.sum("_n").over(W.partitionBy(*by)).alias("_all"), F.col("_n").alias("_here"),
+                           *([F.lead("_head").over(line).alias("_head")] if lead else []))
+    j = null_safe_join(d, chunks, [*by, CHUNK])
+    rank = F.col("rank") + F.col("_rows")
+    out = {"rank": rank, "dense_rank": F.col("dense_rank") + F.col("_seen"), "row_number": F.col("row_number") + F.col("_rows"),
+           "percent_rank": F.when(F.col("_all") > 1, (rank - 1) / (F.col("_all") - 1)).otherwise(0.0)}
+    if lead:
+        out[f"next_{lead}"] = F.when(F.col("row_number") == F.col("_here"), F.col("_head.v")).otherwise(F.col(f"next_{lead}"))
+    return j.select(*[quoted(c) for c in df.columns], *[v.alias(k) for k, v in out.items()])
+
+
 def describe_schema(df: DataFrame, order: list[str], samples: int = 2) -> DataFrame:
     """Per column: type, distinct values, share of missing, rows and the first values in the given order."""
     cols = df.columns
