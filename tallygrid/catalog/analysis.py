@@ -307,7 +307,7 @@ def l04_missing(spark, sf):
     return L.folds(d, "time", 5, ts="o_orderdate").select("o_orderkey", "fold")
 
 
-SMALL = {"boosted_trees": {"maxIter": 5, "maxDepth": 3}, "random_forest": {"numTrees": 10, "maxDepth": 5}, "linear": {"maxIter": 50}}
+SMALL = {"boosted_trees": {"maxIter": 5, "maxDepth": 3}, "random_forest": {"numTrees": 10, "maxDepth": 5}, "extra_trees": {"numTrees": 10, "maxDepth": 5}, "linear": {"maxIter": 50}}
 
 
 def _regression(spark, sf, families=None):

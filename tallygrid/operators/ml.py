@@ -20,12 +20,13 @@ from ..functions.ordering import micros, null_safe_join
 from ..functions.quantiles import exact_quantiles, one_row
 from ..session import cut_lineage
 from .clean import resample
+from .extratrees import ExtraTrees
 from .features import fold_of, lags as lagged
 from .temporal import time_split
 
 # --- Fixed values: default sizes of the model families --------------------------------------
 DEFAULTS = {"boosted_trees": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 6},
-            "random_forest": {"numTrees": 150, "maxDepth": 10}, "linear": {"maxIter": 1000, "alpha": 1.0}}
+            "random_forest": {"numTrees": 150, "maxDepth": 10}, "extra_trees": {"numTrees": 150, "maxDepth": 10}, "linear": {"maxIter": 1000, "alpha": 1.0}}
 MIN_ROWS = 10
 # -------------------------------------------------------------------------------------------
 
@@ -108,7 +109,7 @@ def folds(df: DataFrame, kind: str = "random", n: int = 5, key: list[str] = (),
 
 
 def candidates(task: str, classes: int = 2, sizes: dict | None = None, seed: int = 42, rows: int = 1, deviation: float = 1.0) -> dict:
-    """Estimators by family. Extra trees have no Spark class and are covered by the random forest.
+    """Estimators by family.
 
     The linear penalty ``alpha`` belongs to the sum of squared errors (or of log
     losses) over ``rows``; Spark takes it on the mean loss, and for regression in
@@ -119,11 +120,13 @@ def candidates(task: str, classes: int = 2, sizes: dict | None = None, seed: int
     if task == "regression":
         return {"boosted_trees": GBTRegressor(featuresCol="__x", labelCol="__y", seed=seed, **s["boosted_trees"]),
                 "random_forest": RandomForestRegressor(featuresCol="__x", labelCol="__y", seed=seed, **s["random_forest"]),
+                "extra_trees": ExtraTrees(featuresCol="__x", labelCol="__y", seed=seed, **s["extra_trees"]),
                 "linear": LinearRegression(featuresCol="__xs", labelCol="__y", elasticNetParam=0.0, standardization=False,
                                            maxIter=lin["maxIter"], regParam=lin["alpha"] * deviation / rows)}
     gbt = GBTClassifier(featuresCol="__x", labelCol="__y", seed=seed, **s["boosted_trees"])
     return {"boosted_trees": gbt if classes <= 2 else OneVsRest(classifier=gbt, featuresCol="__x", labelCol="__y"),
             "random_forest": RandomForestClassifier(featuresCol="__x", labelCol="__y", seed=seed, **s["random_forest"]),
+            "extra_trees": ExtraTrees(featuresCol="__x", labelCol="__y", classes=max(classes, 2), seed=seed, **s["extra_trees"]),
             "linear": LogisticRegression(featuresCol="__xs", labelCol="__y", standardization=False, maxIter=lin["maxIter"],
                                          regParam=lin["alpha"] / rows)}
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators import analytics, ml
 
-SIZES = {"boosted_trees": {"maxIter": 5, "maxDepth": 3}, "random_forest": {"numTrees": 8, "maxDepth": 5}, "linear": {"maxIter": 50}}
+SIZES = {"boosted_trees": {"maxIter": 5, "maxDepth": 3}, "random_forest": {"numTrees": 8, "maxDepth": 5}, "extra_trees": {"numTrees": 8, "maxDepth": 5}, "linear": {"maxIter": 50}}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def test_regression(spark, data, tmp_path):
     t = ml.auto_train(data, "y", "regression", ["id"], ["a", "b", "kind"], sizes=SIZES, n_folds=2)
     m = {r["metric"]: r["value"] for r in t.metrics.collect()}
     s = {r["family"]: r["cv_score"] for r in t.scores.collect()}
-    assert m["r2"] > 0.8 and set(s) == {"boosted_trees", "random_forest", "linear"} and t.best == max(s, key=s.get)
+    assert m["r2"] > 0.8 and set(s) == {"boosted_trees", "random_forest", "extra_trees", "linear"} and t.best == max(s, key=s.get)
     assert ml.importance(t, spark).first()["feature"] == "a"
     p = str(tmp_path / "m")
     ml.save_model(t, p)
@@ -31,7 +31,7 @@ def test_regression(spark, data, tmp_path):
     assert out.count() == 300 and out.columns == [*data.columns, "guess"]
     # Inputs come back untouched, infinities included.
     assert out.where("a = double('infinity')").count() == data.where("a = double('infinity')").count()
-    assert ml.model_report(spark, p).where("section = 'scores'").count() == 3
+    assert ml.model_report(spark, p).where("section = 'scores'").count() == 4
 
 
 def test_string_labels_and_training_codes(spark, data):
