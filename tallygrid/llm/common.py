@@ -35,6 +35,17 @@ def with_text(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one value."""
+    return F.struct(*[F.col(c) for c in df.columns])
+
+
+def with_result(df: DataFrame, columns: list[str], result: str, fields: tuple[str, ...]) -> DataFrame:
+    """The columns of ``row`` and the fields of ``result`` under names with an underscore, which replace columns named so."""
+    out = {f"_{f}": F.col(result)[f].alias(f"_{f}") for f in fields}
+    return df.select(*[F.col("row")[c].alias(c) for c in columns if c not in out], *out.values())
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,4 +102,4 @@ def sorted_runs(df: DataFrame, n: int, chunk: str, *order: str | Column) -> Data
     return df.repartitionById(n, F.col(chunk)).sortWithinPartitions(chunk, *order)
 
 
-__all__ = ["WORD", "chunk_number", "components", "cut_lineage", "fresh_path", "partitions", "sorted_runs", "stored", "totals_before", "with_text"]
+__all__ = ["WORD", "chunk_number", "components", "cut_lineage", "fresh_path", "partitions", "sorted_runs", "stored", "totals_before", "whole_row", "with_result", "with_text"]

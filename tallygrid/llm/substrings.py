@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import partitions, stored, whole_row, with_result
 
 GRAM = 6
 SHARD_WORDS = 200_000
@@ -354,10 +354,10 @@ def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
     def cut(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut_windows(t, r, min_words) for t, r in zip(texts, windows)], columns=["words", "removed", "kept"])
 
-    d = docs.withColumn("_tie0", tie(F.col("text")))
-    j = d.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_tie0") == F.col("_tie")), "left")
-    return j.withColumn("_cut", cut("text", "_windows")).select(
-        *docs.columns, F.col("_cut.words").alias("_words"), F.col("_cut.removed").alias("_removed"), F.col("_cut.kept").alias("_kept"))
+    # The row travels as one value, so that its names meet no others.
+    d = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), "text", tie(F.col("text")).alias("of"))
+    j = d.join(per_doc, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_tie")), "left").select("row", cut("text", "_windows").alias("cut"))
+    return with_result(j, docs.columns, "cut", ("words", "removed", "kept"))
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = 20, max_words: int = 5_000_000) -> DataFrame:
@@ -398,4 +398,4 @@ def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = 20,
                 rows.append(cut_windows(text, [{"first": a, "n": n} for a, n in spans_of(hit)], min_words))
             yield pd.DataFrame(rows, columns=["words", "removed", "kept"])
 
-    return docs.withColumn("_cut", cut("text")).select(*docs.columns, F.col("_cut.words").alias("_words"), F.col("_cut.removed").alias("_removed"), F.col("_cut.kept").alias("_kept"))
+    return with_result(docs.select(whole_row(docs).alias("row"), cut("text").alias("cut")), docs.columns, "cut", ("words", "removed", "kept"))

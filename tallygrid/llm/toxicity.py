@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,13 +32,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, with_text
 
 TOKEN = re.compile(r"[^\W_]+")
-STEMS = (4, 5, 6)
+STEMS = range(4, 11)
 FUZZY = 5
 WINDOW = 12
 CACHE_TOKENS = 1_000_000
@@ -125,17 +127,18 @@ class Lexicon:
 class Kinds(dict):
     """Kind of each token, kept; the memory is bounded by ``CACHE_TOKENS``."""
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: Lexicon, spared: frozenset[str] = frozenset()):
+        self.lexicon, self.spared = lexicon, spared
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        got = self[token] = self.lexicon.kind(token)
+        got = self[token] = 0 if token in self.spared else self.lexicon.kind(token)
         return got
 
 
 FEATURES = ("exact", "stem", "misspelt", "share", "close", "quoted", "reported", "addressed")
+HITS = {"exact", "stem", "misspelt", "share", "close"}
 
 
 def features(text: str, kinds: Kinds) -> list[float]:
@@ -160,11 +163,32 @@ def features(text: str, kinds: Kinds) -> list[float]:
             quoted / k, reported / k, addressed / k]
 
 
+def misspelt_copy(text: str, kinds: Kinds) -> str:
+    """The text with one letter wrong in each hit that may be misspelt; which letter and how follows from the token's hash."""
+    def change(m: re.Match) -> str:
+        token = m[0].lower()
+        if kinds[token] in (EXACT, STEM) and len(token) >= FUZZY:
+            h = zlib.crc32(token.encode())
+            for k in range(len(token)):
+                at = (h + k) % len(token)
+                wrong = (token[:at] + token[at + 1:], token[:at] + "0" + token[at + 1:], token[:at] + token[at] + token[at:])[h // 7 % 3]
+                if kinds[wrong] == MISSPELT:
+                    return wrong
+        return m[0]
+    return TOKEN.sub(change, text)
+
+
+def quoted_copy(text: str, kinds: Kinds) -> str:
+    """The text with each hit between quotation marks, after a word that reports."""
+    return TOKEN.sub(lambda m: f'they wrote "{m[0]}"' if kinds[m[0].lower()] else m[0], text)
+
+
 @dataclass
 class Model:
     entries: list[tuple[str, bool]]
     coefficients: list[float]
     intercept: float
+    spared: frozenset[str] = frozenset()  # words of clean rows that are one letter from a term
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.intercept == -math.inf:
@@ -194,7 +218,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int, least_rows: int, least_share:
     found = (rows.select("text", "label").mapInPandas(count, "term string, toxic long, clean long")
              .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .where((F.col("toxic") >= least_rows) & (odds >= least_share))
-             .orderBy(F.desc("toxic"), F.length("term"), "term").limit(8 * max_terms).collect())
+             .orderBy(F.desc("toxic"), F.length("term"), "term").limit(16 * max_terms).collect())
     stems: set[str] = set()
     terms: set[str] = set()
     beside: set[str] = set()  # terms that begin with a chosen stem: it has their exact forms, but only a full term may be misspelt
@@ -209,8 +233,28 @@ def learn_lexicon(rows: DataFrame, max_terms: int, least_rows: int, least_share:
     return sorted([*((t, True) for t in stems), *((t, False) for t in (terms - short) | beside)])
 
 
+def learn_spared(rows: DataFrame, entries: list[tuple[str, bool]], least_share: float) -> frozenset[str]:
+    """Tokens one letter from a term that are words of their own: clean rows hold them, and toxic ones not far more often."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = Kinds(Lexicon(entries))
+        for b in batches:
+            found = [(x, y > 0.5) for t, y in zip(b["text"], b["label"]) for x in set(TOKEN.findall(t.lower())) if kinds[x] == MISSPELT]
+            yield pd.DataFrame({"term": pd.Series([x for x, _ in found], dtype=object), "toxic": [int(y) for _, y in found], "clean": [int(not y) for _, y in found]})
+
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    odds = ((F.col("toxic") + 0.5) / n[1.0]) / ((F.col("clean") + 0.5) / n[0.0])
+    found = rows.select("text", "label").mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return frozenset(r["term"] for r in found.where((F.col("clean") > 0) & (odds < least_share)).collect())  # of the bounded sample
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_terms: int = 500, least_rows: int = 8, least_share: float = 20.0) -> Model:
-    """Fit on rows of ``labels`` that are not held out. ``fit_rows`` bounds the sample that both steps see (about; rows fall by hash)."""
+    """Fit on rows of ``labels`` that are not held out. ``fit_rows`` bounds the sample that all steps see (about; rows fall by hash).
+
+    Labelled rows seldom hold misspelt or quoted terms. So a share of the toxic
+    rows, by the hash of their text, is also seen with its terms misspelt, still
+    toxic, and another share with its terms quoted, as clean. Hits, however
+    spelt, never count against toxicity: their weights are bounded at 0.
+    """
     known = (labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("label")))
     n = known.count()
@@ -221,22 +265,30 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_terms: i
     if rows.select("label").distinct().count() < 2:
         return Model([], [0.0] * len(FEATURES), -math.inf)
     entries = learn_lexicon(rows, max_terms, least_rows, least_share)
+    spared = learn_spared(rows, entries, least_share)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = Kinds(Lexicon(entries))
+        kinds = Kinds(Lexicon(entries), spared)
         for b in batches:
-            yield pd.DataFrame({"x": [features(t, kinds) for t in b["text"]], "label": b["label"]})
+            x, y = [features(t, kinds) for t in b["text"]], b["label"].tolist()
+            for t, label in zip(b["text"], b["label"]):
+                turn = zlib.crc32(t.encode()) % 4 if label > 0.5 else -1
+                if turn in (0, 1):
+                    x.append(features((misspelt_copy, quoted_copy)[turn](t, kinds), kinds))
+                    y.append(1.0 - turn)
+            yield pd.DataFrame({"x": x, "label": y})
 
     x = stored(rows.mapInPandas(count, "x array<double>, label double"), "features")
-    m = LogisticRegression(featuresCol="v", labelCol="label", regParam=1e-3, maxIter=60).fit(x.withColumn("v", array_to_vector("x")))
-    return Model(entries, m.coefficients.toArray().tolist(), float(m.intercept))
+    least = Matrices.dense(1, len(FEATURES), [0.0 if f in HITS else -1e9 for f in FEATURES])
+    m = LogisticRegression(featuresCol="v", labelCol="label", family="binomial", regParam=1e-3, maxIter=60, lowerBoundsOnCoefficients=least).fit(x.withColumn("v", array_to_vector("x")))
+    return Model(entries, m.coefficients.toArray().tolist(), float(m.intercept), spared)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows with columns _score and _predicted added. No shuffle; only the text leaves the JVM."""
+    """The rows with columns _score and _predicted added (or replaced). No shuffle; only the text leaves the JVM."""
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        kinds = Kinds(Lexicon(model.entries))
+        kinds = Kinds(Lexicon(model.entries), model.spared)
         for b in texts:
             yield pd.Series(model.scores(np.array([features(t, kinds) for t in b]).reshape(-1, len(FEATURES))))
 
@@ -246,4 +298,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents below the threshold, as they came."""
-    return score(docs, model, threshold).where("_predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
+    return score(rows, model, threshold).where("_predicted = 0").select("row.*")

@@ -93,6 +93,59 @@ def test_held_out_labels_are_not_seen(spark, frame):
     assert a.entries == b.entries and np.allclose(a.coefficients, b.coefficients)
 
 
+def test_misspelt_abuse_counts_and_quotation_does_not(spark, frame):
+    rows, labels = corpus()
+    # A clean word one letter from a term is a word of its own.
+    rows = [(i, t + (" motron" if i % 5 and i % 3 else "")) for i, t in rows]
+    model = tx.fit(frame(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(tx.FEATURES, model.coefficients))
+    assert all(weight[f] >= 0 for f in tx.HITS) and weight["misspelt"] > 0 and weight["quoted"] < 0
+    plain = "rain sea ten test 1diot stare m0ron tea worthles near wrthless eat"
+    quoted = 'they wrote "1diot" rain, they wrote "m0ron" sea, they wrote "worthles" ten, they wrote "wrthless" tea'
+    got = {r["doc_id"]: r["_score"] for r in tx.score(frame([(1, plain), (2, quoted), (3, "rain motron sea ten")]), model).collect()}
+    assert got[1] > 0.7 > got[2] and got[3] < 0.1 and "motron" in model.spared
+
+
+def plain_features(text, lexicon, spared):
+    """Every feature by definition, with edit distances in place of the automaton."""
+    low, full, stems = text.lower(), [w for w, stem in lexicon if not stem], [w for w, stem in lexicon if stem]
+
+    def kind(x):
+        if x in spared:
+            return 0
+        if x in full:
+            return tx.EXACT
+        if any(x.startswith(w) for w in stems):
+            return tx.STEM
+        if any(len(w) >= tx.FUZZY and distance_at_most_one(x, w) for w in full):
+            return tx.MISSPELT
+        # A stem of FUZZY letters or more may have its one wrong letter anywhere in it.
+        return tx.MISSPELT if any(len(w) >= tx.FUZZY and any(distance_at_most_one(x[:k], w) for k in range(len(x) + 1)) for w in stems) else 0
+
+    found = list(tx.TOKEN.finditer(low))
+    tokens, kinds = [m[0] for m in found], [kind(m[0]) for m in found]
+    at = [i for i, k in enumerate(kinds) if k]
+    if not at:
+        return [0.0] * len(tx.FEATURES)
+    near = [set(tokens[max(0, i - tx.WINDOW):i + tx.WINDOW + 1]) for i in at]
+    marks = [any(c and c in tx.QUOTES for c in (low[max(0, found[i].start() - 1):found[i].start()], low[found[i].end():found[i].end() + 1])) for i in at]
+    close = max(sum(i <= j <= i + 2 * tx.WINDOW for j in at) for i in at)
+    return [*(np.log1p(kinds.count(k)) for k in (tx.EXACT, tx.STEM, tx.MISSPELT)), np.log1p(1000 * len(at) / len(tokens)), np.log1p(close),
+            sum(marks) / len(at), sum(bool(x & tx.REPORTING) for x in near) / len(at), sum(bool(x & tx.ADDRESS) for x in near) / len(at)]
+
+
+def test_scores_equal_a_plain_version(spark, sf):
+    """The score of every row of the table, from the fitted model's entries and weights."""
+    docs = table(spark, sf, "documents")
+    model = tx.fit(docs, table(spark, "/root/testdata/sf0.01", "labels"))
+    got = {r["doc_id"]: r["_score"] for r in tx.score(docs.select("doc_id", "text"), model).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        z = model.intercept + sum(a * b for a, b in zip(plain_features(r["text"] or "", model.entries, model.spared), model.coefficients))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_without_labels(spark, frame):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = frame([(1, "a b"), (2, None)])
