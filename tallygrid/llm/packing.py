@@ -101,9 +101,11 @@ def plan(counts: dict[int, int], max_tokens: int, max_docs: int, max_cost: int,
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, max_tokens: int = 2048, max_docs: int | None = None, max_cost: int | None = None,
-         weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
+         weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    Among the bins that fit, ``weights`` of tokens, documents and attention cost
+    decide; they change which pieces meet, not whether a new bin is opened.
     ``max_docs`` and ``max_cost`` default to values that any ``max_tokens``
     tokens meet. The driver sees the count of each length and the places made
     of them, bounded by ``max_tokens``; the pieces stay in Spark.

@@ -38,6 +38,7 @@ PART = struct.Struct("<qQIBII")  # first value, span, entries, low width, bytes
 SAMPLE = 256
 SEGMENT_IDS = 1 << 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_NTH = np.array([([b for b in range(8) if i >> b & 1] + [8] * 8)[:8] for i in range(256)], np.uint8)  # bit of the n-th one of a byte
 
 
 class EliasFano:
@@ -87,6 +88,23 @@ class EliasFano:
                 left -= 1
         raise AssertionError
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """Values at the places ``i`` (ascending), by selects: bytes are counted from the sampled place before the first on."""
+        if not len(i):
+            return np.empty(0, np.int64)
+        begin = int(self.samples[int(i[0]) // SAMPLE])
+        high = self.high[begin >> 3:].copy()
+        high[0] = high[0] >> (begin & 7) << (begin & 7)
+        ones = np.cumsum(_ONES[high], dtype=np.int64)
+        nth = np.asarray(i, np.int64) - int(i[0]) // SAMPLE * SAMPLE
+        byte = np.searchsorted(ones, nth, "right")
+        place = (begin >> 3 << 3) + byte * 8 + _NTH[high[byte], nth - (ones[byte] - _ONES[high[byte]])]
+        low = np.zeros(len(i), np.int64)
+        for k in range(self.width):
+            bit = np.asarray(i, np.int64) * self.width + k
+            low |= (self.low[bit >> 3].astype(np.int64) >> (bit & 7) & 1) << k
+        return self.first + ((place - i << self.width) | low)
+
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
@@ -183,10 +201,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for base, raw in zip(b["base"] + b["before"], b["payload"]):
                 s = Segment(raw)
-                ends = s.bounds.values()
+                nth = np.arange(s.n_docs)
+                starts, ends = s.bounds.at(nth), s.bounds.at(nth + 1)
                 yield pd.DataFrame({
-                    "doc_id": pd.array(s.doc_ids, "Int64"), "start": base + ends[:-1], "n_tokens": np.diff(ends),
-                    "ids_crc32": [zlib.crc32(s.ids[a:z].astype("<u4").tobytes()) for a, z in zip(ends[:-1], ends[1:])]})
+                    "doc_id": pd.array(s.doc_ids, "Int64"), "start": base + starts, "n_tokens": ends - starts,
+                    "ids_crc32": [zlib.crc32(s.ids[a:z].astype("<u4").tobytes()) for a, z in zip(starts.tolist(), ends.tolist())]})
 
     rows = files.join(F.broadcast(before), "chunk").select("base", "before", "payload")
     return rows.mapInPandas(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")

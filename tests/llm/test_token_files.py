@@ -128,3 +128,40 @@ def test_plan_equals_best_fit_one_by_one():
         counts = {n: lengths.count(n) for n in set(lengths)}
         plan = packing.plan(counts, 60, 60, 3600, (1.0, 0.0, 0.0), "norm")
         assert max(first + (z - a - 1) // k for _, a, z, first, k, _ in plan) + 1 == len(left)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=1, max_size=1500), st.data())
+def test_selects_equal_decoding(steps, data):
+    values = np.cumsum(steps) + 7
+    ef = token_files.EliasFano.unpack(token_files.EliasFano.of(values).pack(), 0)[0]
+    asked = np.array(sorted(data.draw(st.lists(st.integers(0, len(values) - 1), max_size=40))), np.int64)
+    assert ef.at(asked).tolist() == values[asked].tolist() == [ef[int(i)] for i in asked]
+    assert ef.at(np.arange(len(values))).tolist() == ef.values().tolist() == values.tolist()
+
+
+def test_reading_selects_and_does_not_decode(spark, frame, tmp_path, monkeypatch):
+    token_files.write(frame([(i, "some words " * (i % 9)) for i in range(40)]), f"{tmp_path}/t", vocabulary_path(), 2)
+    raw = [r["payload"] for r in spark.read.parquet(f"{tmp_path}/t").collect()]
+    s = token_files.Segment(bytes(raw[0]))
+    monkeypatch.setattr(token_files.EliasFano, "values", None)
+    assert len(s.document(0)) == s.bounds.at(np.array([1]))[0]
+
+
+def test_all_three_capacities_choose(spark, sf):
+    """With every dimension weighted the number of sequences does not grow; where capacities bind they hold."""
+    lengths = [r["length"] for r in packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), vocabulary_path(), 0).select("length").collect()]
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    bins = lambda p: max(f + -(-(z - a) // k) for _, a, z, f, k, _ in p)
+    every = packing.plan(counts, 2048, 2048, 2048 ** 2, (1, 1, 1), "norm")
+    assert bins(every) <= bins(packing.plan(counts, 2048, 2048, 2048 ** 2, (1, 0, 0), "norm"))
+    # Two bins with 60 tokens left, one of them nearly out of documents: the weights tell them apart.
+    small = {90: 1, 30: 3, 10: 3}
+    picks = {w: packing.plan(small, 100, 5, 10_000, w, rule) for rule, w in (("norm", (1, 0, 0)), ("norm", (0, 1, 0)))}
+    assert picks[1, 0, 0] != picks[0, 1, 0]
+    for max_docs, max_cost in ((3, 10_000), (5, 2000)):
+        used = {}
+        for length, a, z, first, each, _ in packing.plan({40: 6, 20: 9, 5: 30}, 100, max_docs, max_cost, (1, 1, 1), "dot"):
+            for k in range(z - a):
+                used.setdefault(first + k // each, []).append(length)
+        assert all(len(x) <= max_docs and sum(n * n for n in x) <= max_cost and sum(x) <= 100 for x in used.values()) and sum(map(len, used.values())) == 45
