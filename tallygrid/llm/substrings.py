@@ -355,8 +355,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
         return pd.DataFrame([cut_windows(t, r, min_words) for t, r in zip(texts, windows)], columns=["words", "removed", "kept"])
 
     # The row travels as one value, so that its names meet no others.
-    d = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), "text", tie(F.col("text")).alias("of"))
-    j = d.join(per_doc, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_tie")), "left").select("row", cut("text", "_windows").alias("cut"))
+    d = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), tie(F.col("text")).alias("of"))
+    j = d.join(per_doc, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_tie")), "left").select("row", cut("row.text", "_windows").alias("cut"))
     return with_result(j, docs.columns, "cut", ("words", "removed", "kept"))
 
 
