@@ -24,9 +24,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of two or more lines, and of single lines of over 50 words, are cut out of the texts; ``n_chars`` follows. Every row stays."""
     # Rows travel as one value: a column of docs may be named like a result of the operator.
-    d = linededup.dedup(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), min_lines=2, long_words=50)
+    others = [c for c in docs.columns if c != "text"]
+    d = linededup.dedup(docs.select(F.struct(*others).alias("row"), "doc_id", "text"), min_lines=2, long_words=50)
     changed = {"text": F.col("_kept"), "n_chars": F.when(F.col("_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("row.n_chars"))}
-    return d.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return d.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
