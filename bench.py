@@ -31,7 +31,7 @@ def main() -> None:
     from tallygrid.session import build_session
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session("tallygrid-bench", f"local[{cpus}]", cpus, "12g")
     spark.sparkContext.setLogLevel("ERROR")
     out = {}
