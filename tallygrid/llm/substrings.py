@@ -345,10 +345,25 @@ def cut_windows(text: str | None, windows, min_words: int) -> tuple[int, int, st
     return w.n, int(gone.sum()), b" ".join(x for x, g in zip(w.words, gone.tolist()) if not g).decode()
 
 
+PLACES = 1 << 20  # of the filter of texts with windows
+
+
+def place(doc: str, tie: str) -> Column:
+    return F.pmod(F.xxhash64(doc, tie), F.lit(PLACES))
+
+
+def place_filter(places: DataFrame) -> DataFrame:
+    """One row: a bit for each of ``PLACES`` places, set where ``places`` has it, as an array of longs. Its size does not depend on the rows."""
+    words = places.groupBy(F.shiftright("place", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))").alias("bits"))
+    dense = places.sparkSession.range(PLACES // 64).join(words, "id", "left")
+    line = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return dense.agg(line.alias("line")).select(F.transform("line", lambda x: x["bits"]).alias("filter"))
+
+
 def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with columns _words, _removed and _kept (the words that stay, joined by one space)."""
     found = repeated_windows(docs.select("doc_id", "text"), min_words)
-    per_doc = found.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "n")).alias("_windows"))
+    per_doc = stored(found.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "n")).alias("_windows")), "found")
 
     @F.pandas_udf(CUT)
     def cut(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
@@ -356,7 +371,13 @@ def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
 
     # The row travels as one value, so that its names meet no others.
     d = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), tie(F.col("text")).alias("of"))
-    j = d.join(per_doc, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_tie")), "left").select("row", cut("row.text", "_windows").alias("cut"))
+    # Texts that surely have no window stay where they are.
+    d = d.crossJoin(F.broadcast(place_filter(per_doc.select(place("_doc", "_tie").alias("place")))))
+    at = place("id", "of")
+    maybe = F.getbit(F.element_at("filter", F.shiftright(at, 6).cast("int") + 1), F.pmod(at, F.lit(64)).cast("int")) == 1
+    asked, free = (d.where(x).drop("filter") for x in (maybe, ~maybe))
+    j = asked.join(per_doc, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_tie")), "left").select("row", "_windows")
+    j = j.unionByName(free.select("row", F.lit(None).cast(per_doc.schema["_windows"].dataType).alias("_windows"))).select("row", cut("row.text", "_windows").alias("cut"))
     return with_result(j, docs.columns, "cut", ("words", "removed", "kept"))
 
 
