@@ -78,6 +78,19 @@ def t05b(spark, sf):
     return T.corr_matrix(table(spark, sf, "lineitem"), FOUR).select("col_a", "col_b", r("r"))
 
 
+HINGED = [(c, i) for c in FOUR for i in range(8)]
+_AT = {"l_quantity": 6.0, "l_extendedprice": 9000.0, "l_discount": 0.0125, "l_tax": 0.01}
+
+
+@query("T05_corr_matrix_wide", "WITH h AS (SELECT " + ", ".join(f"greatest({c} - {_AT[c] * i}, 0) AS {c}_{i}" for c, i in HINGED) + " FROM lineitem) "
+       + union([f"SELECT '{a}_{i}' AS col_a, '{b}_{j}' AS col_b, " + ("1.0::DOUBLE AS r" if (a, i) == (b, j) else f"round(corr({a}_{i}, {b}_{j}), 6) AS r FROM h")
+                for a, i in HINGED for b, j in HINGED]))
+def t05c(spark, sf):
+    # Columns cut off at eight places each: 32 columns, enough for sums by blocks.
+    d = table(spark, sf, "lineitem").select(*[F.greatest(F.col(c) - F.lit(_AT[c] * i), F.lit(0.0)).alias(f"{c}_{i}") for c, i in HINGED])
+    return T.corr_matrix(d).withColumn("r", r("r"))
+
+
 def ranks(t, c, keys):
     """Average ranks of c with the kept columns."""
     return f"(SELECT {keys}, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {c}) AS ties FROM {t})"

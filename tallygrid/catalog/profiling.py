@@ -461,9 +461,31 @@ def p27(spark, sf):
     return Q.vif(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"]).withColumn("vif", F.round("vif", 4))
 
 
-@query("P27_vif_many")
+def _det3(m):
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _vif_sql(t, cols):
+    """Regression of each of four columns on the other three through the origin, by determinants."""
+    c = lambda a, b: f"c{min(a, b)}{max(a, b)}"
+    g = lambda a, b: f"g{min(a, b)}{max(a, b)}"
+    half = [(a, b) for a in range(4) for b in range(a, 4)]
+    m = f"WITH m AS (SELECT {', '.join(f'avg({x}) AS m{a}' for a, x in enumerate(cols))}, {', '.join(f'covar_pop({cols[a]}, {cols[b]}) AS {c(a, b)}' for a, b in half)} FROM {t}), "
+    m += f"s AS (SELECT *, {', '.join(f'{c(a, b)} + m{a} * m{b} AS {g(a, b)}' for a, b in half)} FROM m) "
+    out = []
+    for a in range(4):
+        o = [b for b in range(4) if b != a]
+        beta = [f"{_det3([[g(p, a) if q == r else g(p, q) for q in o] for p in o])} / {_det3([[g(p, q) for q in o] for p in o])} AS b{r}" for r in o]
+        rest = f"{c(a, a)} - 2 * ({' + '.join(f'b{p} * {c(a, p)}' for p in o)}) + {' + '.join(f'b{p} * b{q} * {c(p, q)}' for p in o for q in o)}"
+        out.append(f"SELECT '{cols[a]}' AS \"column\", round({c(a, a)} / ({rest}), 4) AS vif, {c(a, a)} / ({rest}) > 5 AS high FROM (SELECT *, {', '.join(beta)} FROM s)")
+    return m + union(out)
+
+
+@query("P27_vif_many", _vif_sql("lineitem", FOUR))
 def p27b(spark, sf):
-    return Q.vif(table(spark, sf, "lineitem"), FOUR, intercept=False)
+    return Q.vif(table(spark, sf, "lineitem"), FOUR, intercept=False).withColumn("vif", F.round("vif", 4))
+
 
 
 def _scale_sql(t, cols):

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.crossproducts import correlations
 from ..functions.dates import parse_any
 from ..functions.kinds import (FAKE_NULLS, NAME_DATETIME, NAME_DATETIME_WIDE, NAME_KEY, NAME_KEY_DUPLICATE,
                                NAME_POSITIVE, NAME_POSITIVE_OUTLIER, TEXT_PATTERNS, TEXT_SHARES, as_double, as_number,
@@ -158,12 +159,21 @@ def top_values(df: DataFrame, col: str, k: int = 20) -> DataFrame:
             .select("value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share")))
 
 
+WIDE = 24  # columns beyond which pairs are summed as blocked products
+
+
 def pairs(cols: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
 def correlation_cells(df: DataFrame, cols: list[str], over: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Rows (col_a, col_b, r) for all pairs from one scan, over pairwise complete rows."""
+    """Rows (col_a, col_b, r) for all pairs from one scan, over pairwise complete rows.
+
+    All pairs of more than ``WIDE`` columns come from blocked products instead of an expression each.
+    """
+    if over is None and len(cols) > WIDE:
+        names = F.array(*[F.lit(c) for c in cols])
+        return correlations(df, cols).select(F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), "r")
     over = pairs(cols) if over is None else over
     if not over:
         return nothing(df, "col_a string, col_b string, r double")

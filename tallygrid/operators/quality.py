@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.crossproducts import centres, pair_sums
 from ..functions.kinds import (BOILERPLATE, ENCODING_PATTERNS, NAME_COST, NAME_END, NAME_LEAK, NAME_LEAK_ID, NAME_PII,
                                NAME_PROFIT, NAME_RANGE, NAME_REVENUE, NAME_START, PII_PATTERNS, QUALITY_PATTERNS,
                                SENTINELS, UNIT_PATTERNS, as_double, as_number, name_matches, names_like,
@@ -182,25 +183,27 @@ def validate_ranges(df: DataFrame, mode: str = "token") -> DataFrame:
 def vif(df: DataFrame, cols: list[str] | None = None, intercept: bool = True, threshold: float = 5.0) -> DataFrame:
     """Variance inflation per column over complete rows.
 
-    One aggregate yields the k x k cross products about the means; the k x k
-    inverse is solved on the driver. ``intercept=False`` regresses through the
-    origin and compares centred variances.
+    The k x k cross products about the means are summed by blocks of columns;
+    the k x k inverse is solved on the driver. ``intercept=False`` regresses
+    through the origin and compares centred variances.
     """
     import numpy as np
     cols = cols or numeric_columns(df)
     k = len(cols)
-    x = [as_double(df, c) for c in cols]
-    ok = reduce(lambda a, b: a & b, [c.isNotNull() for c in x])
-    d = df.select(*[c.alias(f"x{i}") for i, c in enumerate(x)]).where(reduce(lambda a, b: a & b, [
-        F.col(f"x{i}").isNotNull() for i in range(k)]))
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)]]
-    aggs += [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
-    r = d.agg(*aggs).first()
     empty = df.sparkSession.createDataFrame([], "column string, vif double, high boolean")
-    if k < 2 or r["n"] < k + 2:
+    if k < 2:
         return empty
-    mean = np.array([r[f"m{i}"] for i in range(k)])
-    cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    x = [f"x{i}" for i in range(k)]
+    d = df.select(*[as_double(df, c).alias(n) for c, n in zip(cols, x)]).na.drop()
+    middle = centres(d, x)
+    n, sums, cov = 0, np.zeros(k), np.zeros((k, k))
+    for r in pair_sums(d, x, middle).collect():  # one row per pair of columns
+        n, sums[r["i"]], sums[r["j"]] = r["n"], r["sx"], r["sy"]
+        c = r["sxy"] - r["sx"] * r["sy"] / r["n"]
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = 0.0 if abs(c) <= 1e-14 * r["sxy"] else c / r["n"]
+    if n < k + 2:
+        return empty
+    mean = np.array(middle) + sums / n
     gram = cov + np.outer(mean, mean)
     out = []
     for i in range(k):
