@@ -1,16 +1,18 @@
 """Exact neighbourhoods: kNN imputation, local outlier factor, DBSCAN.
 
-Space is cut into leaves of about equal mass by a k-d tree over a sample of
-fixed size; the tree (a few numbers per leaf) goes to every task, the points
-are shuffled by leaf. A point visits every leaf its search radius reaches, so
-results do not depend on the cuts. Equal points are merged into one with a
+Space is cut into leaves of about equal mass by a k-d tree. Its top comes from
+a sample of fixed size and goes to every task; leaves that are still too full
+are split again, round by round, by small trees that Spark grows from a sample
+of each leaf and that stay a table, joined by leaf. The points are shuffled by
+leaf. A point visits every leaf its search radius reaches, so results do not
+depend on the cuts. Equal points are merged into one with a
 weight before, because copies are the one thing no cut can separate. Inside a
 leaf numpy compares visitors with owners in blocks; only neighbours leave it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,9 @@ from ..session import cut_lineage
 from .fuzzy import components
 
 LEAF_POINTS = 4000
-MAX_LEAVES = 1 << 14
+TOP_LEAVES = 1 << 14  # leaves of the part the driver holds
+SUB_DEPTH = 6  # levels by which a round splits a leaf
+ROUNDS = 8  # 14 + 8 * 6 bits number a leaf
 SAMPLE_PER_LEAF = 20
 BLOCK = 512
 POINT = "array<double>"
@@ -31,10 +35,14 @@ POINT = "array<double>"
 
 @dataclass
 class Tree:
-    """Complete binary tree in heap order: node i splits on ``dim[i]`` at ``cut[i]``."""
+    """Complete binary tree in heap order: node i splits on ``dim[i]`` at ``cut[i]``.
+
+    ``splits`` has a table (leaf, depth, dim, cut) per later round; a leaf l becomes l * 2^SUB_DEPTH + its place there.
+    """
     depth: int
     dim: np.ndarray
     cut: np.ndarray
+    splits: list[DataFrame] = field(default_factory=list)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), dtype=np.int64)
@@ -62,50 +70,118 @@ class Tree:
         return np.concatenate(rows), np.concatenate(out)
 
 
-def plant(points: DataFrame, leaf_points: int = LEAF_POINTS) -> Tree:
-    """A tree whose leaves hold about equally many of the distinct points."""
+def grow(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Splits in heap order; both sides of a cut hold sample points as long as there are two."""
+    size = (1 << depth) - 1
+    dim, cut = np.zeros(size, dtype=np.int64), np.zeros(size)
+    todo = [(0, sample)] if size else []
+    while todo:
+        node, s = todo.pop()
+        if node >= size:
+            continue
+        d = int(np.argmax(s.std(axis=0))) if len(s) else 0
+        v = np.sort(s[:, d]) if len(s) else np.zeros(1)
+        c = float(v[len(v) // 2])
+        if c == v[0] and v[-1] > c:  # half the values are the least one
+            c = float(v[v > c][0])
+        dim[node], cut[node] = d, c
+        todo += [(2 * node + 1, s[s[:, d] < c]), (2 * node + 2, s[s[:, d] >= c])]
+    return dim, cut
+
+
+def plant(points: DataFrame, leaf_points: int = LEAF_POINTS, top_leaves: int = TOP_LEAVES) -> Tree:
+    """A tree whose leaves hold at most about twice ``leaf_points`` of the distinct points.
+
+    The driver sees a sample bounded by ``top_leaves``, never by the data; what is
+    too full beneath is split by Spark, a group of bounded size per leaf.
+    """
     n = points.count()
     depth = 0
-    while n / (1 << depth) > leaf_points and (1 << depth) < MAX_LEAVES:
+    while n / (1 << depth) > leaf_points and (1 << depth) < top_leaves:
         depth += 1
-    size = (1 << depth) - 1
-    dim, cut = np.zeros(size, dtype=np.int64), np.zeros(size)
-    if depth:
-        # The sample is bounded by the number of leaves, not by the data.
-        take = SAMPLE_PER_LEAF << depth
-        got = points.select("x").orderBy(F.xxhash64("x")).limit(take).collect()
-        todo = [(0, np.array([r["x"] for r in got], dtype=float))]
-        while todo:
-            node, s = todo.pop()
-            if node >= size:
-                continue
-            d = int(np.argmax(s.std(axis=0))) if len(s) else 0
-            c = float(np.median(s[:, d])) if len(s) else 0.0
-            dim[node], cut[node] = d, c
-            todo += [(2 * node + 1, s[s[:, d] < c]), (2 * node + 2, s[s[:, d] >= c])]
-    return Tree(depth, dim, cut)
+    take = SAMPLE_PER_LEAF << depth
+    got = points.select("x").orderBy(F.xxhash64("x")).limit(take).collect() if depth else []
+    tree = Tree(depth, *grow(np.array([r["x"] for r in got], dtype=float), depth))
+    wanted = SAMPLE_PER_LEAF << SUB_DEPTH
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        share = pdf["n"].iloc[0] / leaf_points
+        levels = min(SUB_DEPTH, max(1, int(np.ceil(np.log2(share)))))
+        dim, cut = grow(_matrix(pdf["x"]), levels)
+        return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "depth": [levels], "dim": [dim.tolist()], "cut": [cut.tolist()]})
+
+    while len(tree.splits) < ROUNDS:
+        here = with_leaf(points.select("x"), tree)
+        full = cut_lineage(here.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * leaf_points))
+        if full.isEmpty():
+            break
+        # Twice the wanted sample by hash, so that chance leaves enough; the seed changes with the round.
+        luck = F.pmod(F.xxhash64("x", F.lit(len(tree.splits))), F.lit(1 << 30)) / float(1 << 30)
+        drawn = here.join(full, "leaf").where(luck < 2.0 * wanted / F.col("n"))
+        tree.splits.append(cut_lineage(drawn.groupBy("leaf").applyInPandas(split, "leaf long, depth int, dim array<long>, cut array<double>")))
+    return tree
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), dtype=float).reshape(len(col), -1)
 
 
+def _by_split(leaf: pd.Series, depth: pd.Series, dim: pd.Series, cut: pd.Series):
+    """(rows, tree) per leaf of a batch; without a split the tree has one leaf."""
+    for _, at in leaf.groupby(leaf, sort=False).indices.items():
+        i = at[0]
+        if pd.isna(depth.iloc[i]):
+            yield at, Tree(0, np.zeros(0, dtype=np.int64), np.zeros(0))
+        else:
+            yield at, Tree(int(depth.iloc[i]), np.asarray(dim.iloc[i], dtype=np.int64), np.asarray(cut.iloc[i], dtype=float))
+
+
+def _lists(n: int, rows: np.ndarray, leaves: np.ndarray) -> list[list[int]]:
+    order = np.argsort(rows, kind="stable")
+    return [p.tolist() for p in np.split(leaves[order], np.cumsum(np.bincount(rows, minlength=n))[:-1])]
+
+
 def with_leaf(points: DataFrame, tree: Tree) -> DataFrame:
+    top = Tree(tree.depth, tree.dim, tree.cut)  # tables do not travel
+
     @F.pandas_udf("long")
     def leaf(x: pd.Series) -> pd.Series:
-        return pd.Series(tree.leaves(_matrix(x)))
-    return points.withColumn("leaf", leaf("x"))
+        return pd.Series(top.leaves(_matrix(x)))
+
+    @F.pandas_udf("long")
+    def deeper(x: pd.Series, leaf: pd.Series, depth: pd.Series, dim: pd.Series, cut: pd.Series) -> pd.Series:
+        out, m = np.zeros(len(x), dtype=np.int64), _matrix(x)
+        for at, t in _by_split(leaf, depth, dim, cut):
+            out[at] = t.leaves(m[at])
+        return pd.Series((leaf.to_numpy(np.int64) << SUB_DEPTH) + out)
+
+    out = points.withColumn("leaf", leaf("x"))
+    for s in tree.splits:
+        out = out.join(s, "leaf", "left").select(*[quoted(c).alias(c) for c in points.columns], deeper("x", "leaf", "depth", "dim", "cut").alias("leaf"))
+    return out
 
 
 def visiting(queries: DataFrame, tree: Tree) -> DataFrame:
     """Rows of ``queries`` (x, radius, ..) once per leaf they reach."""
+    top = Tree(tree.depth, tree.dim, tree.cut)
+
     @F.pandas_udf("array<long>")
     def reach(x: pd.Series, radius: pd.Series) -> pd.Series:
-        rows, leaves = tree.reached(_matrix(x), radius.to_numpy(float))
-        order = np.argsort(rows, kind="stable")
-        parts = np.split(leaves[order], np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
-        return pd.Series([p.tolist() for p in parts])
-    return queries.withColumn("leaf", F.explode(reach("x", "radius")))
+        return pd.Series(_lists(len(x), *top.reached(_matrix(x), radius.to_numpy(float))))
+
+    @F.pandas_udf("array<long>")
+    def deeper(x: pd.Series, radius: pd.Series, leaf: pd.Series, depth: pd.Series, dim: pd.Series, cut: pd.Series) -> pd.Series:
+        m, r, whole, rows, leaves = _matrix(x), radius.to_numpy(float), leaf.to_numpy(np.int64), [], []
+        for at, t in _by_split(leaf, depth, dim, cut):
+            i, to = t.reached(m[at], r[at])
+            rows.append(at[i])
+            leaves.append((whole[at[i]] << SUB_DEPTH) + to)
+        return pd.Series(_lists(len(x), np.concatenate(rows), np.concatenate(leaves)))
+
+    out = queries.withColumn("leaf", F.explode(reach("x", "radius")))
+    for s in tree.splits:
+        out = out.join(s, "leaf", "left").select(*[quoted(c).alias(c) for c in queries.columns], F.explode(deeper("x", "radius", "leaf", "depth", "dim", "cut")).alias("leaf"))
+    return out
 
 
 def _blocks(q: np.ndarray, p: np.ndarray):

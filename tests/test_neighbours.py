@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallygrid.operators import neighbours
 from tallygrid.operators.neighbours import dbscan, impute_knn, lof
 
 
@@ -61,3 +62,36 @@ def test_impute_knn(spark, cloud):
         c = np.where(has, dist[i], np.inf)
         want[i] = v[c <= np.sort(c)[k - 1]].mean()
     np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_full_leaves_are_split_in_rounds(spark, monkeypatch):
+    """A top of four leaves, two levels a round: several rounds, and no leaf stays full however the values pile up."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (1500, 2)), rng.normal(0, 1e-4, (1500, 2)),
+                        np.column_stack([np.zeros(1000), np.arange(1000.)]), np.column_stack([rng.integers(0, 2, 500), rng.normal(0, 1, 500)])])
+    monkeypatch.setattr(neighbours, "SUB_DEPTH", 2)
+    points = spark.createDataFrame([(p,) for p in np.unique(x, axis=0).tolist()], "x array<double>")
+    tree = neighbours.plant(points, 50, top_leaves=4)
+    assert tree.depth == 2 and len(tree.splits) >= 2
+    sizes = neighbours.with_leaf(points, tree).groupBy("leaf").count().toPandas()["count"]
+    assert sizes.max() <= 100 and sizes.sum() == points.count()
+    # A point with no radius reaches its own leaf and no other; with any radius it reaches all.
+    at = neighbours.with_leaf(points, tree)
+    home = neighbours.visiting(points.withColumn("radius", F.lit(1e-300)), tree)
+    assert at.join(home, ["x", "leaf"], "left_anti").isEmpty()
+    some = neighbours.visiting(points.limit(3).withColumn("radius", F.lit(float("inf"))), tree)
+    assert some.groupBy("x").agg(F.countDistinct("leaf").alias("n")).where(F.col("n") < len(sizes)).isEmpty()
+
+
+def test_results_do_not_depend_on_the_rounds(spark, cloud, monkeypatch):
+    p, _ = cloud
+    d = spark.createDataFrame(p)
+    v = d.withColumn("v", F.nanvl("v", F.lit(None)))
+    run = lambda: (lof(d, ["a", "b"], 7, leaf_points=25).orderBy("id").toPandas()["lof"], dbscan(d, ["a", "b"], .25, 6, leaf_points=25).orderBy("id").toPandas()["cluster"],
+                   impute_knn(v, "v", ["a", "b"], 5, leaf_points=25).orderBy("id").toPandas()["v"])
+    one = run()
+    whole = neighbours.plant
+    monkeypatch.setattr(neighbours, "plant", lambda points, leaf_points: whole(points, leaf_points, top_leaves=2))
+    monkeypatch.setattr(neighbours, "SUB_DEPTH", 1)
+    for a, b in zip(one, run()):
+        pd.testing.assert_series_equal(a, b, rtol=1e-9)
