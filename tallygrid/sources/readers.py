@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import quoted
+from .quoted import read_quoted
 
 # --- Fixed values: separators and encodings in the order they are tried --------------------
 SEPARATORS = [",", ";", "\t", "|"]
@@ -25,34 +26,44 @@ def nan_as_null(df: DataFrame) -> DataFrame:
     return df.select(*[fix[c].alias(c) if c in fix else quoted(c) for c in df.columns]) if fix else df
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding): the separator from the head of one file, the encoding from every line of the path.
-
-    The text source passes bytes through untouched; one line that is not valid
-    UTF-8 makes the whole path Latin-1, which any bytes are.
-    """
+def _look(spark: SparkSession, path: str) -> tuple[str, str, bool]:
+    """(separator, encoding, whether any line has a quote)."""
     lines = spark.read.text(path)
-    whole = lines.agg(F.min(F.is_valid_utf8("value").cast("int")).alias("ok")).first()["ok"]
-    encoding = "iso-8859-1" if whole == 0 else "utf-8"
+    seen = lines.agg(F.min(F.is_valid_utf8("value").cast("int")).alias("ok"), F.max(F.contains("value", F.lit('"')).cast("int")).alias("quotes")).first()
+    encoding = "iso-8859-1" if seen["ok"] == 0 else "utf-8"
     head = lines.select(F.substring(F.col("value").cast("binary"), 1, SNIFF_CHARACTERS * 4).alias("b")).limit(200).collect()
     text = b"\n".join(bytes(r["b"]) for r in head).decode(encoding, "ignore")[:SNIFF_CHARACTERS]
     best = SEPARATORS[0]
     for s in SEPARATORS[1:]:
         if text.count(s) > text.count(best):
             best = s
-    return best, encoding
+    return best, encoding, bool(seen["quotes"])
+
+
+def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(separator, encoding): the separator from the head of one file, the encoding from every line of the path.
+
+    The text source passes bytes through untouched; one line that is not valid
+    UTF-8 makes the whole path Latin-1, which any bytes are.
+    """
+    return _look(spark, path)[:2]
 
 
 def read_csv_smart(spark: SparkSession, path: str, infer: bool = True, schema=None, multi_line: bool = True) -> DataFrame:
     """Delimited text with a header; separator and encoding are found from the data.
 
     Quotes inside a quoted value are doubled. ``multi_line`` lets a quoted value
-    run over lines; a file is then read by one task, so turn it off for large
-    files that have no such values. ``infer`` reads the data twice; pass a schema
-    for large inputs.
+    run over lines: files are then cut into records by the parity of their quotes,
+    many tasks a file. Only where a quote stands inside an unquoted value is a file
+    left to one task of Spark's multi-line reader. Without any quote lines are
+    records. ``infer`` reads the data once more; pass a schema for large inputs.
     """
-    sep, encoding = sniff(spark, path)
-    r = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
+    sep, encoding, quotes = _look(spark, path)
+    if multi_line and quotes:
+        df = read_quoted(spark, path, sep, encoding, infer, schema)
+        if df is not None:
+            return nan_as_null(df)
+    r = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line and quotes)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", infer)
     return nan_as_null(r.csv(path))
 
