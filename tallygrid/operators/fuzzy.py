@@ -62,7 +62,7 @@ def candidate_pairs(values: DataFrame, t: float, method: str) -> DataFrame:
     # The second occurrence of a gram in a value is a gram of its own.
     grams = grams.withColumn("o", F.row_number().over(W.partitionBy("low", "g").orderBy("p"))).drop("p")
     freq = grams.groupBy("g", "o").agg(F.count(F.lit(1)).alias("f"))
-    ranked = grams.join(freq, ["g", "o"])
+    ranked = grams.join(freq.hint("merge"), ["g", "o"])
     keep = (Q * edits(n) + 1).cast("int")
     prefix = ranked.groupBy("low").agg(F.array_sort(F.collect_list(F.struct("f", "g", "o"))).alias("gs"))
     long = prefix.select("low", F.explode(F.slice("gs", 1, keep)).alias("x")).select(
@@ -72,7 +72,8 @@ def candidate_pairs(values: DataFrame, t: float, method: str) -> DataFrame:
     other = keys.select(F.col("low").alias("b"), "k", F.col("n").alias("m"))
     near = ((F.least("n", "m") >= t * F.greatest("n", "m") - eps) if method == "levenshtein"
             else (2 * F.least("n", "m") >= t * (F.col("n") + F.col("m")) - eps))
-    return keys.join(other, "k").where((F.col("low") < F.col("b")) & near).select(
+    # Before it runs, the optimizer takes an exploded column for as small as its input: it must not send the keys to the driver.
+    return keys.join(other.hint("merge"), "k").where((F.col("low") < F.col("b")) & near).select(
         F.col("low").alias("a"), "b").distinct()
 
 
@@ -100,9 +101,9 @@ def fuzzy_pairs(df: DataFrame, col: str, threshold: float = 90, method: str = "l
     # Spellings that agree after lower-casing are similar at 100; others are joined back to their spellings.
     left = vals.select(F.col("low").alias("a"), F.col("value").alias("va"), F.col("n").alias("na"))
     right = vals.select(F.col("low").alias("b"), F.col("value").alias("vb"), F.col("n").alias("nb"))
-    same = left.join(right, (F.col("a") == F.col("b")) & (F.col("va") < F.col("vb"))).select(
+    same = left.join(right.hint("merge"), (F.col("a") == F.col("b")) & (F.col("va") < F.col("vb"))).select(
         "va", "vb", "na", "nb", F.lit(1.0).alias("sim"))
-    diff = hits.join(left, "a").join(right, "b").select("va", "vb", "na", "nb", "sim")
+    diff = hits.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("va", "vb", "na", "nb", "sim")
     out = diff.unionByName(same)
     swap = F.col("va") > F.col("vb")
     out = out.select(F.when(swap, F.col("vb")).otherwise(F.col("va")).alias("value_a"),

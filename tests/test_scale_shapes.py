@@ -180,6 +180,14 @@ def test_fuzzy_plan_has_no_cross_join(spark, sf):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_fuzzy_keys_are_not_sent_to_the_driver(spark, tmp_path):
+    """A file looks small enough to send to every task, but each of its values has many keys."""
+    spark.range(300).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS v").write.parquet(str(tmp_path / "v"))
+    pairs = fuzzy.fuzzy_pairs(spark.read.parquet(str(tmp_path / "v")), "v", 90)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 300 * (9 + 9 + 2) // 2
+
+
 def test_scan_pushes_filter_and_columns(spark, sf):
     from tallygrid.catalog import QUERIES
     p = QUERIES["S02_parquet_scan"](spark, sf)
