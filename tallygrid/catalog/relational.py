@@ -180,7 +180,8 @@ def r06_mixed(spark, sf):
     b = table(spark, sf, "supplier").select("s_suppkey", days(F.col("s_suppkey") * 37 % 2000, F.lit("1995-01-01").cast("timestamp_ntz")).alias("lo"))
     b = b.withColumn("hi", days(F.pow(F.lit(2), F.col("s_suppkey") % 13), F.col("lo")))
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    return R.range_join(o, b, "o_orderdate", "lo", "hi").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))
+    d = R.range_join(o, b, "o_orderdate", "lo", "hi", totals={"n": (F.count(F.lit(1)), F.sum), "least": (F.min("o_orderkey"), F.min)})
+    return d.groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
 
 
 @query("R07_asof_join", """SELECT a.event_id, b.event_id AS last_purchase, b.value AS purchase_value FROM (SELECT * FROM events WHERE event_type = 'error') a

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kinds import quoted, type_name
-from ..functions.ordering import CHUNK, carry, cut_points, null_safe_join, order_number, with_chunk
+from ..functions.ordering import CHUNK, carry, cut_points, dense_codes, null_safe_join, order_number, with_chunk
 from ..functions.wide import column_stats, distinct_counts
+from ..session import cut_lineage
 
 
 OPEN_LEVEL = 5000  # of ranges without an end; above the exponent of any double
@@ -39,7 +41,8 @@ def join_tables(a: DataFrame, b: DataFrame, on: list[str], how: str = "outer",
     return a.join(b, on, how)
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, by: list[str] = ()) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, by: list[str] = (),
+               totals: dict[str, tuple[Column, Callable]] | None = None) -> DataFrame:
     """Rows with ``low <= point < high``, joined on cells that fit each range's own length.
 
     A range of length up to ``2**k`` is of level ``k`` and touches at most two
@@ -48,8 +51,14 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     at most. Numbers and times; a missing bound matches nothing, and ranges that
     have no end or no beginning share one cell that every point asks. ``by``
     adds equality keys.
+
+    With ``totals`` the pairs are added up and not listed: each range that holds
+    a point gets, by name, an aggregate over its points, given with the function
+    that combines its partial results (``{"n": (F.count(F.lit(1)), F.sum)}``).
     """
     by = list(by)
+    if totals:
+        return _range_totals(points, ranges, point, low, high, by, totals)
 
     def cell(x: Column, level: Column) -> Column:
         # Division by a power of two is exact; beyond 2**52 cells a double is a whole number of them.
@@ -70,6 +79,35 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
             .drop("_level", "_cell"))
 
 
+def _range_totals(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, by: list[str], totals: dict) -> DataFrame:
+    """``range_join`` with totals, whose work follows points and ranges, not pairs.
+
+    The bounds cut the order into steps that no range divides. Points are
+    combined by step, and steps by blocks of two, four, eight and so on; a range
+    is at most two blocks of each size.
+    """
+    r = ranges.where(quoted(low) < quoted(high))
+    kind = points.select(point).limit(0).union(r.select(low).limit(0)).union(r.select(high).limit(0)).schema[point].dataType
+    bounds = r.select(F.explode(F.array(quoted(low).cast(kind), quoted(high).cast(kind))).alias("_at")).distinct()
+    codes = cut_lineage(dense_codes(bounds, "_at").select(F.col("value").alias("_at"), F.col("code").alias("_step")))
+    combine = [f(n).alias(n) for n, (_, f) in totals.items()]
+    p = points.where(quoted(point).isNotNull()).groupBy(*by, quoted(point).cast(kind).alias("_at")).agg(*[c.alias(n) for n, (c, _) in totals.items()])
+    steps = asof_join(p, codes, "_at", []).where("_step IS NOT NULL").groupBy(*by, "_step").agg(*combine)
+    top = codes.count().bit_length()
+    blocks = steps.withColumn("_size", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("_block", F.expr("shiftright(_step, _size)"))
+    blocks = blocks.groupBy(*by, "_size", "_block").agg(*combine)
+    first, end = (codes.select(F.col("_at").alias(f"{c}_at"), F.col("_step").alias(c)) for c in ("_first", "_end"))
+    spans = r.join(first, quoted(low).cast(kind) == F.col("_first_at")).join(end, quoted(high).cast(kind) == F.col("_end_at")).drop("_first_at", "_end_at")
+    # Whole blocks a to b of a size: the first is taken if odd, the last if the end is odd, the others belong to blocks of the next size.
+    taken = F.expr(f"""flatten(transform(
+        filter(transform(sequence(0, {top}), k -> struct(k, shiftright(_first + shiftleft(1L, k) - 1, k) AS a, shiftright(_end, k) AS b)), x -> x.a < x.b),
+        x -> filter(array(if(x.a % 2 = 1, struct(x.k AS k, x.a AS c), NULL), if(x.b % 2 = 1, struct(x.k AS k, x.b - 1 AS c), NULL)), y -> y IS NOT NULL)))""")
+    asked = spans.select(*by, "_first", "_end").distinct().withColumn("_x", F.explode(taken))
+    asked = asked.select(*by, "_first", "_end", F.col("_x.k").alias("_size"), F.col("_x.c").alias("_block"))
+    got = asked.join(blocks.hint("merge"), [*by, "_size", "_block"]).groupBy(*by, "_first", "_end").agg(*combine)
+    return spans.join(got, [*by, "_first", "_end"]).select(*[quoted(c) for c in ranges.columns], *totals)
+
+
 def asof_join(a: DataFrame, b: DataFrame, on: str, by: list[str], direction: str = "backward") -> DataFrame:
     """Left join to the nearest earlier (or later) row of ``b`` per key.
 

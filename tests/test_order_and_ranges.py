@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallygrid.catalog import QUERIES
 from tallygrid.functions import ordering
 from tallygrid.operators import features, ml, userfn
 from tallygrid.operators import relational as R
@@ -38,6 +39,35 @@ def test_a_range_is_listed_twice_at_most(spark):
     assert R.range_join(spark.createDataFrame([(1.0,)], "x double"), r.limit(0), "x", "lo", "hi").count() == 0
 
 
+def test_range_totals_equal_all_pairs(spark):
+    rng = random.Random(2)
+    points = [(i, i % 3 or None, rng.choice([0.0, 5.0, 1e18, None, INF, -INF, float(rng.randint(-9, 9)), rng.uniform(-50, 50)])) for i in range(300)]
+    ranges = [(j // 2, j % 3 or None, lo, lo + rng.choice([1e-9, 0.5, 4.0, 1e3, -1.0, 0.0])) for j in range(120) for lo in [rng.choice([0.0, 5.0, -1e18, rng.uniform(-60, 60)])]]
+    ranges += [(500, 1, -INF, 3.0), (501, 1, 2.0, INF), (502, 1, -INF, INF), (503, 1, None, 3.0), (504, 1, 1.0, None), (505, 1, 900.0, 901.0)]
+    p, r = spark.createDataFrame(points, "p long, g long, x double"), spark.createDataFrame(ranges, "r long, g long, lo double, hi double")
+    totals = {"n": (F.count(F.lit(1)), F.sum), "least": (F.min("p"), F.min)}
+    for by in ([], ["g"]):
+        want = Counter()
+        for j, h, lo, hi in ranges:
+            hit = [a for a, g, x in points if None not in (x, lo, hi) and lo <= x < hi and (not by or g is not None and g == h)]
+            if hit:
+                want[(j, lo, hi, len(hit), min(hit))] += 1
+        got = R.range_join(p, r, "x", "lo", "hi", by, totals).select("r", "lo", "hi", "n", "least").collect()
+        assert Counter(map(tuple, got)) == want and len(want) > 30
+    assert R.range_join(p, r.limit(0), "x", "lo", "hi", totals=totals).count() == 0
+    assert R.range_join(p.limit(0), r, "x", "lo", "hi", totals=totals).count() == 0
+
+
+def test_range_totals_list_no_pairs(spark, sf):
+    """40,000 points in each of 20,000 ranges, and the query's plan: blocks are joined, not points."""
+    p = spark.range(40000).select("id", F.col("id").cast("double").alias("x"))
+    r = spark.range(20000).select(F.col("id").alias("r"), (-1.0 - F.col("id")).alias("lo"), (40000.0 + F.col("id")).alias("hi"))
+    d = R.range_join(p, r, "x", "lo", "hi", totals={"n": (F.count(F.lit(1)), F.sum)})
+    assert d.agg(F.sum("n").alias("pairs")).first()["pairs"] == 800_000_000
+    plan = QUERIES["R06_range_join_mixed_lengths"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "_block" in plan and "_cell" not in plan
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_ranking_equals_one_window(spark, descending):
     rng = random.Random(4)
