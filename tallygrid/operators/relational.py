@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kinds import quoted, type_name
-from ..functions.ordering import CHUNK, carry, cut_points, dense_codes, null_safe_join, order_number, with_chunk
+from ..functions.ordering import CHUNK, carry, chunked, dense_codes, null_safe_join, order_number
 from ..functions.wide import column_stats, distinct_counts
 from ..session import cut_lineage
 
@@ -172,7 +172,7 @@ def pivot_table(df: DataFrame, by: list[str], on: str, values: list, agg: Column
 def running_total(df: DataFrame, by: list[str], order: list[str], col: str, out: str) -> DataFrame:
     """Cumulative sum per key, in chunks so that a hot key is spread; missing only before the first value."""
     number = order_number(df, order[0])
-    d = with_chunk(df, number, cut_points(df, number))
+    d = chunked(df, list(by), number)
     inner = W.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     outer = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     off = d.groupBy(*by, CHUNK).agg(F.sum(col).alias("_s"), F.count(col).alias("_c")).select(
@@ -193,7 +193,7 @@ def ranking(df: DataFrame, by: list[str], order: str, then: list[str] = (), desc
     """
     by, then = list(by), list(then)
     number = order_number(df, order) * (-1 if descending else 1)
-    d = with_chunk(df, F.coalesce(number, F.lit(float("inf"))), cut_points(df, number))
+    d = chunked(df, by, number, F.coalesce(number, F.lit(float("inf"))))
     first = (F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last())
     inner, lined = (W.partitionBy(*by, CHUNK).orderBy(first, *x) for x in ([], then))
     steps = {"rank": F.rank().over(inner), "dense_rank": F.dense_rank().over(inner), "row_number": F.row_number().over(lined)}

@@ -91,6 +91,20 @@ def test_ranking_spreads_a_busy_key(spark):
     assert len(sizes) >= 4 and max(sizes) < 2 * 20000 / len(sizes)
 
 
+def test_chunks_are_dealt_by_rows(spark, monkeypatch):
+    """Adaptive execution merges partitions by bytes; a task's rows stay bounded, and windows take the rows as they are dealt."""
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 1000)
+    d = spark.range(20000).select("id", F.concat(F.lit("g"), (F.col("id") % 10 == 0).cast("string")).alias("g"), (F.col("id") % 2003).cast("double").alias("x"))
+    out = R.ranking(d, ["g"], "x", ["id"]).select("id", "rank", "row_number")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    want = d.select("id", F.rank().over(W.partitionBy("g").orderBy("x")), F.row_number().over(W.partitionBy("g").orderBy("x", "id")))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    ordered = ordering.chunked(d, ["g"], F.col("x"))
+    assert ordered.rdd.getNumPartitions() == 20
+    assert ordered.withColumn("n", F.row_number().over(W.partitionBy("g", ordering.CHUNK).orderBy("x")))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_time_windows_over_many_chunks(spark, monkeypatch):
     """Thousands of chunks of one entity, with gaps; entities that are in few of them."""
     monkeypatch.setattr(features, "cut_points", lambda df, number: ordering.cut_points(df, number, 600))
