@@ -6,12 +6,12 @@ sequence of its document. Prefix doubling ranks these suffixes, in Spark: the
 rank at depth 1 counts the suffixes whose line id is smaller; the rank at depth
 2d is the rank at depth d plus the number of suffixes of the same class whose
 follower, d lines on, ranks lower. A suffix whose class has no second member is
-settled and leaves. Equal ranks at depth ``min_lines`` are the intervals of the
-suffix array whose longest common prefix has at least ``min_lines`` lines;
-deeper order could not change what is deleted, since a longer repeated run is
-covered by repeated windows of ``min_lines``. Of each interval the first
-occurrence in document order stays, and the windows of all others are deleted;
-windows that follow each other with following sources make up one maximal run.
+settled and leaves; doubling goes on until all have left, past the longest
+repeated run. Equal ranks at a depth are the intervals of the suffix array whose
+longest common prefix has at least as many lines. Of each interval the first
+occurrence in document order stays. Windows of ``min_lines`` of all others are
+later copies, and so are those of every greater depth; a later copy that follows
+another one lies in the same run, and what is deleted are maximal runs.
 
 With ``long_words`` later copies of single lines of more words are deleted too,
 whatever stands beside them; the first line in document order stays. A text that
@@ -30,6 +30,7 @@ other columns are kept as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -82,14 +83,15 @@ def ranked(classes: DataFrame, within: list[str], order: list[str], slice_: Colu
     return j.select(*classes.columns, (F.col("offset") + F.col("inner")).alias("before"))
 
 
-def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
-    """Rows (doc_id, tie, line, rank) of the suffixes whose first ``depth`` lines (a power of two) occur again."""
+def doublings(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """For depth 1, 2, 4 and so on, as long as there are any: rows (doc_id, tie, line, rank) of the suffixes whose first ``depth`` lines occur again."""
     seen = lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Ids are hashes, so slices of their range are even.
     first = stored(ranked(seen, [], ["d1", "d2"], F.shiftright("d1", 56)).select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.col("before").alias("rank")), "ranks")
     active = stored(lines.join(first, (lines["d1"] == first["_1"]) & (lines["d2"] == first["_2"])).select(*DOC, "line", "rank"), "suffixes")
     at = 1
-    while at < depth:
+    while not active.isEmpty():
+        yield at, active
         follower = active.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), (F.col("line") - at).alias("_line"), F.col("rank").alias("next"))
         pairs = stored(active.join(follower, active["doc_id"].eqNullSafe(F.col("_doc")) & (active["tie"] == F.col("_tie")) & (active["line"] == F.col("_line")))
                        .select(*DOC, "line", "rank", "next"), "pairs")
@@ -99,7 +101,14 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
             F.col("rank").alias("_rank"), F.col("next").alias("_next"), (F.col("rank") + F.col("before")).alias("name")), "ranks")
         active = stored(pairs.join(named, (pairs["rank"] == named["_rank"]) & (pairs["next"] == named["_next"])).select(*DOC, "line", F.col("name").alias("rank")), "suffixes")
         at *= 2
-    return active
+
+
+def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
+    """The suffixes of ``doublings`` at one depth (a power of two)."""
+    for at, active in doublings(lines):
+        if at == depth:
+            return active
+    return lines.limit(0).select(*DOC, "line", F.lit(0).cast("long").alias("rank"))
 
 
 def long_copies(lines: DataFrame, long_words: int) -> DataFrame:
@@ -118,7 +127,11 @@ def repeats(docs: DataFrame, min_lines: int) -> DataFrame:
 
 def copies(lines: DataFrame, min_lines: int) -> DataFrame:
     """``repeats`` of given lines."""
-    suffixes = suffix_ranks(lines, min_lines)
+    return later(suffix_ranks(lines, min_lines))
+
+
+def later(suffixes: DataFrame) -> DataFrame:
+    """Rows (doc_id, tie, line, from_doc, from_tie, from_line): each suffix that is not the first of its rank, and that first one."""
     place = F.struct(*DOC, "line")
     # Written out, so that both sides of the join come straight from a shuffle and a frequent line can be split.
     first = stored(suffixes.groupBy("rank").agg(F.min(place).alias("first")).withColumnRenamed("rank", "_rank"), "firsts")
@@ -126,13 +139,27 @@ def copies(lines: DataFrame, min_lines: int) -> DataFrame:
     return j.where(~place.eqNullSafe(F.col("first"))).select(*DOC, "line", F.col("first.doc_id").alias("from_doc"), F.col("first.tie").alias("from_tie"), F.col("first.line").alias("from_line"))
 
 
+def deepest(lines: DataFrame, min_lines: int) -> DataFrame:
+    """``copies`` at every depth from ``min_lines`` on, each place once: with ``n``, the largest depth at which it is a later copy, and the first one of that depth."""
+    source = ["from_doc", "from_tie", "from_line"]
+    found = [later(active).withColumn("n", F.lit(at)) for at, active in doublings(lines) if at >= min_lines]
+    if len(found) < 2:
+        return found[0] if found else later(suffix_ranks(lines, min_lines)).withColumn("n", F.lit(min_lines))
+    best = F.max(F.struct("n", *source)).alias("best")
+    return reduce(DataFrame.unionByName, found).groupBy(*DOC, "line").agg(best).select(*DOC, "line", *[F.col(f"best.{c}").alias(c) for c in source], "best.n")
+
+
 def runs(found: DataFrame, min_lines: int) -> DataFrame:
-    """Maximal repeated runs (doc_id, tie, line, lines, from_doc, from_tie, from_line) of windows that follow each other with following sources."""
+    """Maximal repeated runs (doc_id, tie, line, lines, from_doc, from_tie, from_line) of windows that follow each other with following sources.
+
+    A window has ``min_lines`` lines, or ``n`` where ``found`` has that column.
+    """
     same = ["doc_id", "tie", "from_doc", "from_tie", "shift"]
     d = found.withColumn("shift", F.col("line") - F.col("from_line"))
     d = d.withColumn("island", F.col("line") - F.row_number().over(W.partitionBy(*same).orderBy("line")))
-    g = d.groupBy(*same, "island").agg(F.min("line").alias("line"), F.min("from_line").alias("from_line"), (F.count(F.lit(1)) + (min_lines - 1)).alias("lines"))
-    return g.select(*DOC, "line", "lines", "from_doc", "from_tie", "from_line")
+    end = F.col("line") + (F.col("n") if "n" in found.columns else F.lit(min_lines))
+    g = d.groupBy(*same, "island").agg(F.min("line").alias("line"), F.min("from_line").alias("from_line"), F.max(end).alias("end"))
+    return g.select(*DOC, "line", (F.col("end") - F.col("line")).cast("long").alias("lines"), "from_doc", "from_tie", "from_line")
 
 
 def dedup(docs: DataFrame, min_lines: int = 2, long_words: int | None = None) -> DataFrame:
@@ -143,7 +170,7 @@ def dedup(docs: DataFrame, min_lines: int = 2, long_words: int | None = None) ->
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines is a power of two")
     lines = stored(line_ids(docs), "lines")
-    gone = copies(lines, min_lines).select(*DOC, "line", F.lit(min_lines).alias("n"))
+    gone = runs(deepest(lines, min_lines), min_lines).select(*DOC, "line", F.col("lines").cast("int").alias("n"))
     if long_words is not None and min_lines > 1:
         gone = gone.unionByName(long_copies(lines, long_words).select(*DOC, "line", F.lit(1).alias("n")))
     starts = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("line", "n")).alias("_starts"))

@@ -75,6 +75,20 @@ def test_runs_are_maximal(frame):
     assert got == [(2, 0, 6, 1, 1), (3, 1, 3, 1, 3)]
 
 
+def test_doubling_goes_past_the_longest_run(frame, monkeypatch):
+    """dedup ranks suffixes until none occurs again and cuts by maximal runs, here one of 37 lines and one of 3."""
+    a = [f"r{i}" for i in range(37)]
+    rows = [(1, "\n".join(["p", *a, "q"])), (2, "\n".join(a)), (3, "x\nr2\nr3\nr4\ny")]
+    depths, cut = [], []
+    every, joined = ld.doublings, ld.runs
+    monkeypatch.setattr(ld, "doublings", lambda lines: ((depths.append(at), (at, s))[1] for at, s in every(lines)))
+    monkeypatch.setattr(ld, "runs", lambda found, k: (cut.append(joined(found, k)), cut[-1])[1])
+    got = {r["doc_id"]: (r["_lines"], r["_removed"], r["_kept"]) for r in ld.dedup(frame(rows), 2).collect()}
+    assert got == {1: (39, 0, rows[0][1]), 2: (37, 37, ""), 3: (5, 3, "x\ny")}
+    assert depths == [1, 2, 4, 8, 16, 32]
+    assert sorted((r["doc_id"], r["line"], r["lines"], r["from_doc"], r["from_line"]) for r in cut[0].collect()) == [(2, 0, 37, 1, 1), (3, 1, 3, 1, 3)]
+
+
 def test_empty_and_bad_depth(frame):
     assert ld.dedup(frame([])).count() == 0
     with pytest.raises(ValueError):
