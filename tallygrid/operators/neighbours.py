@@ -25,11 +25,13 @@ from ..session import cut_lineage
 from .fuzzy import components
 
 LEAF_POINTS = 4000
+NEAREST_LEAF_POINTS = 1000  # a few neighbours lie close by: smaller leaves save comparisons and cost few visits
 TOP_LEAVES = 1 << 14  # leaves of the part the driver holds
 SUB_DEPTH = 6  # levels by which a round splits a leaf
 ROUNDS = 8  # 14 + 8 * 6 bits number a leaf
 SAMPLE_PER_LEAF = 20
 BLOCK = 512
+BLOCK_CELLS = 1 << 20  # distances a task holds at a time, however many points visit a leaf
 POINT = "array<double>"
 
 
@@ -184,10 +186,48 @@ def visiting(queries: DataFrame, tree: Tree) -> DataFrame:
     return out
 
 
+def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(q), len(p)))
+    for i in range(p.shape[1]):
+        d += (q[:, i, None] - p[None, :, i]) ** 2
+    return np.sqrt(d, out=d)
+
+
 def _blocks(q: np.ndarray, p: np.ndarray):
-    for lo in range(0, len(q), BLOCK):
-        b = q[lo:lo + BLOCK]
-        yield lo, np.sqrt(((b[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+    step = max(1, min(BLOCK, BLOCK_CELLS // max(1, len(p))))
+    for lo in range(0, len(q), step):
+        yield lo, _distances(q[lo:lo + step], p)
+
+
+def _least(d: np.ndarray, m: int) -> np.ndarray:
+    """Places of the ``m`` least numbers of each row, ascending."""
+    o = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    return np.take_along_axis(o, np.argsort(np.take_along_axis(d, o, 1), axis=1, kind="stable"), 1)
+
+
+def _reachable(c: np.ndarray, eps: float) -> np.ndarray:
+    """Component of each point under steps of at most ``eps``, numbered by their first points.
+
+    Only points without a component are compared, so a dense crowd leaves at the first look.
+    """
+    comp, todo, n = np.full(len(c), -1), np.ones(len(c), bool), 0
+    while todo.any():
+        front = np.array([int(np.argmax(todo))])
+        comp[front], todo[front] = n, False
+        while len(front):
+            found = []
+            for lo in range(0, len(front), 64):
+                rest = np.flatnonzero(todo)
+                for at in range(0, len(rest), BLOCK_CELLS // 64):
+                    part = rest[at:at + BLOCK_CELLS // 64]
+                    hit = part[(_distances(c[front[lo:lo + 64]], c[part]) <= eps).any(axis=0)]
+                    comp[hit], todo[hit] = n, False
+                    found.append(hit)
+                if not len(rest):
+                    break
+            front = np.concatenate(found) if found else front[:0]
+        n += 1
+    return comp
 
 
 def standardised(df: DataFrame, cols: list[str]) -> Column:
@@ -206,11 +246,8 @@ def nearest(queries: DataFrame, points: DataFrame, tree: Tree, k: int, exclude_s
     """
     owned = with_leaf(points, tree)
 
-    def weights(q, p, w, d):
-        if not exclude_self:
-            return np.broadcast_to(w, d.shape)
-        same = (q[:, None, :] == p[None, :, :]).all(axis=2)
-        return np.broadcast_to(w, d.shape) - same
+    def weights(q, p, w):
+        return w - (q == p).all(axis=-1) if exclude_self else w
 
     def bound(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         q = _matrix(qs["x"]) if len(qs) else np.zeros((0, 1))
@@ -218,33 +255,32 @@ def nearest(queries: DataFrame, points: DataFrame, tree: Tree, k: int, exclude_s
         if len(q) and len(ps):
             p, w = _matrix(ps["x"]), ps["w"].to_numpy(float)
             for lo, d in _blocks(q, p):
-                ww = weights(q[lo:lo + BLOCK], p, w, d)
-                o = np.argsort(d, axis=1, kind="stable")
-                enough = np.cumsum(np.take_along_axis(ww, o, 1), axis=1) >= k
+                o = _least(d, k + exclude_self)  # each weighs 1 at least, but for the query itself
+                enough = np.cumsum(weights(q[lo:lo + len(d), None, :], p[o], w[o]), axis=1) >= k
                 hit = enough.any(axis=1)
                 at = np.take_along_axis(d, o, 1)[np.arange(len(d)), enough.argmax(axis=1)]
-                radius[lo:lo + BLOCK][hit] = at[hit]
+                radius[lo:lo + len(d)][hit] = at[hit]
         return pd.DataFrame({"x": qs["x"], "radius": radius})
 
     def collect(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "x": [], "w": [], "dist": []}
+        out = []
         if len(qs) and len(ps):
             q, p, w = _matrix(qs["x"]), _matrix(ps["x"]), ps["w"].to_numpy(float)
             radius = qs["radius"].to_numpy(float)
             for lo, d in _blocks(q, p):
-                ww = weights(q[lo:lo + BLOCK], p, w, d)
-                for i in range(len(d)):
-                    near = np.flatnonzero((d[i] <= radius[lo + i]) & (ww[i] > 0))
-                    near = near[np.argsort(d[i][near], kind="stable")]
-                    before = np.cumsum(ww[i][near]) - ww[i][near]
-                    if (before >= k).any():  # keep ties of the last needed one
-                        last = d[i][near][before < k][-1]
-                        near = near[d[i][near] <= last]
-                    out["q"] += [q[lo + i].tolist()] * len(near)
-                    out["x"] += p[near].tolist()
-                    out["w"] += ww[i][near].tolist()
-                    out["dist"] += d[i][near].tolist()
-        return pd.DataFrame(out)
+                i, j = np.nonzero(d <= radius[lo:lo + len(d), None])
+                ww, dist = weights(q[lo + i], p[j], w[j]), d[i, j]
+                order = np.lexsort((dist, i))
+                order = order[ww[order] > 0]
+                i, j, ww, dist = i[order], j[order], ww[order], dist[order]
+                # Weight before each neighbour of its query; ties of the last needed one are kept.
+                total = np.cumsum(ww) - ww
+                before = total - total[np.searchsorted(i, i)] if len(i) else total
+                last = np.zeros(len(d))
+                np.maximum.at(last, i[before < k], dist[before < k])
+                keep = dist <= last[i]
+                out.append(pd.DataFrame({"q": list(q[lo + i[keep]]), "x": list(p[j[keep]]), "w": ww[keep], "dist": dist[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "x": [], "w": [], "dist": []})
 
     by_leaf = lambda d: d.groupBy("leaf")
     home = by_leaf(with_leaf(queries.select("x"), tree)).cogroup(by_leaf(owned)).applyInPandas(bound, f"x {POINT}, radius double")
@@ -255,7 +291,7 @@ def nearest(queries: DataFrame, points: DataFrame, tree: Tree, k: int, exclude_s
     return found.withColumn("_before", level - tied).where(F.col("_before") < k).drop("_before")
 
 
-def impute_knn(df: DataFrame, col: str, features: list[str], k: int = 5, leaf_points: int = LEAF_POINTS) -> DataFrame:
+def impute_knn(df: DataFrame, col: str, features: list[str], k: int = 5, leaf_points: int = NEAREST_LEAF_POINTS) -> DataFrame:
     """Missing values filled with the mean of the k nearest rows that have one (standardised features).
 
     Rows tied with the k-th count as well. Rows without all features stay as they are.
@@ -271,7 +307,7 @@ def impute_knn(df: DataFrame, col: str, features: list[str], k: int = 5, leaf_po
         F.coalesce(v, F.col("_fill")).alias(c) if c == col else quoted(c) for c in df.columns])
 
 
-def lof(df: DataFrame, cols: list[str], k: int = 20, leaf_points: int = LEAF_POINTS) -> DataFrame:
+def lof(df: DataFrame, cols: list[str], k: int = 20, leaf_points: int = NEAREST_LEAF_POINTS) -> DataFrame:
     """``df`` with ``lof``: density of the k nearest rows over the row's own; about 1 inside a cluster."""
     d = df.withColumn("_z", standardised(df, cols))
     points = cut_lineage(d.where(F.col("_z").isNotNull()).groupBy(F.col("_z").alias("x")).agg(F.count(F.lit(1)).alias("w")))
@@ -306,7 +342,7 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, standardise
         if len(qs) and len(ps):
             w = ps["w"].to_numpy(float)
             for lo, dist in _blocks(_matrix(q), _matrix(ps["x"])):
-                out[lo:lo + BLOCK] = (dist <= eps) @ w
+                out[lo:lo + len(dist)] = (dist <= eps) @ w
         return pd.DataFrame({"x": q, "n": out})
 
     counted = guests.groupBy("leaf").cogroup(with_leaf(points, tree).groupBy("leaf")).applyInPandas(count, f"x {POINT}, n double")
@@ -318,20 +354,7 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, standardise
         x, core = _matrix(pdf["x"]), pdf["core"].to_numpy(bool)
         own = (pdf["leaf"] == pdf["at"]).to_numpy()
         c = x[core]
-        comp = np.full(len(c), -1)
-        todo = np.ones(len(c), bool)
-        n = 0
-        while todo.any():
-            front = np.array([int(np.argmax(todo))])
-            todo[front] = False
-            while len(front):
-                comp[front] = n
-                hit = np.zeros(len(c), bool)
-                for _, dist in _blocks(c[front], c):
-                    hit |= (dist <= eps).any(axis=0)
-                front = np.flatnonzero(hit & todo)
-                todo[front] = False
-            n += 1
+        comp = _reachable(c, eps)
         label = np.array([None] * len(x), dtype=object)
         label[core] = [f"{leaf}:{i}" for i in comp]
         border = np.flatnonzero(own & ~core)

@@ -95,3 +95,36 @@ def test_results_do_not_depend_on_the_rounds(spark, cloud, monkeypatch):
     monkeypatch.setattr(neighbours, "SUB_DEPTH", 1)
     for a, b in zip(one, run()):
         pd.testing.assert_series_equal(a, b, rtol=1e-9)
+
+
+def test_comparisons_hold_bounded_memory():
+    """However many points visit a leaf, a task holds a bounded block of distances."""
+    rng = np.random.default_rng(3)
+    q, p = rng.normal(0, 1, (700, 2)), rng.normal(0, 1, (60_000, 2))
+    seen = 0
+    for lo, d in neighbours._blocks(q[:40], p):
+        assert lo == seen and d.size <= 1 << 20
+        seen += len(d)
+        np.testing.assert_allclose(d, np.sqrt(((q[lo:lo + len(d), None] - p[None]) ** 2).sum(2)))
+    assert seen == 40
+
+
+def test_least_and_reachable_equal_plain_versions():
+    rng = np.random.default_rng(4)
+    d = rng.integers(0, 30, (50, 200)).astype(float)
+    for m in (1, 7, 200, 300):
+        o = neighbours._least(d, m)
+        np.testing.assert_array_equal(np.take_along_axis(d, o, 1), np.sort(d, 1)[:, :m])
+        assert all(len(set(r)) == len(r) for r in o.tolist())
+    c = rng.uniform(0, 10, (300, 2))
+    near = ((c[:, None] - c[None]) ** 2).sum(2) <= .4 ** 2
+    want, n = np.full(300, -1), 0
+    for i in range(300):
+        if want[i] < 0:
+            todo, want[i] = [i], n
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & (want < 0)):
+                    want[j] = n
+                    todo.append(j)
+            n += 1
+    np.testing.assert_array_equal(neighbours._reachable(c, .4), want)
