@@ -65,3 +65,10 @@ def test_equals_a_plain_version(spark, monkeypatch, tmp_path, classes, slots):
 def test_one_row_and_one_value(spark):
     d = VectorAssembler(inputCols=["a"], outputCol="v").transform(spark.createDataFrame([(1.0, 3.0)] * 5, "a double, y double"))
     assert {r["prediction"] for r in et.ExtraTrees("v", "y", numTrees=2, maxDepth=3).fit(d).transform(d).collect()} == {3.0}
+
+
+def test_tasks_get_numbers_not_lists():
+    import pandas as pd
+    from tallygrid.operators import extratrees
+    b = pd.DataFrame({"x0": [1.0, 2.0], "x1": [3.0, 4.0], "y": [0.0, 1.0]})
+    np.testing.assert_array_equal(extratrees._features(b, 2), [[1.0, 3.0], [2.0, 4.0]])
