@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunk_number, sorted_runs, totals_before, with_text
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 MAGIC = b"TGE1"
 HEADER = struct.Struct("<4sBIIQ")  # magic, bytes per id, documents, of them without id, ids
@@ -159,12 +160,16 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """
     d, n = chunk_number(with_text(docs, F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "chunk")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        end = np.array([end_id], enc.width)
         for b in batches:
-            b["ids"] = [np.concatenate([x, end]).tobytes() for x in enc.encode_many(b.pop("text").tolist())]
-            yield b[["chunk", "doc_id", "ids"]]
+            at = 0
+            for counts, ids in enc.encode_column(b.column("text")):
+                bounds, ids = with_end(counts, ids, end_id)
+                rows = b.select(["chunk", "doc_id"]).slice(at, len(counts))
+                raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((bounds * enc.width.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([*rows.columns, raw], ["chunk", "doc_id", "ids"])
+                at += len(counts)
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width = encoder(vocabulary).width
@@ -186,7 +191,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
         if held:
             yield close()
 
-    ids = d.select("chunk", "doc_id", "text").mapInPandas(encode, "chunk int, doc_id long, ids binary")
+    ids = d.select("chunk", "doc_id", "text").mapInArrow(encode, "chunk int, doc_id long, ids binary")
     (sorted_runs(ids, n, "chunk", F.asc_nulls_first("doc_id"), "ids")
      .mapInPandas(segments, "chunk int, segment int, base long, n_docs long, n_ids long, payload binary")
      .write.parquet(path))

@@ -1,12 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallygrid.llm import packing, token_files
+from tallygrid.llm import packing, token_files, tokens
 from tallygrid.llm.common import fresh_path
 from tallygrid.llm.queries import QUERIES, table
 from tallygrid.llm.tokens import encoder, vocabulary_path
@@ -165,3 +166,32 @@ def test_all_three_capacities_choose(spark, sf):
             for k in range(z - a):
                 used.setdefault(first + k // each, []).append(length)
         assert all(len(x) <= max_docs and sum(n * n for n in x) <= max_cost and sum(x) <= 100 for x in used.values()) and sum(map(len, used.values())) == 45
+
+
+def test_columns_of_texts(monkeypatch):
+    """Nulls, slices, small groups, caches that overflow and texts with special tokens give the library's ids."""
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 40)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "BATCH_WORDS", 2)
+    texts = ["skipped", None, "", " \n", "Über ÑANDÚ!! naïve×x a\xb7b Ωmega it's 'tis", "x<|endoftext|> y", "<|", "Über it's ... a1 B.", *["one two three four, (five)"] * 9, "last"]
+    enc = tokens.WordEncoder(PATH)
+    for column in (pa.array(texts).slice(1), pa.array(texts, pa.large_string()).slice(1)):
+        groups = list(enc.encode_column(column))
+        assert len(groups) > 3 and sum(len(c) for c, _ in groups) == len(texts) - 1
+        for (counts, ids), end in ((g, 7) for g in groups):
+            assert counts.sum() == len(ids)
+            bounds, ended = tokens.with_end(counts, ids, end)
+            assert (ended[bounds[1:] - 1] == end).all() and (np.diff(bounds) == counts + 1).all()
+        got = [x.tolist() for counts, ids in groups for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+        assert list(enc.encode_column(column.slice(0, 0))) == []
+
+
+def test_words_are_looked_at_once_a_group(monkeypatch):
+    """Python sees no word of a text: only words new to the caches reach the library, each once."""
+    enc, seen = tokens.WordEncoder(PATH), []
+    for cache in (enc.letters, enc.others):
+        monkeypatch.setattr(cache, "encode", lambda words, f=cache.encode: (seen.extend(words.to_pylist()), f(words))[1])
+    texts = ["Alpha alpha, ALPHA! 4x beta"] * 500
+    assert all(x.tolist() == PLAIN.encode(texts[0], add_special_tokens=False).ids for x in enc.encode_many(texts) + enc.encode_many(texts))
+    assert sorted(seen) == ["!", ",", "4x", "alpha", "beta"]
