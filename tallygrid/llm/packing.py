@@ -18,37 +18,49 @@ packed as often as they come; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import stored, with_text
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ord long"
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, max_tokens: int) -> DataFrame:
     """Every whole text as pieces of at most ``max_tokens`` ids; ``ord`` counts the pieces of a length within the task ``part``."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        end, seen = np.array([end_id], enc.width), defaultdict(int)
+        seen = np.zeros(max_tokens + 1, np.int64)
         for b in batches:
-            rows = []
-            for d, x in zip(b["doc_id"], enc.encode_many(b["text"].tolist())):
-                ids = np.concatenate([x, end]).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), max_tokens)):
-                    x = ids[at:at + max_tokens]
-                    rows.append((d, k, at, len(x), zlib.crc32(x.tobytes()), part, seen[len(x)]))
-                    seen[len(x)] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "ord"])
-            yield out.astype({"doc_id": "Int64"})
-    return with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInPandas(cut, PIECE)
+            row = 0
+            for counts, ids in enc.encode_column(b.column("text")):
+                bounds, ids = with_end(counts, ids, end_id)
+                ids = ids.astype("<u4")
+                many = -(-np.diff(bounds) // max_tokens)
+                doc = np.repeat(np.arange(len(many)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * max_tokens
+                at = bounds[doc] + start
+                length = np.minimum(bounds[doc + 1] - at, max_tokens)
+                raw = memoryview(ids).cast("B")
+                crcs = [zlib.crc32(raw[4 * i:4 * k]) for i, k in zip(at.tolist(), (at + length).tolist())]
+                order, of = np.argsort(length, kind="stable"), np.bincount(length, minlength=max_tokens + 1)
+                number = np.empty(len(doc), np.int64)
+                number[order] = np.arange(len(doc)) - np.repeat(np.cumsum(of) - of - seen, of)
+                seen += of
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(pa.array(row + doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()),
+                     pa.array(np.full(len(doc), part), pa.int32()), pa.array(number)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "part", "ord"])
+                row += len(counts)
+    return with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(cut, PIECE)
 
 
 def plan(counts: dict[int, int], max_tokens: int, max_docs: int, max_cost: int, weights: tuple[float, float, float],

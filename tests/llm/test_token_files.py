@@ -195,3 +195,28 @@ def test_words_are_looked_at_once_a_group(monkeypatch):
     texts = ["Alpha alpha, ALPHA! 4x beta"] * 500
     assert all(x.tolist() == PLAIN.encode(texts[0], add_special_tokens=False).ids for x in enc.encode_many(texts) + enc.encode_many(texts))
     assert sorted(seen) == ["!", ",", "4x", "alpha", "beta"]
+
+
+def test_pieces_are_cut_and_numbered_by_columns(spark, frame):
+    """Pieces of several batches and groups: cut as the ids are, and numbered from 0 within the task and length; rows repeat and ids may be missing."""
+    wide = " " * (tokens.GROUP_BYTES // 2 + 9)
+    texts = [None, "", "one two three, four!!", wide + "x y", *["a b c d e f g " * k for k in range(12)], "it's <|endoftext|> x"] * 3
+    rows = [(None if i % 5 == 0 else i % 7, t) for i, t in enumerate(texts)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        p = packing.pieces(frame(rows, 2), PATH, 3, 20)
+        got = p.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = []
+    for d, t in rows:
+        x = ids_of((t or "").strip(), 3)
+        want += [(d, k, a, len(x[a:a + 20]), crc(x[a:a + 20])) for k, a in enumerate(range(0, len(x), 20))]
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    by = {}
+    for r in got:
+        by.setdefault((r["part"], r["length"]), []).append(r["ord"])
+    assert {k for k, _ in by} == {0, 1} and all(x == list(range(len(x))) for x in by.values())
+    plan = p._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
