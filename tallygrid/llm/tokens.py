@@ -20,8 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE_WORDS = 300_000  # of letters, and of other words
+CACHE_BYTES = 16_000_000  # of their ids and of themselves
 GROUP_BYTES = 4_000_000
-BATCH_WORDS = 20_000  # in one call of the library
+BATCH_BYTES = 10_000  # in one call of the library
 BLOCK_WORDS = 1 << 18
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -50,6 +51,15 @@ def _strings(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Dic
     return pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(_runs(data, starts, counts))]).dictionary_encode()
 
 
+def _slices(strings: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Consecutive rows of at most ``most`` bytes, or one row."""
+    bounds, at = _before(pc.binary_length(strings).fill_null(0).to_numpy()), 0
+    while at < len(strings):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        yield strings.slice(at, end - at)
+        at = end
+
+
 class WordCache:
     """Ids of words met lately; ``encode`` gives counts and ids of new ones."""
 
@@ -66,7 +76,7 @@ class WordCache:
             counts, ids = self.encode(new)
             self.words, self.counts, self.ids = pa.concat_arrays([self.words, new]), np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
         out = self.ids, _before(self.counts)[place], self.counts[place]
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS or self.words.nbytes + self.ids.nbytes > CACHE_BYTES:
             self.words, self.counts, self.ids = words, out[2], _runs(*out)
         return out
 
@@ -92,17 +102,15 @@ class WordEncoder:
 
     def _each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         counts, ids = [], []
-        for at in range(0, len(words), BATCH_WORDS):
-            for x in self.tokenizer.encode_batch_fast(words.slice(at, BATCH_WORDS).to_pylist(), add_special_tokens=False):
-                own = x.ids
-                counts.append(len(own))
-                ids += own
-        return np.array(counts, np.int64), np.array(ids, self.width)
+        for some in _slices(words, BATCH_BYTES):
+            own = [np.array(x.ids, self.width) for x in self.tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
+            counts += map(len, own)
+            ids += own
+        return np.array(counts, np.int64), np.concatenate(ids)
 
     def _letters(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         counts, ids = [], []
-        for at in range(0, len(stems), BATCH_WORDS):
-            some = stems.slice(at, BATCH_WORDS)
+        for some in _slices(stems, BATCH_BYTES):
             own = np.array(self.plain.encode_batch_fast([" ".join(some.to_pylist())], add_special_tokens=False)[0].ids, self.width)
             cuts = np.flatnonzero(self.ends[own]) + 1
             if len(cuts) != len(some):  # a vocabulary without word ends
@@ -160,12 +168,8 @@ class WordEncoder:
 
     def encode_column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The texts' ids without special tokens (null: none), by groups of rows in order: the number of each text's ids, and all ids."""
-        bounds = _before(pc.binary_length(texts).fill_null(0).to_numpy())
-        at = 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + GROUP_BYTES, "right")) - 1)
-            yield self._texts(texts.slice(at, end - at).fill_null("").cast(pa.string()))
-            at = end
+        for some in _slices(texts, GROUP_BYTES):
+            yield self._texts(some.fill_null("").cast(pa.string()))
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text without special tokens."""

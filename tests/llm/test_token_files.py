@@ -172,7 +172,7 @@ def test_columns_of_texts(monkeypatch):
     """Nulls, slices, small groups, caches that overflow and texts with special tokens give the library's ids."""
     monkeypatch.setattr(tokens, "GROUP_BYTES", 40)
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
-    monkeypatch.setattr(tokens, "BATCH_WORDS", 2)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 9)
     texts = ["skipped", None, "", " \n", "Über ÑANDÚ!! naïve×x a\xb7b Ωmega it's 'tis", "x<|endoftext|> y", "<|", "Über it's ... a1 B.", *["one two three four, (five)"] * 9, "last"]
     enc = tokens.WordEncoder(PATH)
     for column in (pa.array(texts).slice(1), pa.array(texts, pa.large_string()).slice(1)):
@@ -220,3 +220,13 @@ def test_pieces_are_cut_and_numbered_by_columns(spark, frame):
     assert {k for k, _ in by} == {0, 1} and all(x == list(range(len(x))) for x in by.values())
     plan = p._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_caches_are_bounded_in_words_and_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    enc = tokens.WordEncoder(PATH)
+    for texts in ([f"{i}{'-x' * 400}" for i in range(100)], ["ж" * (300 + i) for i in range(100)], ["ab" * (200 + i) for i in range(100)]):
+        assert [x.tolist() for x in enc.encode_many(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+        for cache in (enc.letters, enc.others):
+            assert cache.words.nbytes + cache.ids.nbytes < 40_000 and len(cache.counts) == len(cache.words) and cache.counts.sum() == len(cache.ids)
