@@ -14,7 +14,9 @@ Probes are the values within ``t_i`` bits in part ``i``; they meet the
 fingerprints that have such a value, and each meeting is verified by the full
 distance. Large buckets are cut into blocks that meet pairwise, and of a
 bucket's links only a spanning forest leaves the task, so a bucket of many
-near copies emits a row for each, not each pair.
+near copies emits a row for each, not each pair. Where sets are compared
+afterwards, a cell's rows are sorted by the size of their sets, and rows whose
+sizes alone rule the similarity out do not meet.
 
 Defined cases: null text is empty; texts without words have fingerprint 0 and
 are linked like any other; a null ``doc_id`` is never the smallest unless all
@@ -32,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import components, stored, with_text
@@ -41,7 +43,9 @@ SEED = 42
 BITS = 64
 SAMPLE = 20_000  # fingerprints from which costs are estimated
 BLOCK = 4096  # fingerprints of one bucket that meet in one task at a time
-MEET_COST, PROBE_COST = 1.0, 600.0  # of comparing two fingerprints, of shuffling one row
+SIZED = 4  # times as many where sizes let only some of a block's rows meet
+TILE = 1 << 17  # fingerprints compared at a time
+MEET_COST, PROBE_COST = 1.0, 4000.0  # of comparing two fingerprints, of dealing one row (2.3 ns and some 9 us as measured)
 U = np.uint64
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -129,8 +133,8 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan(sample: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the parts that are probed, for ``n`` fingerprints."""
+def plan(sample: np.ndarray, n: int, distance: int, meeting: float = 1.0, block: int = BLOCK) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the parts that are probed, for ``n`` fingerprints. ``meeting``: share of the pairs of a cell that are compared."""
     bits = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
     found = None
     for parts in range(1, distance + 2):
@@ -144,7 +148,9 @@ def plan(sample: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int
             row, probes = [0.0], 0.0
             for t in range(most + 1):
                 probes += float(np.prod([(len(g) - k) / (k + 1) for k in range(t)])) if t else 1.0
-                row.append(n * (1 + (probes if t else 0)) * PROBE_COST + n * n * share[t] / 2 * (2 if t else 1) * MEET_COST)
+                # A row goes to each block that its own block meets.
+                index, asked = max(1.0, n * share[0] * probes / block), (probes if t else 0) * max(1.0, n * share[0] / block)
+                row.append(n * (index + asked) * PROBE_COST + n * n * share[t] / 2 * (2 if t else 1) * meeting * MEET_COST)
             costs.append(row)
         cost, ts = allocate(costs, distance - parts + 1)
         if found is None or cost < found[0]:
@@ -198,40 +204,58 @@ def meet(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray
     return thin(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def cells(fps: DataFrame, distance: int, unit: str = "fp") -> tuple[DataFrame | None, list[tuple[list[int], int]]]:
+def meeting_share(sizes: np.ndarray, similarity: float) -> float:
+    """Share of pairs of a sample whose sizes allow the similarity."""
+    x = np.sort(sizes)
+    return float((np.searchsorted(x, x / similarity, "right") - np.arange(len(x))).sum() * 2 / max(len(x) ** 2, 1)) if similarity > 0 else 1.0
+
+
+def cells(fps: DataFrame, distance: int, unit: str = "fp", similarity: float | None = None) -> tuple[DataFrame | None, list[tuple[list[int], int]]]:
     """Rows (unit, fp, part, value, side, own, i, j): fingerprints dealt to cells so that all within ``distance`` meet in one; None if there are none. And the parts.
 
-    ``unit`` names the column that tells rows apart.
+    ``unit`` names the column that tells rows apart. With a ``similarity`` rows
+    have the ``size`` of their set as well.
 
     A cell (part, value, i, j) is a block of a bucket's probes beside a block of its
     index (``side`` 1 and 0), or two blocks of an unprobed bucket (``side`` 2).
+    Only the buckets of more than one block are looked up, and those are fewer
+    than the rows by the size of a block.
     """
     n = fps.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = np.array([r["fp"] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).collect()], np.int64)
-    parts = plan(sample.view(U), n, distance) if n else []
+    block, more = (BLOCK, []) if similarity is None else (SIZED * BLOCK, ["size"])
+    names = list(dict.fromkeys([unit, "fp", *more]))
+    seen = fps.select("fp", *more).where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).collect()
+    sample = np.array([r["fp"] for r in seen], np.int64)
+    meeting = 1.0 if similarity is None else meeting_share(np.array([r["size"] for r in seen], np.int64), similarity)
+    parts = plan(sample.view(U), n, distance, meeting, block) if n else []
     rows = []
     for k, (bits, t) in enumerate(parts):
         mask = sum(1 << b for b in bits)
         value = F.col("fp").bitwiseAND(F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask))
-        rows.append(F.struct(F.lit(k).alias("part"), value.alias("value"), F.lit(0).alias("probe")))
+
+        def row(value: Column, side: int) -> Column:
+            return F.struct(F.lit(k).alias("part"), value.alias("value"), F.lit(side).alias("side"))  # all named alike: an array holds one type
+
+        rows.append(row(value, 0 if t else 2))
         if t:
-            rows += [F.struct(F.lit(k), value.bitwiseXOR(F.lit(m)), F.lit(1)) for m in masks(bits, t)]
+            rows += [row(value.bitwiseXOR(F.lit(m).cast("long")), 1) for m in masks(bits, t)]
     if not rows:
         return None, parts
-    keys, names = ["part", "value"], list(dict.fromkeys([unit, "fp"]))
-    sig = stored(fps.select(*names, F.inline(F.array(*rows))), "signatures")
-    size = sig.groupBy(*keys).agg(F.sum(1 - F.col("probe")).alias("n"), F.sum("probe").alias("p")).where("n > 1 OR (n > 0 AND p > 1)")
-    size = size.select(F.col("part").alias("_part"), F.col("value").alias("_value"),
-                       F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.greatest("p", F.lit(1)) / BLOCK).cast("int").alias("pb"), (F.col("p") > 0).alias("probed"))
-    j = sig.join(size, (F.col("part") == F.col("_part")) & (F.col("value") == F.col("_value")))
-    own = F.pmod(F.xxhash64(unit), F.when(F.col("probe") == 1, F.col("pb")).otherwise(F.col("nb"))).cast("int")
+    keys = ["part", "value"]
+    sig = fps.select(*names, F.inline(F.array(*rows)))
+    probe = F.col("side") == 1
+    full = sig.groupBy(*keys).agg(F.count_if(~probe).alias("n"), F.count_if(probe).alias("p")).where((F.col("n") > block) | (F.col("p") > block))
+    full = full.select(F.col("part").alias("_part"), F.col("value").alias("_value"), *[F.ceil(F.greatest(c, F.lit(1)) / block).cast("int").alias(f"{c}b") for c in "np"])
+    j = sig.join(F.broadcast(full), (F.col("part") == F.col("_part")) & (F.col("value") == F.col("_value")), "left")
+    nb, pb = F.coalesce("nb", F.lit(1)), F.coalesce("pb", F.lit(1))
+    own = F.pmod(F.xxhash64(unit), F.when(probe, pb).otherwise(nb)).cast("int")
     # A probe block meets every index block; where nothing is probed, index blocks meet each other once.
-    others = F.when(F.col("probe") == 1, F.col("nb")).otherwise(F.when(F.col("probed"), F.col("pb")).otherwise(F.col("nb")))
-    blocks = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.when(F.col("probe") == 1, F.struct(own.alias("i"), o.alias("j"))).when(
-        F.col("probed"), F.struct(o.alias("i"), own.alias("j"))).otherwise(F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
+    others = F.when(F.col("side") == 0, pb).otherwise(nb)
+    blocks = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.when(probe, F.struct(own.alias("i"), o.alias("j"))).when(
+        F.col("side") == 0, F.struct(o.alias("i"), own.alias("j"))).otherwise(F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
     # In an unprobed bucket a fingerprint says which of the two blocks it is of.
-    return j.select(*names, *keys, F.when(F.col("probed"), F.col("probe")).otherwise(F.lit(2)).alias("side"), own.alias("own"), F.inline(blocks)), parts
+    return j.select(*names, *keys, "side", own.alias("own"), F.inline(blocks)), parts
 
 
 CELL = ["part", "value", "i", "j"]
@@ -307,26 +331,58 @@ def own_pairs(x: np.ndarray, part: int, parts: list[tuple[list[int], int]]) -> n
     return out
 
 
-def near_pairs(fps: DataFrame, distance: int, unit: str) -> tuple[DataFrame, list[tuple[list[int], int]]]:
+def near_in_cell(key: tuple, d: pd.DataFrame, distance: int, similarity: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of a cell that meet, lie within ``distance`` and, with a ``similarity``, have sizes that allow it; a tile of comparisons at a time."""
+    fp = d["fp"].to_numpy().view(U)
+    left, right = map(np.flatnonzero, sides(key, d))
+    # Two blocks of one bucket, and probes and index, are two lists; a block by itself meets the rows after each.
+    alone = d["side"].iloc[0] == 2 and key[2] == key[3]
+    if similarity is not None:
+        size = d["size"].to_numpy()
+        left, right = (x[np.argsort(size[x], kind="stable")] for x in (left, right))
+        low, high = np.searchsorted(size[right], similarity * size[left] * (1 - 1e-9)), np.searchsorted(size[right], size[left] / max(similarity, 1e-300) * (1 + 1e-9), "right")
+    at = 0
+    while at < len(left):
+        first, last = (0, len(right)) if similarity is None else (low[at], high[at])
+        if alone:
+            first = max(first, at)
+        end = min(len(left), at + max(8, TILE // max(last - first, 1)))
+        if similarity is not None:  # later rows look further
+            while end > at + 8 and (end - at) * (high[end - 1] - first) > 2 * TILE:
+                end = (at + end) // 2
+            last = high[end - 1]
+        l, r = left[at:end], right[first:last]
+        i, j = np.nonzero(np.bitwise_count(fp[l, None] ^ fp[None, r]) <= distance)
+        if alone:
+            later = first + j > at + i
+            i, j = i[later], j[later]
+        i, j = l[i], r[j]
+        if similarity is not None:  # as exact as the test of the sets: neither can round past the other
+            fits = np.minimum(size[i], size[j]) / np.maximum(np.maximum(size[i], size[j]), 1) >= similarity
+            i, j = i[fits], j[fits]
+        yield i, j
+        at = end
+
+
+def near_pairs(fps: DataFrame, distance: int, unit: str, similarity: float | None = None) -> tuple[DataFrame, list[tuple[list[int], int]]]:
     """Rows (a, b, a_fp, b_fp, part, value, i, j, tree) of units whose fingerprints lie within ``distance``, and the parts they met by.
 
     Each pair belongs to one cell, and a cell gives a spanning forest of its
     pairs, nearest first: at most a row for each member. ``tree`` is null where
     the forest holds all pairs of its tree; elsewhere pairs are left to
-    ``open_members``.
+    ``open_members``. With a ``similarity``, which asks for a column ``size``
+    (of a unit's set), pairs whose sizes rule it out are not meant.
     """
-    dealt, parts = cells(fps, distance, unit)
+    dealt, parts = cells(fps, distance, unit, similarity)
     schema = "a long, b long, a_fp long, b_fp long, part int, value long, i int, j int, tree int"
     if dealt is None:
         return fps.sparkSession.createDataFrame([], schema), parts
 
     def close(key: tuple, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
         fp, name = d["fp"].to_numpy().view(U), d[unit].to_numpy()
-        rank = np.unique(name, return_inverse=True)[1]
-        left, right = map(np.flatnonzero, sides(key, d))
-        # Two blocks of one bucket meet once; elsewhere a pair is seen from both of its ends.
-        once = d["side"].iloc[0] == 2 and key[2] != key[3]
-        held, left_out = [], set()
+        # Probes and index see a pair from both of its ends.
+        twice = d["side"].iloc[0] != 2
+        held, left_out, rank = [], set(), None
 
         def thin():
             a, b, far = (np.concatenate(x) for x in zip(*held))
@@ -340,13 +396,15 @@ def near_pairs(fps: DataFrame, distance: int, unit: str) -> tuple[DataFrame, lis
             held[:] = [(a[keep], b[keep], far[keep])]
             return trees
 
-        for at in range(0, len(left), 256):
-            l = left[at:at + 256]
-            x = fp[l, None] ^ fp[None, right]
-            i, j = np.nonzero((np.bitwise_count(x) <= distance) & (rank[l, None] != rank[None, right] if once else rank[l, None] < rank[None, right]))
-            mine = own_pairs(x[i, j], key[0], parts)
+        for i, j in near_in_cell(key, d, distance, similarity):
+            if not len(i):
+                continue
+            if rank is None:
+                rank = np.unique(name, return_inverse=True)[1]
+            x = fp[i] ^ fp[j]
+            mine = own_pairs(x, key[0], parts) & (rank[i] < rank[j] if twice else rank[i] != rank[j])
             i, j = i[mine], j[mine]
-            held.append((l[i], right[j], np.bitwise_count(x[i, j])))
+            held.append((i, j, np.bitwise_count(x[mine])))
             if sum(len(h[0]) for h in held) > 1 << 20:  # keep what is held small
                 thin()
         if held and any(len(h[0]) for h in held):
@@ -461,9 +519,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
     Texts of one shingle set are one unit. A unit has ``TABLES`` fingerprints of
     differently seeded hashes, since one of 64 bits alone strays too far at this
     similarity; they are of the distinct shingles, as the similarity is.
-    Candidates are the pairs of units within ``distance`` in some table; a link
-    holds if the exact Jaccard similarity of the two sets is at least
-    ``similarity``. No candidate is passed over: a first round verifies the
+    Candidates are the pairs of units within ``distance`` in some table whose
+    numbers of shingles allow the similarity; a link holds if the exact Jaccard
+    similarity of the two sets is at least ``similarity``. No candidate is passed over: a first round verifies the
     forests that cells give; where a forest left pairs out and verified links
     have not made its tree one group, the members that still lie near another
     group get their sets sent to the tree and are compared there. Equal texts are
@@ -477,12 +535,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
             sets = [np.unique(shingle_hashes(x, words)) for x in b["text"]]
             fps = np.array([[majority(rehashed(h, t)) for t in range(TABLES)] for h in sets], U).view(np.int64).reshape(-1, TABLES)
             same = pd.Series([hashlib.md5(h.tobytes()).hexdigest() for h in sets], index=b.index, dtype=object)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "same": same, **{n: fps[:, t] for t, n in enumerate(names)}})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "same": same, "size": [len(h) for h in sets], **{n: fps[:, t] for t, n in enumerate(names)}})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = stored(rows.mapInPandas(run, "doc_id long, digest string, same string, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
-    texts = stored(d.groupBy("digest").agg(F.min("same").alias("same"), *[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first")), "texts")
-    units = texts.groupBy("same").agg(F.min("digest").alias("digest"), *[F.min(n).alias(n) for n in names])
+    d = stored(rows.mapInPandas(run, "doc_id long, digest string, same string, size long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    of_set = [*names, "size"]
+    texts = stored(d.groupBy("digest").agg(F.min("same").alias("same"), *[F.min(n).alias(n) for n in of_set], F.min("doc_id").alias("first")), "texts")
+    units = texts.groupBy("same").agg(F.min("digest").alias("digest"), *[F.min(n).alias(n) for n in of_set])
     units = stored(units.withColumn("unit", F.monotonically_increasing_id()), "units")
     # One text of each digest; copies of a text fall away before they are shuffled.
     once = rows.groupBy("digest").agg(F.first("text").alias("text"))
@@ -493,7 +552,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 10, similar
         wanted = units.join(asked.distinct(), "unit").select("unit", "digest")
         return stored(once.join(wanted, "digest").select("unit", as_set("text").alias("set")), "sets")
 
-    near = [near_pairs(units.select("unit", F.col(n).alias("fp")), distance, "unit") for n in names]
+    near = [near_pairs(units.select("unit", F.col(n).alias("fp"), "size"), distance, "unit", similarity) for n in names]
     parts = [p for _, p in near]
     pairs = reduce(DataFrame.unionByName, [f.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")) for f, _ in near])
     pairs = stored(pairs.distinct(), "candidates")

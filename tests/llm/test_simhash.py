@@ -148,6 +148,41 @@ def test_pairs_are_all_there(spark, monkeypatch, block):
     assert all(p in got for p in want if len({label[u] for u in p}) == 2)
 
 
+@pytest.mark.parametrize("block,tile,similarity", [(7, 1 << 17, None), (3, 64, 0.8)])
+def test_probed_parts_find_all_pairs(spark, monkeypatch, block, tile, similarity):
+    """Plans that probe, as large tables get them, find the pairs that plans without probes find; sizes only leave out what they rule out."""
+    monkeypatch.setattr(sh, "BLOCK", block)
+    monkeypatch.setattr(sh, "TILE", tile)
+    fps, names, rng = clusters(11)
+    size = {n: rng.choice([0, 1, 4, 5, 8, 10, 100, 125, 126]) for n in names}
+    rows = [(n, f, size[n]) for n, f in zip(names, fps.view(np.int64).tolist())]
+    d = spark.createDataFrame(rows, "unit long, fp long, size long")
+    alike = [(a, b) for a in names for b in names if a < b and int(fps[a] ^ fps[b]).bit_count() <= 6
+             and (similarity is None or min(size[a], size[b]) >= similarity * max(size[a], size[b]) > 0)]
+    plain = sh.Trees(len(names))
+    for a, b in alike:
+        plain.join(a, b)
+    for ts in ((1, 0, 1, 1), (0,) * 7):
+        monkeypatch.setattr(sh, "plan", lambda *_: [(list(range(k, 64, len(ts))), t) for k, t in enumerate(ts)])
+        near, _ = sh.near_pairs(d, 6, "unit", similarity)
+        mine = sh.Trees(len(names))
+        for r in near.collect():
+            assert tuple(sorted((r["a"], r["b"]))) in set(alike)
+            mine.join(r["a"], r["b"])
+        assert [mine.find(n) for n in names] == [plain.find(n) for n in names]
+
+
+def test_probed_links(spark, monkeypatch):
+    monkeypatch.setattr(sh, "plan", lambda *_: [(list(range(k, 64, 4)), t) for k, t in enumerate((1, 0, 1, 1))])
+    fps = sorted({*clusters(5)[0].view(np.int64).tolist()})
+    got = sh.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 6).collect()
+    mine = sh.Trees(len(fps))
+    for r in got:
+        mine.join(fps.index(r["a"]), fps.index(r["b"]))
+    want = plain_classes({i: f & (1 << 64) - 1 for i, f in enumerate(fps)}, 6)
+    assert [mine.find(i) for i in range(len(fps))] == [want[i] for i in range(len(fps))]
+
+
 @pytest.mark.parametrize("room", [1 << 20, 200])
 def test_open_members_are_compared_in_blocks(spark, monkeypatch, room):
     """Links between labels connect what all pairs of alike sets connect, and are a forest in each pair of blocks."""
