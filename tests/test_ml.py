@@ -1,5 +1,7 @@
 """Training, selection, persistence and prediction on planted data."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,23 @@ def test_text_feature_of_many_values(spark):
     t = ml.auto_train(d, "y", "classification", ["id"], ["kind", "a"], families=["random_forest", "linear"], sizes=SIZES, n_folds=2)
     assert {r["metric"]: r["value"] for r in t.metrics.collect()}["accuracy"] > 0.9
     assert {r["feature"] for r in ml.importance(t, spark).collect()} == {"kind", "a"}
+
+
+def test_model_selection_is_registered_whole(spark, monkeypatch, tmp_path):
+    """The query compares all families at their default sizes over all folds and rows."""
+    from tallygrid.catalog import QUERIES
+    rows = [(i, f"{i % 5}-URGENT", 100.0 * i, datetime.date(1995, 1 + i % 12, 1)) for i in range(40)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+
+    def train(df, target, task, key, features=None, ts=None, families=None, sizes=None, n_folds=5, seed=42):
+        seen.append((df.count(), families, ml.candidates(task, sizes=sizes), n_folds))
+        return ml.Trained(None, task, "linear", features, target, df.sparkSession.range(1), None)
+
+    monkeypatch.setattr(ml, "auto_train", train)
+    QUERIES["L08_model_selection"](spark, str(tmp_path))
+    (n, families, models, n_folds), = seen
+    assert n == 40 and families is None and n_folds == 5
+    boosted, forest, extra, linear = (models[k] for k in ("boosted_trees", "random_forest", "extra_trees", "linear"))
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), forest.getNumTrees(), forest.getMaxDepth(), linear.getMaxIter()) == (200, 6, 150, 10, 1000)
+    assert (extra.getOrDefault("numTrees"), extra.getOrDefault("maxDepth")) == (150, 10)
