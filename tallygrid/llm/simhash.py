@@ -45,7 +45,7 @@ SAMPLE = 20_000  # fingerprints from which costs are estimated
 BLOCK = 4096  # fingerprints of one bucket that meet in one task at a time
 SIZED = 4  # times as many where sizes let only some of a block's rows meet
 TILE = 1 << 17  # fingerprints compared at a time
-MEET_COST, PROBE_COST = 1.0, 4000.0  # of comparing two fingerprints, of dealing one row (2.3 ns and some 9 us as measured)
+MEET_COST, PROBE_COST = 1.0, 4000.0  # of comparing two fingerprints, of dealing one row (about 9 us as measured; a comparison is put at 2 ns)
 U = np.uint64
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
